@@ -43,7 +43,7 @@ def mean_of(
     df: DataFrame,
     col: str,
     by: Sequence[str],
-    where: Column | None = None,
+    where: Column | str | None = None,
     name: str = "mean",
 ) -> DataFrame:
     """Grouped mean that skips missing values; `where` filters rows first."""
@@ -52,7 +52,7 @@ def mean_of(
 
 
 def means_of(
-    df: DataFrame, by: Sequence[str], scores: Mapping[str, tuple[str, Column | None]]
+    df: DataFrame, by: Sequence[str], scores: Mapping[str, tuple[str, Column | str | None]]
 ) -> DataFrame:
     """Several means of different row subsets in one pass.
 
@@ -62,6 +62,7 @@ def means_of(
     aggs = []
     for name, (col, among) in scores.items():
         value = clean(df, col)
+        among = F.expr(among) if isinstance(among, str) else among
         aggs.append(F.avg(value if among is None else F.when(among, value)).alias(name))
     return df.groupBy(*_keys(by)).agg(*aggs)
 
@@ -105,7 +106,7 @@ def combination_table(
     df: DataFrame,
     cols: Sequence[str],
     count_distinct: str,
-    where: Column | None = None,
+    where: Column | str | None = None,
     name: str = "n_participants",
 ) -> DataFrame:
     """Distinct combinations of attributes with their number of distinct keys."""

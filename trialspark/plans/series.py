@@ -32,7 +32,7 @@ def proportion(
     df: DataFrame,
     score: str,
     by: Sequence[str],
-    among: Column | None = None,
+    among: Column | str | None = None,
     name: str = "proportion",
 ) -> DataFrame:
     """Mean of a 0/1 score per cell, over the rows where `among` holds."""
@@ -117,7 +117,7 @@ def figure_series(
     facets: Sequence[str],
     reverse: Sequence[str] = (),
     levels: Mapping[str, Sequence] | None = None,
-    only: Column | None = None,
+    only: Column | str | None = None,
 ) -> DataFrame:
     """The data behind one figure.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,3 +51,13 @@ def write_series(df: DataFrame, path: str, format: str = "parquet") -> None:
     if format == "csv":
         writer = writer.option("header", True)
     writer.format(format).save(path)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Folder all executors see: `spark.checkpoint.dir`, a local one in local mode only."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        path = tempfile.mkdtemp(prefix="trialspark-")
+    return path
