@@ -3,9 +3,9 @@
 Every summary here is one `groupBy().agg()` with map-side partial aggregation,
 so a group that holds a large share of the rows costs one partial row per task.
 Attaching a group value is that summary joined back by its keys, not a window:
-no task has to hold a whole group, small summaries are broadcast by Spark's own
-size check, and adaptive execution can split a heavy key in the larger joins.
-NULL is a group of its own.
+no task has to hold a whole group, and adaptive execution can split a heavy key
+in the join. Where `by` names design factors, `few_groups=True` settles the
+summary first and the rows are not moved at all. NULL is a group of its own.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialspark.functions.scalars import as_column, nan_to_null
-from trialspark.operators.joins import join_group
+from trialspark.operators.joins import join_group, settle
 from trialspark.operators.quantiles import group_median
 
 
@@ -33,10 +33,12 @@ def clean(df: DataFrame, col: str) -> Column:
     return nan_to_null(col) if is_floating(df, col) else as_column(col)
 
 
-def attach_group(df: DataFrame, by: Sequence[str], **aggs: Column) -> DataFrame:
+def attach_group(
+    df: DataFrame, by: Sequence[str], few_groups: bool = False, **aggs: Column
+) -> DataFrame:
     """Attach group aggregates to each row, any number of them in one pass."""
     stats = df.groupBy(*_keys(by)).agg(*[a.alias(n) for n, a in aggs.items()])
-    return join_group(df, stats, by)
+    return join_group(df, settle(stats) if few_groups else stats, by)
 
 
 def mean_of(
@@ -137,15 +139,19 @@ def with_group_ndistinct(
 
 
 def with_group_mean(
-    df: DataFrame, col: str, by: Sequence[str], name: str = "group_mean"
+    df: DataFrame,
+    col: str,
+    by: Sequence[str],
+    name: str = "group_mean",
+    few_groups: bool = True,
 ) -> DataFrame:
-    return attach_group(df, by, **{name: F.avg(clean(df, col))})
+    return attach_group(df, by, few_groups, **{name: F.avg(clean(df, col))})
 
 
 def with_group_median(
     df: DataFrame, col: str, by: Sequence[str], exact: bool = True, name: str = "group_median"
 ) -> DataFrame:
-    return join_group(df, median_of(df, col, by, exact, name), by)
+    return join_group(df, settle(median_of(df, col, by, exact, name)), by)
 
 
 def attach_total(df: DataFrame, total: DataFrame, name: str) -> DataFrame:

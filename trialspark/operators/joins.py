@@ -1,8 +1,8 @@
 """Joins of facts with subject attributes and with group summaries.
 
-No side is forced to be broadcast: Spark broadcasts a side only when its size,
-known from statistics or measured at run time, is under its threshold, and
-otherwise shuffles both with adaptive splitting of heavy keys.
+A side is broadcast only when its size is known: by Spark's own threshold on
+file statistics and measured stages, or because `settle` has counted its rows.
+Otherwise both sides are shuffled, with adaptive splitting of heavy keys.
 """
 
 from __future__ import annotations
@@ -15,6 +15,21 @@ from pyspark.sql import functions as F
 from trialspark.functions.scalars import as_column
 
 
+SMALL = 10_000
+
+
+def settle(summary: DataFrame, max_rows: int = SMALL) -> DataFrame:
+    """Compute a summary of few rows once, so that joins to it move no facts.
+
+    Up to `max_rows` rows it becomes a local table, broadcast with known size.
+    A longer one is returned as it was and joined by shuffling.
+    """
+    head = summary.limit(max_rows + 1).toArrow()
+    if head.num_rows > max_rows:
+        return summary
+    return F.broadcast(summary.sparkSession.createDataFrame(head, summary.schema))
+
+
 def join_group(df: DataFrame, stats: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
     """Join one-row-per-group `stats` to its rows; NULL keys match."""
     taken = [c for c in stats.columns if c not in by]

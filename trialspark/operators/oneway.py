@@ -75,7 +75,7 @@ def levene(
         raise ValueError(f"center={center!r}")
     factors = [group] if isinstance(group, str) else list(group)
     v = clean(df, value)
-    centred = attach_group(df, [*by, *factors], __center=F.avg(v))
+    centred = attach_group(df, [*by, *factors], few_groups=True, __center=F.avg(v))
     return anova_oneway(
         centred.withColumn("__distance", F.abs(v - F.col("__center"))), "__distance", group, by
     )

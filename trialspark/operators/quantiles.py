@@ -4,6 +4,10 @@ Spark's exact percentile keeps every distinct value of a group in one buffer.
 Here a bounded sketch only proposes a narrow bracket around the wanted rank;
 exact counts then tell which side of the bracket holds the rank, and only the
 distinct values inside it are ordered. A poor sketch costs time, not accuracy.
+
+The three passes read only the keys and the value. Bracket and counts have one
+row per group and are settled between passes, so with few groups no row of the
+table is shuffled. Store a table of long lineage before asking for medians.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialspark.functions.scalars import as_column
-from trialspark.operators.joins import join_group
+from trialspark.operators.joins import join_group, settle
 
 SKETCH_ACCURACY = 10_000
 BRACKET = 2.0 / SKETCH_ACCURACY
@@ -83,6 +87,7 @@ def _between_ranks(
         .agg(F.percentile_approx(v, wanted, SKETCH_ACCURACY).alias("__q"))
         .select(*keys, F.col("__q")[0].alias("__lo"), F.col("__q")[1].alias("__hi"))
     )
+    sketch = settle(sketch)
 
     # 2. exact counts on both sides of the bracket, and where the ranks fall
     lo, hi = F.col("__lo"), F.col("__hi")
@@ -116,6 +121,7 @@ def _between_ranks(
             .alias("__base"),
         )
     )
+    counted = settle(counted)
 
     # 3. order the distinct values inside the bracket
     running = F.sum("__c").over(

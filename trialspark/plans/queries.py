@@ -69,8 +69,13 @@ def _renamed(spark, sf):
     return co.rename_regex(vw.wide(spark, sf), RULES)
 
 
+def _stored(spark, sf):
+    """Merged trials for the queries that pass over them several times."""
+    return src.store(vw.merged(spark, sf), "merged")
+
+
 def _vocab(spark, sf):
-    return se.median_split(vw.merged(spark, sf), "total_concept_prod", ["language"])
+    return se.median_split(_stored(spark, sf), "total_concept_prod", ["language"])
 
 
 def _blocks(spark, sf, score="correct_anticipation"):
@@ -104,9 +109,7 @@ def src_scan_null_token(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def sink_series_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    path = f"{src.shared_dir(spark)}/series-{uuid.uuid4().hex}"
-    src.write_series(prop_correct(spark, sf), path)
-    return src.read_table(spark, path)
+    return src.store(prop_correct(spark, sf), "series")
 
 
 @query
@@ -331,7 +334,7 @@ def agg_participants_per_cell(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def agg_median(spark: SparkSession, sf: str) -> DataFrame:
-    df = gr.median_of(vw.merged(spark, sf), "total_concept_prod", ["language"])
+    df = gr.median_of(_stored(spark, sf), "total_concept_prod", ["language"])
     return rounded(df, "median")
 
 
@@ -385,7 +388,7 @@ def win_group_ndistinct(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def win_group_median(spark: SparkSession, sf: str) -> DataFrame:
     df = gr.with_group_median(
-        vw.merged(spark, sf).select(*KEY, "language", "total_concept_prod"),
+        _stored(spark, sf).select(*KEY, "language", "total_concept_prod"),
         "total_concept_prod",
         ["language"],
     )
@@ -395,7 +398,7 @@ def win_group_median(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def win_group_mean(spark: SparkSession, sf: str) -> DataFrame:
     df = gr.with_group_mean(
-        vw.merged(spark, sf).select(*KEY, "language", "prop_look_correct"),
+        _stored(spark, sf).select(*KEY, "language", "prop_look_correct"),
         "prop_look_correct",
         ["language", "trial_type"],
     )
@@ -496,14 +499,14 @@ def median_split(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def median_split_per_subject(spark: SparkSession, sf: str) -> DataFrame:
     df = se.median_split(
-        vw.merged(spark, sf), "total_concept_prod", ["language"], per_subject="subject"
+        _stored(spark, sf), "total_concept_prod", ["language"], per_subject="subject"
     ).select(*KEY, "language", "median_by_group", "vocab_size")
     return rounded(df, "median_by_group")
 
 
 @query
 def median_split_by_block(spark: SparkSession, sf: str) -> DataFrame:
-    rows = se.with_block(vw.merged(spark, sf).where(OLDER), block_size=BLOCK)
+    rows = se.with_block(_stored(spark, sf).where(OLDER), block_size=BLOCK)
     df = se.median_split(
         rows,
         "total_concept_prod",
@@ -911,7 +914,7 @@ def trend_lm_band_ci(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def trend_loess(spark: SparkSession, sf: str) -> DataFrame:
     df = tr.trend(
-        _series(spark, sf),
+        src.store(_series(spark, sf), "series"),
         "trial_number",
         "proportion",
         ["language", "trial_type"],

@@ -18,7 +18,7 @@ from trialspark.functions.scalars import (
 )
 from trialspark.operators.columns import levels_of
 from trialspark.operators.groups import clean, mean_of, ndistinct, with_group_mean
-from trialspark.operators.joins import join_group
+from trialspark.operators.joins import join_group, settle
 from trialspark.operators.quantiles import group_median
 
 
@@ -60,7 +60,7 @@ def median_split(
             as_column(per_subject).alias("__subject"),
             clean(df, value).alias("__value"),
         ).distinct()
-    medians = group_median(rows, "__value", by, median_name)
+    medians = settle(group_median(rows, "__value", by, median_name))
     return join_group(df, medians, by).withColumn(
         name, high_low(clean(df, value), median_name, labels)
     )

@@ -104,7 +104,9 @@ def quality_filter(
     keep phases with enough, keep subjects with all phases. The counts are
     aggregated first (one row per subject and phase) and only their result is
     joined to the trials, so a subject with very many rows never sits in one task.
+    A trial without subject belongs to nobody and is dropped.
     """
+    trials = trials.where(as_column(subject).isNotNull())
     good = good_trials(trials, measures, min_total, inclusive).withColumn(
         "all_looking_time", total_looking(*measures)
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +62,14 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a shared folder")
         path = tempfile.mkdtemp(prefix="trialspark-")
     return path
+
+
+def store(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a table that several steps read once to the shared folder, and read it back.
+
+    Later steps then scan only the columns they need, with known sizes, and a
+    lost executor costs a re-read instead of the whole lineage.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    write_series(df, path)
+    return df.sparkSession.read.parquet(path)
