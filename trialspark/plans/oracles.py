@@ -368,6 +368,7 @@ ORACLES: dict[str, str] = {
     "src_scan_null_token": """
 SELECT o_orderkey, o_custkey, nullif(o_orderstatus, 'P') AS o_orderstatus, o_totalprice,
        nullif(o_orderpriority, 'P') AS o_orderpriority FROM orders""",
+    "src_workbooks": wide(lambda n: True),
     "sink_series_roundtrip": proportion("correct_anticipation", LOOKED),
     "sink_series_csv": proportion("correct_anticipation", LOOKED),
     "header_regex_rename": wide(lambda n: True),

@@ -25,6 +25,7 @@ from trialspark.plans import series as se
 from trialspark.plans import trials as tl
 from trialspark.plans import views as vw
 from trialspark.sources import tables as src
+from trialspark.sources import workbooks as wb
 
 QUERIES: dict = {}
 
@@ -107,6 +108,13 @@ def src_scan_null_token(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def src_workbooks(spark: SparkSession, sf: str) -> DataFrame:
+    header = ", ".join(["`recording.name` bigint", *[f"`{n}` double" for n in vw.wide_names()]])
+    df = wb.parse_workbooks(vw.workbooks(spark, sf), schema=header)
+    return co.rename_regex(df, RULES)
+
+
 @query
 def sink_series_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return src.store(prop_correct(spark, sf), "series")

@@ -1,0 +1,170 @@
+"""Many spreadsheet workbooks as one table.
+
+Spark spreads the workbooks over tasks and each is read by one task, row by row;
+a workbook cannot be split and holds at most 1,048,576 rows.
+"""
+
+from __future__ import annotations
+
+import io
+import posixpath
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Names of the workbook format.
+MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+CHUNK = 5_000
+
+
+def read_workbooks(
+    spark: SparkSession,
+    glob: str,
+    sheet: int | str = 0,
+    null_token: str | None = "-",
+    schema: T.StructType | str | None = None,
+) -> DataFrame:
+    """Rows of one sheet of every workbook that matches `glob`."""
+    files = spark.read.format("binaryFile").load(glob).select("path", "content")
+    return parse_workbooks(files, sheet, null_token, schema)
+
+
+def parse_workbooks(
+    files: DataFrame,
+    sheet: int | str = 0,
+    null_token: str | None = "-",
+    schema: T.StructType | str | None = None,
+) -> DataFrame:
+    """Rows of workbooks held as (path, content) binary rows.
+
+    Columns are matched by header name, so workbooks may order them differently;
+    one that a workbook lacks is NULL. Without a schema a first pass finds the
+    columns, double where every cell is a number and text otherwise.
+    """
+    if schema is None:
+        schema = workbook_schema(files, sheet, null_token)
+    elif isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    names = schema.fieldNames()
+    text = T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                header, chunk = None, []
+                for cells in _sheet_rows(content, sheet):
+                    if header is None:
+                        header = {name: i for i, name in cells.items()}
+                        continue
+                    row = [cells.get(header.get(n)) for n in names]
+                    chunk.append([None if v == null_token else v for v in row])
+                    if len(chunk) == CHUNK:
+                        yield pd.DataFrame(chunk, columns=names, dtype=object)
+                        chunk = []
+                if chunk:
+                    yield pd.DataFrame(chunk, columns=names, dtype=object)
+
+    parsed = files.select("content").mapInPandas(rows, text)
+    return parsed.select(
+        *[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields]
+    )
+
+
+def workbook_schema(
+    files: DataFrame, sheet: int | str = 0, null_token: str | None = "-"
+) -> T.StructType:
+    """Columns over all workbooks, in order of their first place."""
+
+    def columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                rows = _sheet_rows(content, sheet)
+                header = next(rows, {})
+                numeric = dict.fromkeys(header, True)
+                for cells in rows:
+                    for i, v in cells.items():
+                        if i in numeric and v != null_token and numeric[i]:
+                            numeric[i] = _is_number(v)
+                yield pd.DataFrame(
+                    [(i, name, numeric[i]) for i, name in header.items()],
+                    columns=["place", "name", "numeric"],
+                )
+
+    found = (
+        files.select("content")
+        .mapInPandas(columns, "place int, name string, numeric boolean")
+        .groupBy("name")
+        .agg(F.min("place").alias("place"), F.bool_and("numeric").alias("numeric"))
+        .orderBy("place", "name")
+        .collect()
+    )
+    return T.StructType([
+        T.StructField(r["name"], T.DoubleType() if r["numeric"] else T.StringType())
+        for r in found
+    ])
+
+
+def _is_number(text: str) -> bool:
+    try:
+        float(text)
+    except ValueError:
+        return False
+    return True
+
+
+def _sheet_rows(content: bytes, sheet: int | str) -> Iterator[dict[int, str]]:
+    """Each row as {column number: text}; empty and error cells are left out."""
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        shared = []
+        if "xl/sharedStrings.xml" in book.namelist():
+            root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
+            shared = [_text(item) for item in root.iter(f"{MAIN}si")]
+        with book.open(_sheet_part(book, sheet)) as part:
+            for _, row in ElementTree.iterparse(part):
+                if row.tag != f"{MAIN}row":
+                    continue
+                cells = {}
+                for place, cell in enumerate(row.iter(f"{MAIN}c")):
+                    value = _cell(cell, shared)
+                    if value is not None:
+                        cells[_column(cell.get("r"), place)] = value
+                row.clear()
+                yield cells
+
+
+def _sheet_part(book: zipfile.ZipFile, sheet: int | str) -> str:
+    sheets = list(ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{MAIN}sheet"))
+    if isinstance(sheet, str):
+        sheets = [s for s in sheets if s.get("name") == sheet]
+        sheet = 0
+    links = ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))
+    target = {link.get("Id"): link.get("Target") for link in links}[sheets[sheet].get(LINK)]
+    return posixpath.normpath(posixpath.join("/xl", target)).lstrip("/")
+
+
+def _text(node: ElementTree.Element) -> str:
+    return "".join(t.text or "" for t in node.iter(f"{MAIN}t"))
+
+
+def _cell(cell: ElementTree.Element, shared: list[str]) -> str | None:
+    kind, value = cell.get("t", "n"), cell.find(f"{MAIN}v")
+    if kind == "inlineStr":
+        return _text(cell)
+    if value is None or value.text is None or kind == "e":
+        return None
+    return shared[int(value.text)] if kind == "s" else value.text
+
+
+def _column(ref: str | None, place: int) -> int:
+    if ref is None:
+        return place
+    number = 0
+    for letter in ref.rstrip("0123456789"):
+        number = number * 26 + ord(letter) - ord("A") + 1
+    return number - 1
