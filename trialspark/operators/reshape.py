@@ -61,11 +61,11 @@ def spread(
     aggs = [F.max(F.when(name == F.lit(x), value)).alias(str(x)) for x in levels]
     guards: list[tuple[str, str]] = []
     if on_duplicate == "error":
+        place = F.array_position(F.array(*[F.lit(x) for x in levels]), name) - 1
+        df = df.withColumn("__place", place.cast("int"))
         for w in range(0, len(levels), _BITS):
-            bit = None
-            for i, x in enumerate(levels[w : w + _BITS]):
-                hit, mask = name == F.lit(x), F.lit(1 << i).cast("bigint")
-                bit = F.when(hit, mask) if bit is None else bit.when(hit, mask)
+            inside = F.col("__place").between(w, min(w + _BITS, len(levels)) - 1)
+            bit = F.when(inside, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("__place") - w))
             guards.append((f"__sum_{w}", f"__or_{w}"))
             aggs += [F.sum(bit).alias(guards[-1][0]), F.bit_or(bit).alias(guards[-1][1])]
     out = df.groupBy(*[as_column(k) for k in keys]).agg(*aggs)

@@ -535,7 +535,7 @@ def series_ordered(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def trials_from_wide(spark: SparkSession, sf: str) -> DataFrame:
     return tl.to_trials(
-        vw.wide(spark, sf),
+        src.store(vw.wide(spark, sf), "wide"),
         "recording_name",
         RULES,
         first="Test_1_Circle",
