@@ -65,19 +65,16 @@ def subject_table(
             F.avg(F.when(as_column(within) == F.lit(x), v)).alias(f"__y{i}")
             for i, x in enumerate(levels)
         ]
-    sides = [
-        f(as_column(b)).alias(f"__{f.__name__}_{i}")
-        for i, b in enumerate(between)
-        for f in (F.min, F.max)
-    ]
-    subjects = (
-        df.where(known).groupBy(*[as_column(b) for b in by], as_column(wid)).agg(*means, *sides)
-    )
-    for i, b in enumerate(between):
+    unit = [as_column(c) for c in [*by, wid]]
+    factors = [as_column(b) for b in between]
+    subjects = df.where(known).groupBy(*unit, *factors).agg(*means)
+    if between:
+        # a second row of one subject means a second between cell
+        cells = F.count(F.lit(1)).over(Window.partitionBy(*unit))
         subjects = fail_when(
-            subjects,
-            F.col(f"__min_{i}") != F.col(f"__max_{i}"),
-            f"{b} differs within one {wid}",
+            subjects.withColumn("__cells", cells),
+            F.col("__cells") > 1,
+            f"{' or '.join(between)} differs within one {wid}",
         )
     y = [F.col(f"__y{i}") for i in range(len(means))]
     missing = F.lit(False)
@@ -96,7 +93,7 @@ def subject_table(
     b = len(y)
     return subjects.select(
         *[as_column(k) for k in by],
-        *[F.col(f"__min_{i}").alias(f) for i, f in enumerate(between)],
+        *factors,
         mix([1 / math.sqrt(b)] * b).alias("m"),
         *[mix(w).alias(f"c{k}") for k, w in enumerate(helmert(b), start=1)],
     )

@@ -161,7 +161,7 @@ def _daily(spark, sf):
     sums = (
         vw.table(spark, sf, "events")
         .groupBy("user_id", F.dayofmonth("ts").alias("day"), "event_type")
-        .agg(F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"))
+        .agg(vw.exact_sum(F.col("value")).alias("total"))
     )
     return re_.spread(
         sums, ["user_id", "day"], "event_type", "total", ["click", "error", "signup", "view"]
@@ -304,14 +304,14 @@ def join_inner_equi(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def pair_levels(spark: SparkSession, sf: str) -> DataFrame:
-    df = tt.pair_levels(vw.mixed(spark, sf), "score", "block", "subject", levels=STATUS)
+    df = tt.pair_levels(vw.mixed_means(spark, sf), "score", "block", "subject", levels=STATUS)
     return rounded(df.toDF("subject", "score_f", "score_o", "score_p"),
                    "score_f", "score_o", "score_p")
 
 
 @query
 def attach_global_ndistinct(spark: SparkSession, sf: str) -> DataFrame:
-    df = vw.merged(spark, sf).where(YOUNGER).where(OF_BUILDING)
+    df = _stored(spark, sf).where(YOUNGER).where(OF_BUILDING)
     total = gr.ndistinct(df, "subject")
     return gr.attach_total(df.select(*KEY), total, "num_participants")
 
@@ -710,7 +710,7 @@ def t_test_p(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def pairwise_t(spark: SparkSession, sf: str) -> DataFrame:
     df = tt.pairwise_t(
-        vw.mixed(spark, sf), "score", "block", "subject", "none", by=["language"], levels=STATUS
+        vw.mixed_means(spark, sf), "score", "block", "subject", "none", by=["language"], levels=STATUS
     )
     return rounded(
         df.select("language", "level_1", "level_2", "n", "mean_diff", "sd_diff", "df", "t"),
@@ -722,7 +722,7 @@ def pairwise_t(spark: SparkSession, sf: str) -> DataFrame:
 def pairwise_t_p(spark: SparkSession, sf: str) -> DataFrame:
     both = [
         tt.pairwise_t(
-            vw.mixed(spark, sf), "score", "block", "subject", adjust, by=["language"],
+            vw.mixed_means(spark, sf), "score", "block", "subject", adjust, by=["language"],
             levels=STATUS,
         ).withColumn("adjust", F.lit(adjust))
         for adjust in ("holm", "bonferroni")
@@ -802,7 +802,7 @@ def _effects(df: DataFrame, *by: str) -> DataFrame:
 
 @query
 def anova_between(spark: SparkSession, sf: str) -> DataFrame:
-    return _effects(an.anova(vw.mixed(spark, sf), "score", "subject", between="language"))
+    return _effects(an.anova(vw.mixed_means(spark, sf, within=False), "score", "subject", between="language"))
 
 
 def _sector(df: DataFrame) -> DataFrame:
@@ -812,14 +812,14 @@ def _sector(df: DataFrame) -> DataFrame:
 
 @query
 def anova_between_two(spark: SparkSession, sf: str) -> DataFrame:
-    df = _sector(vw.mixed(spark, sf))
+    df = _sector(vw.mixed_means(spark, sf, within=False))
     return _effects(an.anova(df, "score", "subject", between=["sector", "half"], type=2))
 
 
 @query
 def anova_rm(spark: SparkSession, sf: str) -> DataFrame:
     df = an.anova(
-        vw.mixed(spark, sf), "score", "subject", "block", by=["language"], within_levels=STATUS
+        vw.mixed_means(spark, sf), "score", "subject", "block", by=["language"], within_levels=STATUS
     )
     return _effects(df, "language")
 
@@ -828,7 +828,7 @@ def anova_rm(spark: SparkSession, sf: str) -> DataFrame:
 def anova_mixed(spark: SparkSession, sf: str) -> DataFrame:
     return _effects(
         an.anova(
-            vw.mixed(spark, sf), "score", "subject", "block", "language", within_levels=STATUS
+            vw.mixed_means(spark, sf), "score", "subject", "block", "language", within_levels=STATUS
         )
     )
 
@@ -837,7 +837,7 @@ def anova_mixed(spark: SparkSession, sf: str) -> DataFrame:
 def anova_mixed_type2(spark: SparkSession, sf: str) -> DataFrame:
     return _effects(
         an.anova(
-            vw.mixed(spark, sf), "score", "subject", "block", "language", type=2,
+            vw.mixed_means(spark, sf), "score", "subject", "block", "language", type=2,
             within_levels=STATUS,
         )
     )
@@ -862,13 +862,13 @@ def anova_mixed_blocks(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def anova_mixed_p(spark: SparkSession, sf: str) -> DataFrame:
     return an.anova(
-        vw.mixed(spark, sf), "score", "subject", "block", "language", within_levels=STATUS
+        vw.mixed_means(spark, sf), "score", "subject", "block", "language", within_levels=STATUS
     )
 
 
 @query
 def anova_mixed_two_between(spark: SparkSession, sf: str) -> DataFrame:
-    df = _sector(vw.mixed(spark, sf))
+    df = _sector(vw.mixed_means(spark, sf))
     return _effects(
         an.anova(df, "score", "subject", "block", ["sector", "half"], within_levels=STATUS)
     )
@@ -877,7 +877,7 @@ def anova_mixed_two_between(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def anova_mixed_five_by_two(spark: SparkSession, sf: str) -> DataFrame:
     return an.anova(
-        vw.mixed(spark, sf), "score", "subject", "block", ["language", "half"],
+        vw.mixed_means(spark, sf), "score", "subject", "block", ["language", "half"],
         within_levels=STATUS,
     )
 
@@ -885,7 +885,7 @@ def anova_mixed_five_by_two(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def sphericity(spark: SparkSession, sf: str) -> DataFrame:
     df = an.anova(
-        vw.mixed(spark, sf), "score", "subject", "block", "language", within_levels=STATUS
+        vw.mixed_means(spark, sf), "score", "subject", "block", "language", within_levels=STATUS
     )
     return df.where(F.col("w").isNotNull()).select(
         "effect", *[F.round(c, 8).alias(c) for c in ("w", "gg_eps", "hf_eps")]

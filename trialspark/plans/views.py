@@ -7,7 +7,7 @@ import zipfile
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialspark.functions.scalars import flag
@@ -25,14 +25,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def exact_sum(value: Column) -> Column:
+    """Sum of values of two decimals, the same in any order."""
+    return F.sum(F.rint(value * 100).cast("bigint")) / F.lit(100)
+
+
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Looking time per subject, phase and trial.
 
-    Times are summed as decimals, so neither row order nor a retried task can
-    move a total across a cut-off.
+    Times are summed in whole hundredths, so neither row order nor a retried
+    task can move a total across a cut-off.
     """
     day = F.dayofmonth("ts")
-    value = F.col("value").cast("decimal(18,2)")
     return (
         table(spark, sf_dir, "events")
         .groupBy(
@@ -42,8 +46,7 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .agg(
             *[
-                F.coalesce(F.sum(F.when(F.col("event_type") == event, value)), F.lit(0))
-                .cast("double")
+                exact_sum(F.when(F.col("event_type") == event, F.col("value")).otherwise(0.0))
                 .alias(aoi)
                 for aoi, event in AOI_EVENTS.items()
             ]
@@ -126,6 +129,25 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mixed_means(spark: SparkSession, sf_dir: str, within: bool = True) -> DataFrame:
+    """`mixed` reduced to the mean per subject (and block) before the join.
+
+    The subject tests need no more than these means, and a customer with very
+    many orders is combined before its rows meet in one task.
+    """
+    keys = ["o_custkey", "o_orderstatus"] if within else ["o_custkey"]
+    means = table(spark, sf_dir, "orders").groupBy(*keys).agg(F.avg("o_totalprice").alias("score"))
+    return means.join(
+        table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "inner"
+    ).select(
+        F.col("o_custkey").alias("subject"),
+        *([F.col("o_orderstatus").alias("block")] if within else []),
+        F.col("c_mktsegment").alias("language"),
+        F.when(F.col("c_nationkey") % 2 == 0, "even").otherwise("odd").alias("half"),
+        "score",
+    )
+
+
 def workbook_bytes(header: list[str], rows: list[list]) -> bytes:
     """A one-sheet workbook; None becomes the missing token `-`."""
     main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
