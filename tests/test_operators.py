@@ -10,7 +10,7 @@ from trialspark.operators import columns as co
 from trialspark.operators import groups as gr
 from trialspark.operators import joins as jo
 from trialspark.operators import quantiles as qu
-from trialspark.operators import reshape as re_
+from trialspark.operators import reshape as rs
 from trialspark.operators import rows as ro
 
 SLOW = settings(
@@ -126,7 +126,7 @@ def test_separate(spark):
     df = spark.createDataFrame(
         [("Bilinguals-A",), ("Monolinguals",), ("a_b.c",), (None,), ("é–x",)], "g string"
     )
-    got = [tuple(r) for r in re_.separate(df, "g", ["language", "group"]).collect()]
+    got = [tuple(r) for r in rs.separate(df, "g", ["language", "group"]).collect()]
     assert got == [("Bilinguals", "A"), ("Monolinguals", None), ("a", "b"), (None, None), ("é", "x")]
 
 
@@ -134,18 +134,18 @@ def test_spread_guards_repeated_keys(spark):
     df = spark.createDataFrame(
         [("k", "x", 1.0), ("k", "y", None), ("l", "y", 3.0)], "k string, n string, v double"
     )
-    assert rows(re_.spread(df, ["k"], "n", "v")) == [("k", 1.0, None), ("l", None, 3.0)]
+    assert rows(rs.spread(df, ["k"], "n", "v")) == [("k", 1.0, None), ("l", None, 3.0)]
     twice = df.union(spark.createDataFrame([("k", "y", None)], df.schema))
     with pytest.raises(Exception, match="repeated key"):
-        re_.spread(twice, ["k"], "n", "v").collect()
-    assert re_.spread(twice, ["k"], "n", "v", on_duplicate="max").count() == 2
+        rs.spread(twice, ["k"], "n", "v").collect()
+    assert rs.spread(twice, ["k"], "n", "v", on_duplicate="max").count() == 2
     many = spark.range(1).select(
         F.lit("k").alias("k"), F.explode(F.array(*[F.lit(f"c{i}") for i in range(130)])).alias("n"),
         F.lit(1).alias("v"),
     )
-    assert len(re_.spread(many, ["k"], "n", "v").columns) == 131
+    assert len(rs.spread(many, ["k"], "n", "v").columns) == 131
     with pytest.raises(Exception, match="repeated key"):
-        re_.spread(many.union(many.where("n = 'c125'")), ["k"], "n", "v").collect()
+        rs.spread(many.union(many.where("n = 'c125'")), ["k"], "n", "v").collect()
 
 
 def test_unique_keys(spark):
@@ -232,6 +232,22 @@ def test_median_survives_a_poor_sketch(spark, monkeypatch):
 def test_long_and_wide_are_inverse(spark, table):
     data = [(k, *v) for k, v in table.items()]
     df = spark.createDataFrame(data, "k int, x int, y int, z int")
-    long = re_.melt_range(df, "x", "z")
+    long = rs.melt_range(df, "x", "z")
     assert long.count() == 3 * len(data)
-    assert rows(re_.spread(long, ["k"], "aoi", "looking_time", ["x", "y", "z"])) == rows(df)
+    assert rows(rs.spread(long, ["k"], "aoi", "looking_time", ["x", "y", "z"])) == rows(df)
+
+
+def test_sketches_are_offered(spark):
+    df = spark.range(1000).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("v"))
+    for r in gr.median_of(df, "v", ["g"], exact=False).collect():
+        assert abs(r["median"] - 500) < 5
+    for r in gr.ndistinct(df, "v", ["g"], exact=False).collect():
+        assert abs(r["n_distinct"] - 500) < 50
+
+
+def test_median_of_many_groups_is_lazy(spark):
+    df = spark.range(60).select((F.col("id") % 20).alias("g"), F.col("id").cast("double").alias("v"))
+    want = rows(df.groupBy("g").agg(F.median("v")))
+    assert rows(gr.median_of(df, "v", ["g"], few_groups=False)) == want
+    got = gr.with_group_median(df, "v", ["g"], few_groups=False)
+    assert {(r["g"], r["group_median"]) for r in got.collect()} == set(want)

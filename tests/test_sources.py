@@ -25,6 +25,9 @@ def test_parquet_null_token_only_touches_text(spark, tmp_path):
     assert sorted((r["s"], r["n"]) for r in got if r["s"]) == [("a-", -1)]
     kept = read_table(spark, str(tmp_path / "p"), null_token=None).where("s = '-'").count()
     assert kept == 1
+    chosen = read_table(spark, str(tmp_path / "p"), null_columns=["n"]).where("s = '-'")
+    assert chosen.count() == 1
+    assert "EqualTo(s,-)" in chosen._jdf.queryExecution().executedPlan().toString()
 
 
 def test_write_series_and_store(spark, tmp_path):

@@ -296,3 +296,22 @@ def test_local_smoother(spark):
     )
     for r in trend(df, "x", "y", by=["s"], method="loess").collect():
         assert r["fit"] == close(r["s"] + r["x"] ** 2 * 0.5, 8)
+
+
+def test_result_does_not_depend_on_row_order_or_partitions(design):
+    want = effects(anova(design, "y", "subject", "block", "grp"))
+    shuffled = design.orderBy(F.desc("y")).repartition(5, "block")
+    got = effects(anova(shuffled, "y", "subject", "block", "grp"))
+    for name, r in want.items():
+        assert got[name]["ss_n"] == close(r["ss_n"], 12) and got[name]["ss_d"] == close(r["ss_d"], 12)
+
+
+def test_holm_never_exceeds_bonferroni(spark):
+    ps = [0.5, 0.001, 0.02, 0.02, 0.9, 0.049]
+    df = spark.createDataFrame([(p, g) for p in ps for g in "ab"], "p double, g string")
+    both = p_adjust(p_adjust(df, adjust="holm", by=["g"], name="holm"), adjust="bonferroni", by=["g"], name="bonf")
+    rows = sorted(both.where("g = 'a'").collect(), key=lambda r: r["p"])
+    assert all(r["p"] <= r["holm"] <= r["bonf"] for r in rows)
+    assert [r["holm"] for r in rows] == sorted(r["holm"] for r in rows)
+    assert rows[0]["holm"] == close(0.006) and rows[0]["bonf"] == close(0.006)
+    assert rows[3]["holm"] == close(0.049 * 3)

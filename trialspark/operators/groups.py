@@ -93,12 +93,17 @@ def ndistinct(
 
 
 def median_of(
-    df: DataFrame, col: str, by: Sequence[str] = (), exact: bool = True, name: str = "median"
+    df: DataFrame,
+    col: str,
+    by: Sequence[str] = (),
+    exact: bool = True,
+    name: str = "median",
+    few_groups: bool = True,
 ) -> DataFrame:
     """Grouped median that skips missing values."""
     df = df.select(*_keys(by), clean(df, col).alias("__value"))
     if exact:
-        return group_median(df, "__value", by, name)
+        return group_median(df, "__value", by, name, few_groups)
     return df.groupBy(*_keys(by)).agg(
         F.percentile_approx("__value", 0.5).cast("double").alias(name)
     )
@@ -149,9 +154,15 @@ def with_group_mean(
 
 
 def with_group_median(
-    df: DataFrame, col: str, by: Sequence[str], exact: bool = True, name: str = "group_median"
+    df: DataFrame,
+    col: str,
+    by: Sequence[str],
+    exact: bool = True,
+    name: str = "group_median",
+    few_groups: bool = True,
 ) -> DataFrame:
-    return join_group(df, settle(median_of(df, col, by, exact, name)), by)
+    medians = median_of(df, col, by, exact, name, few_groups)
+    return join_group(df, settle(medians) if few_groups else medians, by)
 
 
 def attach_total(df: DataFrame, total: DataFrame, name: str) -> DataFrame:

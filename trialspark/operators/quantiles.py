@@ -24,8 +24,13 @@ SKETCH_ACCURACY = 10_000
 BRACKET = 2.0 / SKETCH_ACCURACY
 
 
-def group_median(df: DataFrame, col: str, by: Sequence[str], name: str) -> DataFrame:
-    """Exact median per group; the two middle values are averaged."""
+def group_median(
+    df: DataFrame, col: str, by: Sequence[str], name: str, few_groups: bool = True
+) -> DataFrame:
+    """Exact median per group; the two middle values are averaged.
+
+    `few_groups=False` skips the attempt to settle, for groups known to be many.
+    """
     n = F.col("__n")
     return _between_ranks(
         _values(df, col, by, F.lit(1)),
@@ -34,6 +39,7 @@ def group_median(df: DataFrame, col: str, by: Sequence[str], name: str) -> DataF
         high_rank=F.floor((n + 2) / 2),
         share=0.5,
         name=name,
+        few_groups=few_groups,
     )
 
 
@@ -76,6 +82,7 @@ def _between_ranks(
     high_rank: Column,
     share: float,
     name: str,
+    few_groups: bool = True,
 ) -> DataFrame:
     keys = [as_column(b) for b in by]
     v, w = F.col("__v"), F.col("__w")
@@ -87,7 +94,7 @@ def _between_ranks(
         .agg(F.percentile_approx(v, wanted, SKETCH_ACCURACY).alias("__q"))
         .select(*keys, F.col("__q")[0].alias("__lo"), F.col("__q")[1].alias("__hi"))
     )
-    sketch = settle(sketch)
+    sketch = settle(sketch) if few_groups else sketch
 
     # 2. exact counts on both sides of the bracket, and where the ranks fall
     lo, hi = F.col("__lo"), F.col("__hi")
@@ -121,7 +128,7 @@ def _between_ranks(
             .alias("__base"),
         )
     )
-    counted = settle(counted)
+    counted = settle(counted) if few_groups else counted
 
     # 3. order the distinct values inside the bracket
     running = F.sum("__c").over(

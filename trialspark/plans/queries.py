@@ -17,7 +17,7 @@ from trialspark.operators import columns as co
 from trialspark.operators import groups as gr
 from trialspark.operators import joins as jo
 from trialspark.operators import oneway as ow
-from trialspark.operators import reshape as re_
+from trialspark.operators import reshape as rs
 from trialspark.operators import rows as ro
 from trialspark.operators import trend as tr
 from trialspark.operators import ttests as tt
@@ -163,7 +163,7 @@ def _daily(spark, sf):
         .groupBy("user_id", F.dayofmonth("ts").alias("day"), "event_type")
         .agg(vw.exact_sum(F.col("value")).alias("total"))
     )
-    return re_.spread(
+    return rs.spread(
         sums, ["user_id", "day"], "event_type", "total", ["click", "error", "signup", "view"]
     )
 
@@ -261,7 +261,7 @@ def complete_subjects(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def wide_to_long(spark: SparkSession, sf: str) -> DataFrame:
-    return re_.melt_range(_renamed(spark, sf), "Test_1_Circle", "Training_15_Target")
+    return rs.melt_range(_renamed(spark, sf), "Test_1_Circle", "Training_15_Target")
 
 
 @query
@@ -269,14 +269,14 @@ def separate_columns(spark: SparkSession, sf: str) -> DataFrame:
     df = _orders(spark, sf).select(
         "o_orderkey", "o_orderpriority", F.col("o_orderpriority").alias("again")
     )
-    two = re_.separate(df, "o_orderpriority", ["code", "word"])
-    return re_.separate(two, "again", ["part_1", "part_2", "part_3"])
+    two = rs.separate(df, "o_orderpriority", ["code", "word"])
+    return rs.separate(two, "again", ["part_1", "part_2", "part_3"])
 
 
 @query
 def long_to_wide(spark: SparkSession, sf: str) -> DataFrame:
     counts = gr.count_of(vw.table(spark, sf, "events"), ["user_id", "event_type"])
-    return re_.spread(
+    return rs.spread(
         counts,
         ["user_id"],
         "event_type",

@@ -62,7 +62,10 @@ def to_trials(
         names = [c for c in names if c in kept]
     cells: dict[tuple[str, str], dict[str, str]] = {}
     for c in names:
-        phase, trial, aoi = re.split(r"[\W_]+", c)[:3]
+        pieces = re.split(r"[\W_]+", c)
+        if len(pieces) < 3:
+            raise ValueError(f"column {c!r} does not name a phase, a trial and a measure")
+        phase, trial, aoi = pieces[:3]
         if aoi in cells.setdefault((phase, trial), {}):
             raise ValueError(f"two columns for {phase} {trial} {aoi}")
         cells[(phase, trial)][aoi] = c

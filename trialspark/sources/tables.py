@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +19,14 @@ def read_table(
     format: str = "parquet",
     null_token: str | None = "-",
     schema: T.StructType | str | None = None,
+    null_columns: Sequence[str] | None = None,
     **options,
 ) -> DataFrame:
     """Read a table in which one token stands for a missing cell.
 
     Without a schema the types come from the file, for CSV by inference over it.
+    In typed files the token is looked for in text columns, or only in
+    `null_columns`; filters on the other columns still reach the file.
     """
     reader = spark.read.options(**options)
     if format == "csv":
@@ -40,6 +44,7 @@ def read_table(
         *[
             F.nullif(as_column(f.name), F.lit(null_token)).alias(f.name)
             if isinstance(f.dataType, T.StringType)
+            and (null_columns is None or f.name in null_columns)
             else as_column(f.name)
             for f in df.schema.fields
         ]
