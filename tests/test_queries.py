@@ -4,6 +4,8 @@ import pytest
 from oracle_check import compare, connect
 
 import __spark_entry__ as entry
+from trialspark.plans.oracles import ORACLES
+from trialspark.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 REPORTS = {
@@ -18,10 +20,10 @@ def con():
 
 
 def test_registry():
-    assert set(entry.oracle_sql()) == set(entry.queries()) - REPORTS
+    assert set(ORACLES) == set(QUERIES) - REPORTS
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_equal_to_sql(spark, con, name):
     assert compare(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name]) == ""
 
