@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from trialspark.llm import op1_sentencepiece
+from trialspark.llm import op1_sentencepiece, op4_substring, op5_suffix_array
 
 CORPUS_QUERIES = {
     "op1_sentencepiece": op1_sentencepiece.query,
+    "op4_substring": op4_substring.query,
+    "op5_suffix_array": op5_suffix_array.query,
 }
 
 CORPUS_ORACLES: dict[str, str] = {}
