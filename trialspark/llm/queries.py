@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from trialspark.llm import op1_sentencepiece, op4_substring, op5_suffix_array
+from trialspark.llm import op1_sentencepiece, op4_substring, op5_suffix_array, op6_warc, op9_exact, op10_neighbours
 
 CORPUS_QUERIES = {
     "op1_sentencepiece": op1_sentencepiece.query,
     "op4_substring": op4_substring.query,
     "op5_suffix_array": op5_suffix_array.query,
+    "op6_warc": op6_warc.query,
+    "op9_exact": op9_exact.query,
+    "op10_neighbours": op10_neighbours.query,
 }
 
-CORPUS_ORACLES: dict[str, str] = {}
+CORPUS_ORACLES = {
+    "op6_warc": op6_warc.ORACLE,
+    "op9_exact": op9_exact.ORACLE,
+}
