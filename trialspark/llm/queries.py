@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from trialspark.llm import op1_sentencepiece, op4_substring, op5_suffix_array, op6_warc, op9_exact, op10_neighbours
+from trialspark.llm import op1_sentencepiece, op2_minhash, op4_substring, op5_suffix_array, op6_warc, op9_exact, op10_neighbours
 
 CORPUS_QUERIES = {
     "op1_sentencepiece": op1_sentencepiece.query,
+    "op2_minhash": op2_minhash.query,
     "op4_substring": op4_substring.query,
     "op5_suffix_array": op5_suffix_array.query,
     "op6_warc": op6_warc.query,
