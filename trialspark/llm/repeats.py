@@ -34,8 +34,8 @@ from trialspark.llm.common import BYTE_SYMBOLS, Runs, mix, partitions, pieces, r
 
 #: Contexts of one gram that are judged together.
 CROWD = 256
-#: Shards of a shuffle partition.
-SHARDS = 4
+#: Shards of a shuffle partition, by gram and by document. A group writes at most one row for each shard it meets.
+GRAM_SHARDS, DOC_SHARDS = 2, 1
 
 
 @dataclass(frozen=True)
@@ -192,7 +192,7 @@ def remove_repeats(docs: DataFrame, unit: Unit, judge: Judge, finish: Callable,
     arrays for the columns `added`, which replace input columns of the same name.
     """
     spark = docs.sparkSession
-    shards = SHARDS * partitions(spark)
+    gram_shards, shards = GRAM_SHARDS * partitions(spark), DOC_SHARDS * partitions(spark)
     names = [f.name for f in docs.schema.fields if f.name not in added.names]
     out = T.StructType([f for f in docs.schema.fields if f.name in names] + added.fields)
 
@@ -205,7 +205,7 @@ def remove_repeats(docs: DataFrame, unit: Unit, judge: Judge, finish: Callable,
             if found:
                 c = Contexts.join(found)
                 heads, _, rest = settle(c)
-                yield _pack(0, _of_key(heads.key, shards), heads)
+                yield _pack(0, _of_key(heads.key, gram_shards), heads)
                 r = c.take(rest)
                 spans = _united(r.doc, r.begin, r.begin + r.extra + unit.window)
                 yield _pack(1, _of_doc(spans.doc, shards), spans)
@@ -250,8 +250,9 @@ def remove_repeats(docs: DataFrame, unit: Unit, judge: Judge, finish: Callable,
         if not found.num_rows:
             return _empty()
         kind = found.column("kind").to_numpy()
-        passed = found.filter(pc.equal(found.column("kind"), 1))
-        made = [pa.Table.from_batches(passed.to_batches(), _ARROW)]
+        passed = _unpack(found.filter(pc.equal(found.column("kind"), 1)))
+        spans = _united(passed.doc, passed.begin, passed.begin + passed.extra)
+        made = [pa.Table.from_batches([_pack(1, _of_doc(spans.doc, shards), spans)])]
         sides = [(k, c.take(np.argsort(c.doc, kind="stable"))) for k in (2, 3) if (kind == k).any() for c in [_unpack(found.filter(pc.equal(found.column("kind"), k)))]]
         if not sides:
             return made[0]
@@ -292,7 +293,7 @@ def remove_repeats(docs: DataFrame, unit: Unit, judge: Judge, finish: Callable,
             stays[single[rest]] = False
             index = np.flatnonzero(stays)
             c, content = c.take(index), [content[k] for k in index]
-        made.append(pa.Table.from_batches([_pack(0, _of_key(c.key, shards), c, content)]))
+        made.append(pa.Table.from_batches([_pack(0, _of_key(c.key, gram_shards), c, content)]))
         return pa.concat_tables(made)
 
     def decide(t: pa.Table) -> pa.Table:
