@@ -1,17 +1,24 @@
-"""Registered queries of the corpus operators, with SQL where it can say the same."""
+"""Registered queries of the corpus operators and their pipeline, with SQL where it can say the same."""
 
 from __future__ import annotations
 
-from trialspark.llm import op1_sentencepiece, op2_minhash, op4_substring, op5_suffix_array, op6_warc, op9_exact, op10_neighbours
+import corpus_pipeline
+from trialspark.llm import (
+    op1_sentencepiece, op2_minhash, op3_toxicity, op4_substring, op5_suffix_array, op6_warc, op7_packing, op8_token_counts, op9_exact, op10_neighbours,
+)
 
 CORPUS_QUERIES = {
     "op1_sentencepiece": op1_sentencepiece.query,
     "op2_minhash": op2_minhash.query,
+    "op3_toxicity": op3_toxicity.query,
     "op4_substring": op4_substring.query,
     "op5_suffix_array": op5_suffix_array.query,
     "op6_warc": op6_warc.query,
+    "op7_packing": op7_packing.query,
+    "op8_token_counts": op8_token_counts.query,
     "op9_exact": op9_exact.query,
     "op10_neighbours": op10_neighbours.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 CORPUS_ORACLES = {
