@@ -6,15 +6,15 @@ is what links connect.
 1. Equal sets are one class, represented by its smallest document; only representatives go on.
 2. Each sketch falls into BANDS buckets. A bucket's smallest document is its centre, and the candidate pairs are the
    star (centre, member): as many as members, whatever the bucket's size. They are confirmed on the full sets.
-3. Stars alone could lose a link between two members. In buckets whose members are still in several components, a
-   member x outside the bucket's main component is held against each other component there that its distance to
-   the centre allows: 1 - similarity is a metric, so x and y cannot be linked if their distances to the centre differ by
-   more than 1 - least / 100. Such an x meets the component's members in blocks, on full sets; only links are returned.
+3. Stars alone could lose a link between two members. Where the members of a centre are still in several components,
+   each member x outside the main one is held against the others, unless they are in its component or its distance
+   to the centre rules them out: 1 - similarity is a metric, so x and y cannot be linked if their distances to the centre
+   differ by more than 1 - least / 100. They are tested in blocks, on full sets; only links are returned.
 
 So of all pairs that share a bucket no link is lost, and pairs are not listed but tested inside tasks. A pair at the
-threshold shares no bucket with probability 3e-7 (`sketches`).
+threshold shares no bucket with probability 5e-7 (`sketches`).
 
-Large stars and components are cut into blocks of about BLOCK documents; equal sets and bucket minima are aggregated
+Large stars are cut into blocks of about BLOCK documents; equal sets and bucket minima are aggregated
 within tasks first; joins that may meet a large key are between stored tables, which adaptive execution splits.
 
 Rows: a document without words is linked with nothing. Rows without an id are their own group, with a null component,
@@ -28,15 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import pieces, save, table
+from trialspark.llm.common import pieces, ragged, save, table
 from trialspark.llm.graph import components
 from trialspark.llm.sketches import BANDS, band_keys, set_names, shingle_sets, sketch
 
-#: Documents of a star or component that are tested in one place.
+#: Documents of a star that are tested in one place.
 BLOCK = 256
+#: Ids (8 bytes each) that may be broadcast to pick texts; more are joined by a shuffle.
+FEW_IDS = 2_000_000
 
 
 def _sketched(docs: DataFrame, words: int) -> DataFrame:
@@ -54,39 +56,52 @@ def _sketched(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _tested(left: DataFrame, right: DataFrame, bodies: DataFrame, words: int, least: int, only_links: bool) -> DataFrame:
-    """Pairs of a left and a right document of one `place`, by their full sets: a, b, similarity."""
+    """Pairs of a left and a right document of one part of a star, by their full sets: a, b, similarity, linked.
+
+    With `only_links`, pairs of one component or with distances to the centre too far apart are passed over, and
+    only linked pairs are returned.
+    """
+    room = 1 - least / 100 + 1e-9
 
     def run(x: pa.Table, y: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if x.num_rows and y.num_rows:
-            ids_x, ids_y = x.column("doc").to_numpy(), y.column("doc").to_numpy()
+            (ids_x, far_x, own_x), (ids_y, far_y, own_y) = (tuple(t.column(c).to_numpy() for c in ("doc", "far", "component")) for t in (x, y))
             (value_x, at_x), (value_y, at_y) = (shingle_sets(t.column("text"), words) for t in (x, y))
             size_x, size_y = np.diff(at_x), np.diff(at_y)
             for k in np.flatnonzero(size_x > 0):
-                mine = value_x[at_x[k] : at_x[k + 1]]
-                at = np.minimum(np.searchsorted(mine, value_y), len(mine) - 1)
-                both = np.diff(np.r_[0, np.cumsum(mine[at] == value_y)][at_y])
-                union = size_x[k] + size_y - both
                 take = (ids_y != ids_x[k]) & (size_y > 0)
                 if only_links:
-                    take &= 100 * both >= least * union
-                out.append((np.full(take.sum(), ids_x[k]), ids_y[take], both[take] / union[take], 100 * both[take] >= least * union[take]))
+                    take &= (own_y != own_x[k]) & (np.abs(far_y - far_x[k]) <= room)
+                    take &= (100 * size_y >= least * size_x[k]) & (100 * size_x[k] >= least * size_y)
+                take = np.flatnonzero(take)
+                if not len(take):
+                    continue
+                mine = value_x[at_x[k] : at_x[k + 1]]
+                theirs = value_y[ragged(at_y[take], size_y[take])]
+                found = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+                both = np.diff(np.r_[0, np.cumsum(found)][np.r_[0, np.cumsum(size_y[take])]])
+                union = size_x[k] + size_y[take] - both
+                linked = 100 * both >= least * union
+                if only_links:
+                    take, both, union, linked = take[linked], both[linked], union[linked], linked[linked]
+                out.append((np.full(len(take), ids_x[k]), ids_y[take], both / union, linked))
         a, b, s, linked = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(s, pa.float64()), "linked": pa.array(linked, pa.bool_())})
 
-    x, y = (t.join(bodies, "doc").select(*(F.col(c).alias(c) for c in ("place", "part", "doc", "text"))) for t in (left, right))
+    x, y = (t.join(bodies, "doc").select(*(F.col(c).alias(c) for c in ("place", "part", "doc", "far", "component", "text"))) for t in (left, right))
     return x.groupBy("place", "part").cogroup(y.groupBy("place", "part")).applyInArrow(run, "a long, b long, similarity double, linked boolean")
 
 
 def _in_blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(place, doc) dealt to parts of about BLOCK documents, and the number of parts of the places that have several."""
+    """Members of stars dealt to parts of about BLOCK documents, and the number of parts of the stars that have several."""
     parts = save(members.groupBy("place").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("place", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "op2-parts")
-    dealt = members.join(parts, "place", "left").select("place", F.pmod(F.xxhash64("doc"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "doc")
+    dealt = members.join(parts, "place", "left").withColumn("part", F.pmod(F.xxhash64("doc"), F.coalesce("parts", F.lit(1))).cast("int"))
     return dealt, parts
 
 
 def _to_all_parts(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    return rows.join(parts, "place", "left").select("place", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), "doc")
+    return rows.join(parts, "place", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
 
 
 def near_groups(docs: DataFrame, words: int = 5, least: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -97,33 +112,28 @@ def near_groups(docs: DataFrame, words: int = 5, least: int = 80, text: str = "t
     classes = save(sketched.where("n > 0 AND doc IS NOT NULL").groupBy("h", "h2", "n").agg(F.min("doc").alias("first")), "op2-classes")
     banded = sketched.where("n > 0").join(classes.select(F.col("first").alias("doc")).distinct(), "doc", "left_semi").select("doc", F.explode("keys").alias("key"))
     buckets = save(banded.groupBy("key").agg(F.min("doc").alias("centre"), F.max("doc").alias("last")).where("centre < last").select("key", "centre"), "op2-buckets")
-    members = save(banded.join(buckets, "key").where("doc <> centre").select("key", "centre", "doc").distinct(), "op2-members")
-
-    stars = save(members.select(F.col("centre").alias("place"), "doc").distinct(), "op2-stars")
-    needed = stars.select("doc").union(stars.select("place")).distinct()
-    bodies = save(plain.join(needed, "doc", "left_semi"), "op2-bodies")
-    dealt, parts = _in_blocks(stars)
-    centres = _to_all_parts(stars.select("place").distinct().withColumn("doc", F.col("place")), parts)
-    tested = save(_tested(centres, dealt, bodies, words, least, False).groupBy("a", "b").agg(F.max("similarity").alias("similarity"), F.max("linked").alias("linked")), "op2-tested")
+    stars = save(banded.join(buckets, "key").where("doc <> centre").select(F.col("centre").alias("place"), "doc").distinct(), "op2-stars")
+
+    needed = save(stars.select("doc").union(stars.select("place")).distinct(), "op2-needed")
+    few = needed.count() <= FEW_IDS
+    bodies = save(plain.join(F.broadcast(needed) if few else needed, "doc", "left_semi"), "op2-bodies")
+    unknown = {"far": F.lit(0.0), "component": F.col("doc")}
+    dealt, parts = _in_blocks(stars.withColumns(unknown))
+    centres = stars.select("place").distinct().withColumn("doc", F.col("place")).withColumns(unknown)
+    tested = _tested(_to_all_parts(centres, parts), dealt, bodies, words, least, False)
+    tested = save(tested.groupBy("a", "b").agg(F.max("similarity").alias("similarity"), F.max("linked").alias("linked")), "op2-tested")
     links = tested.where("linked").select("a", "b")
     first = components(links)
 
-    # what stars may have missed: members of a bucket in different components
-    in_component = F.coalesce("component", "doc")
-    far = tested.select(F.col("a").alias("centre"), F.col("b").alias("doc"), (1 - F.col("similarity")).alias("far"))
-    centre_rows = buckets.select("key", F.col("centre").alias("doc"), F.lit(0.0).alias("far"))
-    placed = members.join(far, ["centre", "doc"]).select("key", "doc", "far").unionByName(centre_rows)
-    placed = save(placed.join(first.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "far", in_component.alias("component")), "op2-placed")
-    present = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.max("far").alias("reach"), F.min("far").alias("near"))
-    several = save(present.withColumn("of", F.count("*").over(Window.partitionBy("key"))).where("of > 1").drop("of"), "op2-present")
-    main = several.groupBy("key").agg(F.max(F.struct("n", F.negative("component").alias("c"))).alias("m")).select("key", F.negative("m.c").alias("main"))
-    outside = placed.join(save(main, "op2-main"), "key").where("component <> main").select("key", "doc", "far", F.col("component").alias("own"))
-    room = 1 - least / 100 + 1e-9
-    asked = outside.join(several, "key").where((F.col("component") != F.col("own")) & (F.col("far") - F.col("reach") <= room) & (F.col("near") - F.col("far") <= room))
-    asked = save(asked.select(F.col("component").alias("place"), "doc").distinct(), "op2-asked")
-    groups = placed.select(F.col("component").alias("place"), "doc").distinct().join(asked.select("place").distinct(), "place", "left_semi")
-    dealt, parts = _in_blocks(save(groups, "op2-groups"))
-    more = _tested(_to_all_parts(asked, parts), dealt, bodies, words, least, True).select("a", "b")
+    # what stars may have missed: members of a centre in different components
+    placed = tested.select(F.col("a").alias("place"), F.col("b").alias("doc"), (1 - F.col("similarity")).alias("far"))
+    placed = placed.union(tested.select("a", F.col("a").alias("doc"), F.lit(0.0)).distinct())
+    placed = save(placed.join(first.withColumnRenamed("node", "doc"), "doc", "left").select("place", "doc", "far", F.coalesce("component", "doc").alias("component")), "op2-placed")
+    sizes = placed.groupBy("place", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("place").agg(F.count("*").alias("several"), F.max(F.struct("n", F.negative("component").alias("c"))).alias("m")).where("several > 1")
+    mixed = save(placed.join(save(main.select("place", F.negative("m.c").alias("main")), "op2-main"), "place"), "op2-mixed")
+    dealt, parts = _in_blocks(mixed)
+    more = _tested(_to_all_parts(mixed.where("component <> main"), parts), dealt, bodies, words, least, True).select("a", "b")
     found = components(links.union(save(more, "op2-more")))
 
     named = save(classes.join(found.withColumnRenamed("node", "first"), "first", "left").select("h", "h2", "n", F.coalesce("component", "first").alias("component_id")), "op2-named")

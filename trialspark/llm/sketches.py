@@ -7,9 +7,9 @@ import pyarrow as pa
 
 from trialspark.llm.common import BYTE_SYMBOLS, Runs, lower_ascii, mix, ragged, texts, word_spans
 
-#: Bands and rows of a band. A pair of similarity 0.8 shares no bucket with probability (1 - 0.8^7)^64 = 3e-7,
-#: one of similarity 0.2 shares one with 0.0008.
-BANDS, BAND_ROWS = 64, 7
+#: Bands and rows of a band. A pair of similarity 0.8 shares no bucket with probability (1 - 0.8^6)^48 = 5e-7,
+#: one of similarity 0.2 shares one with 0.003.
+BANDS, BAND_ROWS = 48, 6
 SLOTS = BANDS * BAND_ROWS
 _TRIES = 40
 
