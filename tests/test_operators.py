@@ -95,8 +95,8 @@ def test_factor_levels(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,)], "f string")
     assert rows(co.level_order(df, "f")) == [("a", 1), ("b", 2), (None, None)]
     assert rows(co.level_order(df, "f", reverse=True)) == [("a", 2), ("b", 1), (None, None)]
-    with pytest.raises(ValueError, match="more than 1 levels"):
-        co.levels_of(df, "f", max_levels=1)
+    assert rows(co.level_order(df, "f", ["b", "a", "c"])) == [("a", 2), ("b", 1), (None, None)]
+    assert rows(co.level_order(df, "f", ["b"])) == [("a", None), ("b", 1), (None, None)]
 
 
 def test_threshold_boundary(spark):
@@ -134,18 +134,18 @@ def test_spread_guards_repeated_keys(spark):
     df = spark.createDataFrame(
         [("k", "x", 1.0), ("k", "y", None), ("l", "y", 3.0)], "k string, n string, v double"
     )
-    assert rows(rs.spread(df, ["k"], "n", "v")) == [("k", 1.0, None), ("l", None, 3.0)]
+    assert rows(rs.spread(df, ["k"], "n", "v", ["x", "y"])) == [("k", 1.0, None), ("l", None, 3.0)]
     twice = df.union(spark.createDataFrame([("k", "y", None)], df.schema))
     with pytest.raises(Exception, match="repeated key"):
-        rs.spread(twice, ["k"], "n", "v").collect()
-    assert rs.spread(twice, ["k"], "n", "v", on_duplicate="max").count() == 2
+        rs.spread(twice, ["k"], "n", "v", ["x", "y"]).collect()
+    assert rs.spread(twice, ["k"], "n", "v", ["x", "y"], on_duplicate="max").count() == 2
     many = spark.range(1).select(
         F.lit("k").alias("k"), F.explode(F.array(*[F.lit(f"c{i}") for i in range(130)])).alias("n"),
         F.lit(1).alias("v"),
     )
-    assert len(rs.spread(many, ["k"], "n", "v").columns) == 131
+    assert len(rs.spread(many, ["k"], "n", "v", [f"c{i}" for i in range(130)]).columns) == 131
     with pytest.raises(Exception, match="repeated key"):
-        rs.spread(many.union(many.where("n = 'c125'")), ["k"], "n", "v").collect()
+        rs.spread(many.union(many.where("n = 'c125'")), ["k"], "n", "v", [f"c{i}" for i in range(130)]).collect()
 
 
 def test_unique_keys(spark):
@@ -192,14 +192,6 @@ def test_group_values_on_rows(spark):
     assert {r[2] for r in rows(gr.attach_total(df, total, "total"))} == {3}
 
 
-def test_settle_falls_back_to_a_lazy_table(spark):
-    df = spark.range(20)
-    assert jo.settle(df, max_rows=5) is df
-    small = jo.settle(df, max_rows=20)
-    assert sorted(r[0] for r in small.collect()) == list(range(20))
-    assert small.schema["id"].dataType == df.schema["id"].dataType
-
-
 def exact_median(values):
     values, n = sorted(values), len(values)
     return (values[(n - 1) // 2] + values[n // 2]) / 2
@@ -217,7 +209,7 @@ def test_median_property(spark, pairs):
 def test_median_survives_a_poor_sketch(spark, monkeypatch):
     """Ranks outside the bracket are still found, in hot and in tied groups."""
     monkeypatch.setattr(qu, "SKETCH_ACCURACY", 3)
-    monkeypatch.setattr(qu, "BRACKET", 0.0)
+    monkeypatch.setattr(qu, "SPLITTERS", 5)
     df = spark.range(3001).select(
         F.when(F.col("id") < 2000, "hot").otherwise("rest").alias("g"),
         F.when(F.col("id") % 3 == 0, 7.0).otherwise((F.col("id") * 7919 % 1009).cast("double")).alias("v"),
@@ -248,6 +240,49 @@ def test_sketches_are_offered(spark):
 def test_median_of_many_groups_is_lazy(spark):
     df = spark.range(60).select((F.col("id") % 20).alias("g"), F.col("id").cast("double").alias("v"))
     want = rows(df.groupBy("g").agg(F.median("v")))
-    assert rows(gr.median_of(df, "v", ["g"], few_groups=False)) == want
-    got = gr.with_group_median(df, "v", ["g"], few_groups=False)
+    assert rows(gr.median_of(df, "v", ["g"])) == want
+    got = gr.with_group_median(df, "v", ["g"])
     assert {(r["g"], r["group_median"]) for r in got.collect()} == set(want)
+
+
+def test_median_keeps_large_whole_numbers(spark):
+    big = 2**53
+    df = spark.createDataFrame([("a", big + 1), ("a", big + 1), ("a", big + 3), ("b", None)], "g string, v bigint")
+    got = qu.group_kth(df, "v", ["g"], F.lit(1), "k").collect()
+    assert {r["g"] for r in got} == {"a", "b"}
+    assert rows(gr.median_of(df, "v", ["g"])) == [("a", float(big + 1)), ("b", None)]
+
+
+def test_median_orders_no_whole_group(spark):
+    """Windows run over buckets and over the last bucket: values are exchanged by (group, value) first."""
+    df = spark.range(1000).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("v"))
+    plan = gr.median_of(df, "v", ["g"])._jdf.queryExecution().optimizedPlan().toString()
+    for line in plan.splitlines():
+        if "Window [" in line:
+            assert "__bucket" in line or "__which" in line
+    assert "collect" not in plan
+
+
+def test_kth_with_weights_in_a_hot_group(spark):
+    df = spark.range(500).select(F.lit("a").alias("g"), (F.col("id") % 50).cast("double").alias("v"), F.when(F.col("id") % 50 == 7, 1000).otherwise(1).alias("w"))
+    expanded = sorted(v for v in range(50) for _ in range(10 * (1000 if v == 7 else 1)))
+    for k in (1, 60, 70, 71, 5000, len(expanded)):
+        got = qu.group_kth(df, "v", ["g"], F.lit(k), "k", F.col("w")).first()
+        assert got["k"] == expanded[k - 1]
+
+
+def test_unlisted_level_raises(spark):
+    df = spark.createDataFrame([("k", "x", 1.0), ("k", "y", 2.0), ("l", None, 3.0)], "k string, n string, v double")
+    with pytest.raises(Exception, match="not listed"):
+        rs.spread(df.where("n IS NOT NULL"), ["k"], "n", "v", ["x"]).collect()
+    with pytest.raises(Exception, match="not listed"):
+        rs.spread(df, ["k"], "n", "v", ["x", "y"]).collect()
+    assert rows(rs.spread(df, ["k"], "n", "v", ["x"], on_unlisted="drop")) == [("k", 1.0), ("l", None)]
+
+
+def test_repeated_subject_is_refused_on_request(spark):
+    facts = spark.createDataFrame([("s", 1)], "s string, v int")
+    twice = spark.createDataFrame([("s", "a"), ("s", "b")], "s string, g string")
+    assert jo.merge_subjects(facts, twice, "s").count() == 2
+    with pytest.raises(Exception, match="repeated key"):
+        jo.merge_subjects(facts, twice, "s", unique=True).collect()

@@ -37,11 +37,8 @@ def test_p_values(spark, name):
 
 
 @pytest.mark.parametrize("name", ["quality_filter", "merged_trials", "median_split", "levene"])
-def test_equal_when_nothing_is_broadcast(spark, con, name, monkeypatch):
+def test_equal_when_nothing_is_broadcast(spark, con, name):
     """The shuffled route of the same query."""
-    from trialspark.operators import joins
-
-    monkeypatch.setattr(joins.settle, "__defaults__", (0,))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         assert compare(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name]) == ""

@@ -1,12 +1,6 @@
-import io
-import zipfile
-
-import pytest
 from pyspark.sql import functions as F
 
-from trialspark.plans.views import workbook_bytes
-from trialspark.sources.tables import read_table, shared_dir, store, write_series
-from trialspark.sources.workbooks import read_workbooks
+from trialspark.sources.tables import read_table, stored, write_series
 
 
 def test_csv_null_token_and_inference(spark, tmp_path):
@@ -35,60 +29,7 @@ def test_write_series_and_store(spark, tmp_path):
     write_series(df, str(tmp_path / "fig_1"), "csv")
     back = read_table(spark, str(tmp_path / "fig_1"), "csv")
     assert sorted(r["y"] for r in back.collect()) == [0.0, 0.5, 1.0, 1.5, 2.0]
-    stored = store(df)
-    assert stored.count() == 5
-    assert stored.inputFiles()[0].removeprefix("file://").startswith(shared_dir(spark))
-
-
-def two_books(tmp_path):
-    first = workbook_bytes(["recording.name", "x", "note"], [["S01", 1.5, "a & b"], ["S02", None, "-"]])
-    second = workbook_bytes(["note", "recording.name", "extra"], [["z", "S03", 7]])
-    (tmp_path / "one.xlsx").write_bytes(first)
-    (tmp_path / "two.xlsx").write_bytes(second)
-    return str(tmp_path / "*.xlsx")
-
-
-def test_workbooks_inferred(spark, tmp_path):
-    df = read_workbooks(spark, two_books(tmp_path))
-    assert dict(df.dtypes) == {
-        "note": "string", "recording.name": "string", "x": "double", "extra": "double"
-    }
-    got = {r["recording.name"]: (r["x"], r["note"], r["extra"]) for r in df.collect()}
-    assert got == {"S01": (1.5, "a & b", None), "S02": (None, None, None), "S03": (None, "z", 7.0)}
-
-
-def test_workbooks_declared(spark, tmp_path):
-    df = read_workbooks(spark, two_books(tmp_path), schema="`recording.name` string, x double")
-    assert sorted((r[0], r[1]) for r in df.collect()) == [("S01", 1.5), ("S02", None), ("S03", None)]
-
-
-def test_workbook_with_shared_strings_and_gaps(spark, tmp_path):
-    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    sheets = "".join(
-        f'<sheet name="{n}" sheetId="{i}" r:id="r{i}"/>' for i, n in ((1, "Info"), (2, "Data"))
-    )
-    rows = (
-        '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row>'
-        '<row r="2"><c r="A2" t="s"><v>2</v></c><c r="C2"><v>0.25</v></c></row>'
-        '<row r="3"><c r="C3" t="e"><v>#N/A</v></c></row>'
-    )
-    parts = {
-        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>{sheets}</sheets></workbook>',
-        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/a.xml"/>'
-        '<Relationship Id="r2" Target="/xl/worksheets/b.xml"/></Relationships>',
-        "xl/sharedStrings.xml": f'<sst xmlns="{main}"><si><t>key</t></si><si><r><t>va</t></r><r><t>lue</t></r></si>'
-        "<si><t>S01</t></si></sst>",
-        "xl/worksheets/a.xml": f'<worksheet xmlns="{main}"><sheetData/></worksheet>',
-        "xl/worksheets/b.xml": f'<worksheet xmlns="{main}"><sheetData>{rows}</sheetData></worksheet>',
-    }
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as book:
-        for name, text in parts.items():
-            book.writestr(name, text)
-    (tmp_path / "b.xlsx").write_bytes(out.getvalue())
-    for sheet in (1, "Data"):
-        df = read_workbooks(spark, str(tmp_path / "b.xlsx"), sheet=sheet)
-        assert [tuple(r) for r in df.collect()] == [("S01", 0.25), (None, None)]
-    with pytest.raises(Exception):
-        read_workbooks(spark, str(tmp_path / "b.xlsx"), sheet="None such").collect()
+    for format in ("parquet", "csv"):
+        back = stored(df, "series", format)
+        assert sorted(r["y"] for r in back.collect()) == [0.0, 0.5, 1.0, 1.5, 2.0]
+        assert "/series-" in back.inputFiles()[0]

@@ -3,9 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from trialspark.operators import anova as an
 from trialspark.operators.anova import (
     _effects_by_model,
-    anova,
     cell_table,
     subject_table,
 )
@@ -24,6 +24,11 @@ G2 = [
 ]
 
 
+def anova(df, dv, wid, within=None, between=(), **rules):
+    """Blocks 1 to 3 unless said otherwise."""
+    return an.anova(df, dv, wid, within, between, **({"within_levels": [1, 2, 3]} | rules))
+
+
 def close(x, digits=9):
     return pytest.approx(x, rel=10**-digits, abs=10**-digits)
 
@@ -199,7 +204,7 @@ def test_four_levels_determinant(spark):
         (f"s{i}", b, float((i * 7 + b * b * 3 + i * b) % 11)) for i in range(8) for b in range(4)
     ]
     df = spark.createDataFrame(rows, "subject string, block int, y double")
-    r = effects(anova(df, "y", "subject", "block"))["block"]
+    r = effects(anova(df, "y", "subject", "block", within_levels=range(4)))["block"]
     assert 0 < r["w"] < 1 and 1 / 3 <= r["gg_eps"] <= 1 and 0 < r["p_w"] < 1
 
 
@@ -224,7 +229,7 @@ def test_pairwise(design):
         (2, 3): (2.679711003789, 0.036550232156, 0.109650696468, 0.073100464312),
     }
     for adjust, at in (("bonferroni", 2), ("holm", 3)):
-        got = pairwise_t(design, "y", "block", "subject", adjust).collect()
+        got = pairwise_t(design, "y", "block", "subject", [1, 2, 3], adjust).collect()
         assert len(got) == 3
         for r in got:
             w = want[(r["level_1"], r["level_2"])]
@@ -315,3 +320,26 @@ def test_holm_never_exceeds_bonferroni(spark):
     assert [r["holm"] for r in rows] == sorted(r["holm"] for r in rows)
     assert rows[0]["holm"] == close(0.006) and rows[0]["bonf"] == close(0.006)
     assert rows[3]["holm"] == close(0.049 * 3)
+
+
+def test_unlisted_levels_and_missing_factors(spark, design):
+    """What has no place raises or is counted, it does not vanish."""
+    with pytest.raises(Exception, match="is not listed"):
+        anova(design, "y", "subject", "block", "grp", within_levels=[1, 2]).collect()
+    with pytest.raises(Exception, match="is not listed"):
+        pairwise_t(design, "y", "block", "subject", [1, 2]).collect()
+    assert len(pairwise_t(design, "y", "block", "subject", [1, 2], on_unlisted="drop").collect()) == 1
+    with pytest.raises(ValueError, match="within_levels"):
+        an.anova(design, "y", "subject", "block")
+    extra = spark.createDataFrame([(s, g, b, 0.5) for s, g in (("S08", None), ("S09", None), (None, "A")) for b in (1, 2, 3)], design.schema)
+    got = effects(anova(design.unionByName(extra), "y", "subject", "block", "grp"))
+    check_golden(got)
+    assert got["block"]["n_dropped"] == 3 and got["block"]["n_subjects"] == 7
+    with pytest.raises(Exception, match="lacks a level"):
+        anova(design.unionByName(extra), "y", "subject", "block", "grp", incomplete="error").collect()
+
+
+def test_no_single_task_over_cells(design):
+    for df in (anova_oneway(design, "y", "grp"), snk(design, "y", "grp"), anova(design, "y", "subject", "block", "grp")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "collect_list" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan

@@ -39,3 +39,18 @@ def test_edges():
     assert tails.t_two_sided(np.inf, 5) == 0.0
     assert np.isnan(tails.t_quantile(0.975, 0))
     assert tails.f_upper(2000.0, 3, 400) < 1e-12
+
+
+@pytest.mark.parametrize("d2", [10.0, 1e3, 1e6, 1e10, 1e12])
+def test_closed_forms_at_any_size(d2):
+    f = np.array([0.1, 1.0, 3.0, 10.0])
+    assert tails.f_upper(f, 2, d2) == pytest.approx(np.exp(-d2 / 2 * np.log1p(2 * f / d2)), rel=1e-10)
+    assert tails.range_upper(2.0, 2, d2) == pytest.approx(float(tails.t_two_sided(np.sqrt(2), d2)), rel=1e-9)
+
+
+def test_normal_limit():
+    import math
+
+    for t in (0.5, 1.96, 4.0):
+        assert tails.t_two_sided(t, 1e12) == pytest.approx(math.erfc(t / math.sqrt(2)), rel=1e-10)
+        assert tails.normal_cdf(t) == pytest.approx(0.5 * math.erfc(-t / math.sqrt(2)), abs=1e-12)

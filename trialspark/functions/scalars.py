@@ -108,12 +108,10 @@ def high_low(
 
 def level_index(c: ColumnOrName, levels: Sequence) -> Column:
     """1-based position of a value in its ordered levels; NULL when not a level."""
-    c = as_column(c)
-    out = None
-    for i, level in enumerate(levels, start=1):
-        hit = c == F.lit(level)
-        out = F.when(hit, F.lit(i)) if out is None else out.when(hit, F.lit(i))
-    return F.lit(None).cast("int") if out is None else out
+    if not levels:
+        return F.lit(None).cast("int")
+    place = F.array_position(F.array(*[F.lit(x) for x in levels]), as_column(c))
+    return F.nullif(place, F.lit(0)).cast("int")
 
 
 def reverse_levels(index: ColumnOrName, k: int) -> Column:

@@ -17,15 +17,15 @@ from itertools import chain, combinations, product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialspark.functions.scalars import as_column
 from trialspark.functions.tails import chi2_p, f_p
-from trialspark.operators.columns import levels_of
 from trialspark.operators.groups import clean
-from trialspark.operators.ttests import fail_when, sum_squares
+from trialspark.operators.joins import join_group
+from trialspark.operators.ttests import fail_when, sum_squares, unlisted
 
 EFFECT = "effect"
 
@@ -52,32 +52,36 @@ def subject_table(
 ) -> DataFrame:
     """Per subject: between factors, overall score m and contrasts c1..cp.
 
-    A subject without every within level has NULL scores and is only counted.
+    A subject without every within level, without a between factor or without an id has NULL scores and is only
+    counted (rows without an id as one). A row at a level that is not listed raises.
     """
     v = clean(df, dv)
-    known = as_column(wid).isNotNull()
-    for b in between:
-        known = known & as_column(b).isNotNull()
     if within is None:
         means = [F.avg(v).alias("__y0")]
+        stray = F.lit(False)
     else:
         means = [
             F.avg(F.when(as_column(within) == F.lit(x), v)).alias(f"__y{i}")
             for i, x in enumerate(levels)
         ]
+        stray = unlisted(as_column(within), levels)
     unit = [as_column(c) for c in [*by, wid]]
     factors = [as_column(b) for b in between]
-    subjects = df.where(known).groupBy(*unit, *factors).agg(*means)
+    # one exchange: each factor's least and greatest value differ if a subject is in two cells
+    guards = [F.count(F.when(stray, 1)).alias("__stray")]
+    for i, b in enumerate(factors):
+        guards += [F.min(b).alias(f"__least{i}"), F.max(b).alias(f"__most{i}"), F.count(F.when(b.isNull(), 1)).alias(f"__none{i}")]
+    subjects = df.groupBy(*unit).agg(*means, *guards)
+    subjects = fail_when(subjects, F.col("__stray") > 0, f"a level of {within} is not listed")
+    missing = as_column(wid).isNull()
+    two = F.lit(False)
+    for i in range(len(factors)):
+        two = two | F.coalesce(F.col(f"__least{i}") != F.col(f"__most{i}"), F.lit(False))
+        missing = missing | (F.col(f"__none{i}") > 0)
     if between:
-        # a second row of one subject means a second between cell
-        cells = F.count(F.lit(1)).over(Window.partitionBy(*unit))
-        subjects = fail_when(
-            subjects.withColumn("__cells", cells),
-            F.col("__cells") > 1,
-            f"{' or '.join(between)} differs within one {wid}",
-        )
+        subjects = fail_when(subjects, as_column(wid).isNotNull() & two, f"{' or '.join(between)} differs within one {wid}")
+    subjects = subjects.withColumns({b: F.when(~missing, F.col(f"__most{i}")) for i, b in enumerate(between)})
     y = [F.col(f"__y{i}") for i in range(len(means))]
-    missing = F.lit(False)
     for c in y:
         missing = missing | c.isNull()
     if incomplete == "error":
@@ -138,12 +142,12 @@ def _effects_by_columns(
 ) -> DataFrame:
     """Effects for no or one between factor, as column arithmetic."""
     keys = [as_column(b) for b in by]
-    one = Window.partitionBy(*(keys or [F.lit(0)]))
     n = F.col("n")
     scores = ["m", *[f"c{k}" for k in range(1, p + 1)]]
-    cells = cells.withColumns({
-        f"g_{s}": F.sum(n * F.col(s)).over(one) / F.sum("n").over(one) for s in scores
-    })
+    grand = cells.groupBy(*keys).agg(
+        *[F.try_divide(F.sum(n * F.col(s)), F.sum("n")).alias(f"g_{s}") for s in scores]
+    )
+    cells = join_group(cells, grand, by)
     aggs = [
         F.count(F.when(n > 0, 1)).cast("double").alias("a"),
         F.sum("n").cast("double").alias("n"),
@@ -377,7 +381,7 @@ def anova(
 
     Sums of squares, F, p, generalized eta squared and, for within effects of
     more than two levels, sphericity and corrected p. Subjects that lack a
-    within level are left out and counted in `n_dropped`, or refused with
+    within level or a between factor are left out and counted in `n_dropped`, or refused with
     `incomplete="error"`.
     """
     if type not in (2, 3):
@@ -388,7 +392,9 @@ def anova(
     if within is None:
         levels: list = [None]
     else:
-        levels = levels_of(df, within) if within_levels is None else list(within_levels)
+        if within_levels is None:
+            raise ValueError("within needs within_levels, the levels in their order")
+        levels = list(within_levels)
     p = len(levels) - 1
     subjects = subject_table(df, dv, wid, within, between, by, levels, incomplete)
     cells = cell_table(subjects, between, by, p)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,24 +70,6 @@ def fill_measures(
     return df.fillna(value, subset=[quoted(c) if "." in c else c for c in cols])
 
 
-def levels_of(df: DataFrame, col: str, max_levels: int = 10_000) -> list:
-    """Sorted distinct levels of a design factor, read to name result columns.
-
-    A factor has a handful of levels. As for a pivot without listed values,
-    more than `max_levels` raises instead of pulling a wide column.
-    """
-    rows = (
-        df.select(as_column(col).alias("level"))
-        .where(F.col("level").isNotNull())
-        .distinct()
-        .limit(max_levels + 1)
-        .collect()
-    )
-    if len(rows) > max_levels:
-        raise ValueError(f"{col!r} has more than {max_levels} levels and is no design factor")
-    return sorted(r["level"] for r in rows)
-
-
 def level_order(
     df: DataFrame,
     col: str,
@@ -95,8 +77,15 @@ def level_order(
     name: str | None = None,
     reverse: bool = False,
 ) -> DataFrame:
-    """Attach the 1-based level index of a factor (sorted levels by default)."""
-    levels = levels_of(df, col) if levels is None else list(levels)
-    if reverse:
-        levels = levels[::-1]
-    return df.withColumn(name or f"{col}_level", level_index(col, levels))
+    """Attach the 1-based level index of a factor.
+
+    Without `levels` they are the sorted distinct values: ranked among themselves and joined back, any number of them.
+    """
+    name = name or f"{col}_level"
+    if levels is not None:
+        return df.withColumn(name, level_index(col, list(levels)[::-1] if reverse else list(levels)))
+    level = F.col("__level")
+    known = df.select(as_column(col).alias("__level")).where(level.isNotNull()).distinct()
+    order = Window.orderBy(level.desc() if reverse else level.asc())
+    ranked = known.select("__level", F.row_number().over(order).alias(name))
+    return df.join(ranked, as_column(col) == level, "left").drop("__level")

@@ -4,8 +4,7 @@ Every summary here is one `groupBy().agg()` with map-side partial aggregation,
 so a group that holds a large share of the rows costs one partial row per task.
 Attaching a group value is that summary joined back by its keys, not a window:
 no task has to hold a whole group, and adaptive execution can split a heavy key
-in the join. Where `by` names design factors, `few_groups=True` settles the
-summary first and the rows are not moved at all. NULL is a group of its own.
+in the join. NULL is a group of its own.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialspark.functions.scalars import as_column, nan_to_null
-from trialspark.operators.joins import join_group, settle
+from trialspark.operators.joins import assert_unique, join_group
 from trialspark.operators.quantiles import group_median
 
 
@@ -34,11 +33,11 @@ def clean(df: DataFrame, col: str) -> Column:
 
 
 def attach_group(
-    df: DataFrame, by: Sequence[str], few_groups: bool = False, **aggs: Column
+    df: DataFrame, by: Sequence[str], **aggs: Column
 ) -> DataFrame:
     """Attach group aggregates to each row, any number of them in one pass."""
     stats = df.groupBy(*_keys(by)).agg(*[a.alias(n) for n, a in aggs.items()])
-    return join_group(df, settle(stats) if few_groups else stats, by)
+    return join_group(df, stats, by)
 
 
 def mean_of(
@@ -98,12 +97,11 @@ def median_of(
     by: Sequence[str] = (),
     exact: bool = True,
     name: str = "median",
-    few_groups: bool = True,
 ) -> DataFrame:
     """Grouped median that skips missing values."""
     df = df.select(*_keys(by), clean(df, col).alias("__value"))
     if exact:
-        return group_median(df, "__value", by, name, few_groups)
+        return group_median(df, "__value", by, name)
     return df.groupBy(*_keys(by)).agg(
         F.percentile_approx("__value", 0.5).cast("double").alias(name)
     )
@@ -148,9 +146,8 @@ def with_group_mean(
     col: str,
     by: Sequence[str],
     name: str = "group_mean",
-    few_groups: bool = True,
 ) -> DataFrame:
-    return attach_group(df, by, few_groups, **{name: F.avg(clean(df, col))})
+    return attach_group(df, by, **{name: F.avg(clean(df, col))})
 
 
 def with_group_median(
@@ -159,10 +156,8 @@ def with_group_median(
     by: Sequence[str],
     exact: bool = True,
     name: str = "group_median",
-    few_groups: bool = True,
 ) -> DataFrame:
-    medians = median_of(df, col, by, exact, name, few_groups)
-    return join_group(df, settle(medians) if few_groups else medians, by)
+    return join_group(df, median_of(df, col, by, exact, name), by)
 
 
 def attach_total(df: DataFrame, total: DataFrame, name: str) -> DataFrame:
@@ -170,17 +165,6 @@ def attach_total(df: DataFrame, total: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, total.scalar())
 
 
-def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The table itself; evaluating it fails when a key combination repeats."""
-    worst = (
-        df.groupBy(*_keys(keys)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("worst"))
-    )
-    message = "repeated key: " + ", ".join(keys)
-    return df.where(
-        F.when(worst.scalar() > 1, F.raise_error(F.lit(message)).cast("boolean")).otherwise(True)
-    )
-
-
 def duplicate_keys(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
     """Key combinations that occur more than once."""
     return count_of(df, keys, name).where(F.col(name) > 1)

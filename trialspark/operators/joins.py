@@ -1,8 +1,7 @@
 """Joins of facts with subject attributes and with group summaries.
 
-A side is broadcast only when its size is known: by Spark's own threshold on
-file statistics and measured stages, or because `settle` has counted its rows.
-Otherwise both sides are shuffled, with adaptive splitting of heavy keys.
+Whether a side is broadcast is left to Spark, which knows the size of files and of finished stages. Otherwise both sides
+are shuffled, with adaptive splitting of heavy keys.
 """
 
 from __future__ import annotations
@@ -15,26 +14,13 @@ from pyspark.sql import functions as F
 from trialspark.functions.scalars import as_column
 
 
-SMALL = 10_000
-
-
-def settle(summary: DataFrame, max_rows: int = SMALL) -> DataFrame:
-    """Compute a summary of few rows once, so that joins to it move no facts.
-
-    Up to `max_rows` rows it becomes a local table, broadcast with known size.
-    A longer one is returned as it was and joined by shuffling.
-    """
-    head = summary.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows:
-        return summary
-    return F.broadcast(summary.sparkSession.createDataFrame(head, summary.schema))
-
-
 def join_group(df: DataFrame, stats: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
     """Join one-row-per-group `stats` to its rows; NULL keys match."""
     taken = [c for c in stats.columns if c not in by]
     if not by:
         # a single row of totals: attached as a scalar, no join at all
+        if how != "inner":
+            return df.join(stats, how=how)
         packed = stats.select(F.struct(*[as_column(c) for c in taken]).alias("totals"))
         return (
             df.withColumn("__totals", packed.scalar())
@@ -56,12 +42,16 @@ def merge_subjects(
     on: Sequence[str] | str,
     null_safe: bool = False,
     suffixes: tuple[str, str] = ("_x", "_y"),
+    unique: bool = False,
 ) -> DataFrame:
     """Inner join on the key; other columns of the same name get suffixes.
 
-    `null_safe=True` lets missing keys match each other.
+    `null_safe=True` lets missing keys match each other; with `unique=True` a
+    repeated subject raises instead of multiplying its facts.
     """
     on = [on] if isinstance(on, str) else list(on)
+    if unique:
+        subjects = assert_unique(subjects, on)
     shared = [c for c in facts.columns if c in subjects.columns and c not in on]
     left = facts.withColumnsRenamed({c: c + suffixes[0] for c in shared})
     right = subjects.withColumnsRenamed({c: c + suffixes[1] for c in shared})
@@ -70,6 +60,17 @@ def merge_subjects(
     return left.join(right, on, "inner")
 
 
+def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The table itself; evaluating it fails when a key combination repeats."""
+    worst = (
+        df.groupBy(*[as_column(k) for k in keys]).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("worst"))
+    )
+    message = "repeated key: " + ", ".join(keys)
+    return df.where(
+        F.when(worst.scalar() > 1, F.raise_error(F.lit(message)).cast("boolean")).otherwise(True)
+    )
+
+
 def exclude_subjects(df: DataFrame, exclusions: DataFrame, on: Sequence[str] | str) -> DataFrame:
     """Rows whose key is not in the exclusion table."""
     on = [on] if isinstance(on, str) else list(on)

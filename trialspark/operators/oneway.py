@@ -1,19 +1,20 @@
 """One-way analysis of variance, Levene's test, Student-Newman-Keuls pairs.
 
 Rows are reduced to count, mean and centred sum of squares per design cell; all
-further steps, windows included, run over those cells.
+further steps run over those cells.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialspark.functions.scalars import as_column, interaction
 from trialspark.functions.tails import f_p, range_p, range_q
 from trialspark.operators.groups import attach_group, clean
+from trialspark.operators.joins import join_group
 from trialspark.operators.ttests import sum_squares
 
 
@@ -32,17 +33,20 @@ def cell_summary(
     )
 
 
-def _over_cells(by: Sequence[str]):
-    return Window.partitionBy(*([as_column(b) for b in by] or [F.lit(0)]))
+def _totals(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Per `by` group: number of cells and rows, grand mean, sum of squares inside cells."""
+    return cells.groupBy(*[as_column(b) for b in by]).agg(
+        F.count(F.lit(1)).alias("__cells"),
+        F.sum("n").alias("__rows"),
+        F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("__grand"),
+        F.sum("ss").alias("__inside"),
+    )
 
 
 def _ratio_table(cells: DataFrame, by: Sequence[str]) -> DataFrame:
-    grand = F.sum(F.col("n") * F.col("mean")).over(_over_cells(by)) / F.sum("n").over(
-        _over_cells(by)
-    )
     gap = F.col("mean") - F.col("__grand")
     return (
-        cells.withColumn("__grand", grand)
+        join_group(cells, _totals(cells, by), by)
         .groupBy(*[as_column(b) for b in by])
         .agg(
             (F.count(F.lit(1)) - 1).cast("double").alias("df_n"),
@@ -75,7 +79,7 @@ def levene(
         raise ValueError(f"center={center!r}")
     factors = [group] if isinstance(group, str) else list(group)
     v = clean(df, value)
-    centred = attach_group(df, [*by, *factors], few_groups=True, __center=F.avg(v))
+    centred = attach_group(df, [*by, *factors], __center=F.avg(v))
     return anova_oneway(
         centred.withColumn("__distance", F.abs(v - F.col("__center"))), "__distance", group, by
     )
@@ -87,39 +91,39 @@ def snk(
     """Studentized-range test of all pairs of level means.
 
     Levels are ordered by mean; a pair that spans r ordered means is judged
-    against the range of r means. Unequal counts use the mean of 1/n.
+    against the range of r means. Unequal counts use the mean of 1/n. The rank of a level is the number of
+    levels at or below it, found with the pairs themselves.
     """
     keys = [as_column(b) for b in by]
-    cells = cell_summary(df, value, group, by)
-    one = _over_cells(by)
-    dof = (F.sum("n").over(one) - F.count(F.lit(1)).over(one)).cast("double")
-    ranked = cells.select(
-        *keys,
-        F.struct(
-            F.row_number().over(one.orderBy("mean", "level")).alias("rank"), "level", "n", "mean"
-        ).alias("cell"),
-        F.try_divide(F.sum("ss").over(one), dof).alias("ms_d"),
-        dof.alias("df"),
-    )
-    levels = F.array_sort(F.collect_list("cell"))
-    pairs = (
-        ranked.groupBy(*keys)
-        .agg(levels.alias("cells"), F.max("ms_d").alias("ms_d"), F.max("df").alias("df"))
-        .select("*", F.explode("cells").alias("low"))
-        .select(
-            "*", F.explode(F.filter("cells", lambda c: c["rank"] > F.col("low.rank"))).alias("high")
-        )
+    cells = cell_summary(df, value, group, by).select(*keys, "level", "n", "mean", "ss")
+    fields = ["level", "n", "mean"]
+    low = cells.select(*keys, *[F.col(c).alias(f"{c}_1") for c in fields])
+    high = cells.select(*[as_column(b).alias(f"__by_{i}") for i, b in enumerate(by)], *[F.col(c).alias(f"{c}_2") for c in fields])
+    # without groups all cells meet through one value of a computed key
+    low, high = (t.withColumn(k, F.pmod(F.xxhash64(level), F.lit(1))) for t, k, level in ((low, "__one_1", "level_1"), (high, "__one_2", "level_2")))
+    same = F.col("__one_1") == F.col("__one_2")
+    for i, b in enumerate(by):
+        same = same & as_column(b).eqNullSafe(F.col(f"__by_{i}"))
+    tie = (F.col("mean_1") == F.col("mean_2")) & (F.col("level_1") < F.col("level_2"))
+    pairs = low.join(high, same & ((F.col("mean_1") < F.col("mean_2")) | tie))
+    # of n levels, the lowest is below n - 1 others: its pairs count them
+    place = pairs.groupBy(*keys, "level_1").agg(F.count(F.lit(1)).alias("__above"))
+    totals = _totals(cells, by).select(
+        *keys, (F.col("__rows") - F.col("__cells")).cast("double").alias("df"), F.col("__inside").alias("__ss_d")
     )
-    low, high = F.col("low"), F.col("high")
+    ranked = join_group(pairs.drop("__one_1", "__one_2", *[f"__by_{i}" for i in range(len(by))]), place, [*by, "level_1"])
+    upper = place.withColumnsRenamed({"level_1": "level_2", "__above": "__above_2"})
+    ranked = join_group(ranked, upper, [*by, "level_2"], "left")
     out = (
-        pairs.select(
+        join_group(ranked, totals, by)
+        .select(
             *keys,
-            low["level"].alias("level_1"),
-            high["level"].alias("level_2"),
-            (high["mean"] - low["mean"]).alias("mean_diff"),
-            (high["rank"] - low["rank"] + 1).cast("double").alias("span"),
+            "level_1",
+            "level_2",
+            (F.col("mean_2") - F.col("mean_1")).alias("mean_diff"),
+            (F.col("__above") - F.coalesce("__above_2", F.lit(0)) + 1).cast("double").alias("span"),
             "df",
-            F.sqrt(F.col("ms_d") / 2 * (1 / low["n"] + 1 / high["n"])).alias("se"),
+            F.sqrt(F.try_divide("__ss_d", "df") / 2 * (1 / F.col("n_1") + 1 / F.col("n_2"))).alias("se"),
         )
         .withColumn("q", F.try_divide("mean_diff", "se"))
     )

@@ -1,13 +1,11 @@
-"""Exact order statistics of groups of any size.
+"""Exact order statistics of groups of any size, in one lazy plan.
 
-Spark's exact percentile keeps every distinct value of a group in one buffer.
-Here a bounded sketch only proposes a narrow bracket around the wanted rank;
-exact counts then tell which side of the bracket holds the rank, and only the
-distinct values inside it are ordered. A poor sketch costs time, not accuracy.
+Spark's exact percentile keeps every distinct value of a group in one buffer. Here values are first reduced to their
+distinct ones with weights. Splitters from a bounded sketch cut a group into buckets; the buckets' weights, summed up
+in order, tell which of them holds a wanted rank. That is done twice, the second time inside the bucket, and only the
+distinct values of the last bucket are ordered. The counts are exact, so a poor sketch costs time, not accuracy.
 
-The three passes read only the keys and the value. Bracket and counts have one
-row per group and are settled between passes, so with few groups no row of the
-table is shuffled. Store a table of long lineage before asking for medians.
+Windows run over buckets (SPLITTERS + 1 a group) and over the last bucket, never over a group's values.
 """
 
 from __future__ import annotations
@@ -18,151 +16,103 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialspark.functions.scalars import as_column
-from trialspark.operators.joins import join_group, settle
+from trialspark.operators.joins import join_group
 
-SKETCH_ACCURACY = 10_000
-BRACKET = 2.0 / SKETCH_ACCURACY
+SPLITTERS = 63
+SKETCH_ACCURACY = 1_000
 
 
-def group_median(
-    df: DataFrame, col: str, by: Sequence[str], name: str, few_groups: bool = True
-) -> DataFrame:
-    """Exact median per group; the two middle values are averaged.
-
-    `few_groups=False` skips the attempt to settle, for groups known to be many.
-    """
+def group_median(df: DataFrame, col: str, by: Sequence[str], name: str) -> DataFrame:
+    """Exact median per group; the two middle values are averaged."""
     n = F.col("__n")
-    return _between_ranks(
-        _values(df, col, by, F.lit(1)),
-        by,
-        low_rank=F.floor((n + 1) / 2),
-        high_rank=F.floor((n + 2) / 2),
-        share=0.5,
-        name=name,
-        few_groups=few_groups,
-    )
+    ranks = [F.floor((n + 1) / 2), F.floor((n + 2) / 2)]
+    return _at_ranks(_values(df, col, by, F.lit(1)), by, ranks, name)
 
 
 def group_kth(
     df: DataFrame,
     col: str,
     by: Sequence[str],
-    share: float,
     rank: Column,
     name: str,
     weight: Column | None = None,
 ) -> DataFrame:
     """Exact k-th least value per group, `rank` a Column of the row count `__n`.
 
-    `share` is the rank as a fraction of the count and only steers the sketch.
     With `weight` each row stands for that many equal rows.
     """
-    return _between_ranks(
-        _values(df, col, by, F.lit(1) if weight is None else weight),
-        by,
-        low_rank=rank,
-        high_rank=rank,
-        share=share,
-        name=name,
-    )
+    return _at_ranks(_values(df, col, by, F.lit(1) if weight is None else weight), by, [rank], name)
 
 
 def _values(df: DataFrame, col: str, by: Sequence[str], weight: Column) -> DataFrame:
-    return df.select(
-        *[as_column(b) for b in by],
-        as_column(col).cast("double").alias("__v"),
-        weight.cast("bigint").alias("__w"),
+    """Distinct values per group with their weight; a group without values keeps a NULL."""
+    return (
+        df.select(*[as_column(b) for b in by], as_column(col).alias("__v"), weight.cast("bigint").alias("__w"))
+        .groupBy(*[as_column(b) for b in by], "__v")
+        .agg(F.sum("__w").alias("__w"))
     )
 
 
-def _between_ranks(
-    values: DataFrame,
-    by: Sequence[str],
-    low_rank: Column,
-    high_rank: Column,
-    share: float,
-    name: str,
-    few_groups: bool = True,
-) -> DataFrame:
-    keys = [as_column(b) for b in by]
-    v, w = F.col("__v"), F.col("__w")
-
-    # 1. bracket from a sketch of bounded size
-    wanted = [max(share - BRACKET, 0.0), min(share + BRACKET, 1.0)]
-    sketch = (
-        values.groupBy(*keys)
-        .agg(F.percentile_approx(v, wanted, SKETCH_ACCURACY).alias("__q"))
-        .select(*keys, F.col("__q")[0].alias("__lo"), F.col("__q")[1].alias("__hi"))
-    )
-    sketch = settle(sketch) if few_groups else sketch
+def _bucket(splitters: str) -> Column:
+    return F.size(F.filter(splitters, lambda s: s < F.col("__v")))
+
+
+def _splitters(values: DataFrame, keys: Sequence[Column]) -> DataFrame:
+    shares = [k / (SPLITTERS + 1) for k in range(1, SPLITTERS + 1)]
+    return values.groupBy(*keys).agg(F.percentile_approx("__v", shares, SKETCH_ACCURACY).alias("__splitters"))
+
+
+def _running(by: Sequence[Column], order: str) -> Column:
+    """Weight of a group's rows before this one."""
+    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("__w").over(before), F.lit(0))
 
-    # 2. exact counts on both sides of the bracket, and where the ranks fall
-    lo, hi = F.col("__lo"), F.col("__hi")
-    counted = (
-        join_group(values, sketch, by)
-        .groupBy(*keys)
-        .agg(
-            F.max(lo).alias("__lo"),
-            F.max(hi).alias("__hi"),
-            F.sum(F.when(v.isNotNull(), w).otherwise(0)).alias("__n"),
-            F.sum(F.when(v < lo, w).otherwise(0)).alias("__below"),
-            F.sum(F.when(v <= hi, w).otherwise(0)).alias("__upto"),
-        )
-        .select(
-            *keys,
-            "__lo",
-            "__hi",
-            "__below",
-            "__upto",
-            low_rank.cast("bigint").alias("__r1"),
-            high_rank.cast("bigint").alias("__r2"),
-        )
-        .select(
-            *keys,
-            "__r1",
-            "__r2",
-            F.when(F.col("__r1") > F.col("__below"), lo).alias("__from"),
-            F.when(F.col("__r2") <= F.col("__upto"), hi).alias("__to"),
-            F.when(F.col("__r1") > F.col("__below"), F.col("__below"))
-            .otherwise(0)
-            .alias("__base"),
-        )
-    )
-    counted = settle(counted) if few_groups else counted
 
-    # 3. order the distinct values inside the bracket
-    running = F.sum("__c").over(
-        Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__v").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
+def _at_ranks(values: DataFrame, by: Sequence[str], ranks: Sequence[Column], name: str) -> DataFrame:
+    if not by:  # one group, under a computed key
+        whole = values.withColumn("__all", F.pmod(F.xxhash64("__v"), F.lit(1)))
+        return _at_ranks(whole, ["__all"], ranks, name).agg(F.max(name).alias(name))
+    keys = [as_column(b) for b in by]
+    known = values.where(F.col("__v").isNotNull())
+    totals = values.groupBy(*keys).agg(F.sum(F.when(F.col("__v").isNotNull(), F.col("__w")).otherwise(0)).alias("__n"))
+    wanted = totals.select(
+        *keys, F.posexplode(F.array(*[r.cast("bigint") for r in ranks])).alias("__which", "__rank")
     )
-    in_bracket = (F.col("__from").isNull() | (v >= F.col("__from"))) & (
-        F.col("__to").isNull() | (v <= F.col("__to"))
+
+    # first cut: buckets of the group, once for all ranks
+    cut = join_group(known, _splitters(known, keys), by).withColumn("__bucket", _bucket("__splitters"))
+    place = [*by, "__which"]
+    held = _holding(cut.groupBy(*keys, "__bucket").agg(F.sum("__w").alias("__w")), by, wanted, keys, ["__bucket"])
+    # second cut: inside the bucket of each rank
+    inside = join_group(cut.select(*keys, "__v", "__w", "__bucket"), held, [*by, "__bucket"]).drop("__bucket")
+    split = _splitters(inside, [as_column(p) for p in place])
+    fine = join_group(inside, split, place).withColumn("__bucket", _bucket("__splitters"))
+    buckets = fine.groupBy(*[as_column(p) for p in place], "__bucket").agg(F.sum("__w").alias("__w"), F.max("__rank").alias("__rank"))
+    start = _running([as_column(p) for p in place], "__bucket")
+    chosen = (
+        buckets.withColumn("__start", start)
+        .where((F.col("__start") < F.col("__rank")) & (F.col("__rank") <= F.col("__start") + F.col("__w")))
+        .select(*[as_column(p) for p in place], "__bucket", (F.col("__rank") - F.col("__start")).alias("__left"))
     )
-    no_value = F.col("__r1") < 1  # keeps a row, with a NULL result
-    inside = (
-        join_group(values, counted, by)
-        .where((v.isNotNull() & in_bracket) | no_value)
-        .groupBy(*keys, "__v")
-        .agg(
-            F.sum(w).alias("__c"),
-            F.max("__r1").alias("__r1"),
-            F.max("__r2").alias("__r2"),
-            F.max("__base").alias("__base"),
-        )
-        .withColumn("__end", F.col("__base") + running)
-        .withColumn("__start", F.col("__end") - F.col("__c"))
+    last = join_group(fine.select(*[as_column(p) for p in place], "__v", "__w", "__bucket"), chosen, [*place, "__bucket"])
+    before = _running([as_column(p) for p in place], "__v")
+    found = (
+        last.withColumn("__before", before)
+        .where((F.col("__before") < F.col("__left")) & (F.col("__left") <= F.col("__before") + F.col("__w")))
+        .groupBy(*keys)
+        .agg(*[F.max(F.when(F.col("__which") == k, F.col("__v"))).alias(f"__a{k}") for k in range(len(ranks))])
     )
+    result = F.col("__a0") if len(ranks) == 1 else (F.col("__a0").cast("double") + F.col("__a1")) / 2
+    return join_group(totals.drop("__n"), found, by, "left").select(*keys, result.cast("double").alias(name))
 
-    def covers(rank: str) -> Column:
-        return (F.col("__start") < F.col(rank)) & (F.col(rank) <= F.col("__end"))
 
+def _holding(
+    buckets: DataFrame, by: Sequence[str], wanted: DataFrame, keys: Sequence[Column], carry: Sequence[str]
+) -> DataFrame:
+    """The bucket of each wanted rank, and what is left of the rank inside it."""
+    counted = buckets.withColumn("__start", _running(keys, "__bucket"))
     return (
-        inside.where(covers("__r1") | covers("__r2") | no_value)
-        .groupBy(*keys)
-        .agg(
-            F.max(F.when(covers("__r1"), v)).alias("__a"),
-            F.max(F.when(covers("__r2"), v)).alias("__b"),
-        )
-        .select(*keys, ((F.col("__a") + F.col("__b")) / 2).alias(name))
+        join_group(counted, wanted, by)
+        .where((F.col("__start") < F.col("__rank")) & (F.col("__rank") <= F.col("__start") + F.col("__w")))
+        .select(*keys, *carry, "__which", (F.col("__rank") - F.col("__start")).alias("__rank"))
     )

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialspark.functions.scalars import as_column
-from trialspark.operators.columns import column_range, levels_of
+from trialspark.functions.scalars import as_column, level_index
+from trialspark.operators.columns import column_range
 
 NON_ALNUM = r"[^\p{L}\p{N}]+"
 _BITS = 62
@@ -43,8 +43,9 @@ def spread(
     keys: Sequence[str],
     names_from: str,
     values_from: str,
-    levels: Sequence[str] | None = None,
+    levels: Sequence[str],
     on_duplicate: str = "error",
+    on_unlisted: str = "error",
 ) -> DataFrame:
     """One column per level of `names_from`, one row per key.
 
@@ -52,29 +53,33 @@ def spread(
     A repeated (key, level) raises, or keeps the greatest value when
     `on_duplicate="max"`. The guard rides in the same aggregation: each level
     is a bit, and the sum of the bits differs from their union as soon as one
-    level occurs twice.
+    level occurs twice. A row whose level is not listed (or missing) raises too, or is
+    left out knowingly with `on_unlisted="drop"`.
     """
     if on_duplicate not in ("error", "max"):
         raise ValueError(f"on_duplicate={on_duplicate!r}")
-    levels = levels_of(df, names_from) if levels is None else list(levels)
+    if on_unlisted not in ("error", "drop"):
+        raise ValueError(f"on_unlisted={on_unlisted!r}")
+    levels = list(levels)
     name, value = as_column(names_from), as_column(values_from)
-    aggs = [F.max(F.when(name == F.lit(x), value)).alias(str(x)) for x in levels]
-    guards: list[tuple[str, str]] = []
+    place = level_index(name, levels) - 1
+    df = df.withColumn("__place", place)
+    aggs = [F.max(F.when(F.col("__place") == i, value)).alias(str(x)) for i, x in enumerate(levels)]
+    wrong: list[tuple[Column, str]] = []
+    guards: list[str] = []
+    if on_unlisted == "error":
+        aggs.append(F.sum(F.col("__place").isNull().cast("int")).alias("__unlisted"))
+        guards.append("__unlisted")
+        wrong.append((F.col("__unlisted") > 0, f"a level of {names_from} is not listed"))
     if on_duplicate == "error":
-        place = F.array_position(F.array(*[F.lit(x) for x in levels]), name) - 1
-        df = df.withColumn("__place", place.cast("int"))
+        message = "repeated key: " + ", ".join([*keys, names_from])
         for w in range(0, len(levels), _BITS):
             inside = F.col("__place").between(w, min(w + _BITS, len(levels)) - 1)
             bit = F.when(inside, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("__place") - w))
-            guards.append((f"__sum_{w}", f"__or_{w}"))
-            aggs += [F.sum(bit).alias(guards[-1][0]), F.bit_or(bit).alias(guards[-1][1])]
+            guards += [f"__sum_{w}", f"__or_{w}"]
+            aggs += [F.sum(bit).alias(f"__sum_{w}"), F.bit_or(bit).alias(f"__or_{w}")]
+            wrong.append((F.coalesce(F.col(f"__sum_{w}") != F.col(f"__or_{w}"), F.lit(False)), message))
     out = df.groupBy(*[as_column(k) for k in keys]).agg(*aggs)
-    if guards:
-        message = F.lit("repeated key: " + ", ".join([*keys, names_from]))
-        repeated = F.lit(False)
-        for s, o in guards:
-            repeated = repeated | F.coalesce(F.col(s) != F.col(o), F.lit(False))
-        out = out.where(
-            F.when(repeated, F.raise_error(message).cast("boolean")).otherwise(True)
-        ).drop(*[g for pair in guards for g in pair])
-    return out
+    for condition, message in wrong:
+        out = out.where(F.when(condition, F.raise_error(F.lit(message)).cast("boolean")).otherwise(True))
+    return out.drop(*guards)

@@ -102,9 +102,7 @@ def _local_quadratic(
 ) -> DataFrame:
     """Local quadratic fit with tricube weights over the nearest share of points.
 
-    Points are first merged by x. Each merged point then meets the fixed number
-    of grid places of its series and is summed into their moments map-side, so
-    what is shuffled is one row per series and place.
+    Points are first merged by x, so what meets the fixed number of grid places of a series is its distinct x.
     """
     if not 0 < span <= 1:
         raise ValueError(f"span={span!r}")
@@ -126,7 +124,6 @@ def _local_quadratic(
         near,
         "__d",
         place,
-        share=span,
         rank=F.greatest(F.floor(F.col("__n") * span + 1e-5), F.lit(1)),
         name="__h",
         weight=F.col("__n"),

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from trialspark.functions.scalars import as_column
 from trialspark.functions.tails import t_p, t_q
-from trialspark.operators.columns import levels_of
 from trialspark.operators.groups import clean
 
 ADJUSTMENTS = ("holm", "bonferroni", "none")
@@ -31,6 +30,10 @@ def fail_when(df: DataFrame, cond: Column, message: str) -> DataFrame:
     )
 
 
+def unlisted(level: Column, levels: Sequence) -> Column:
+    return ~F.coalesce(level.isin(*levels), F.lit(False))
+
+
 def t_test(
     df: DataFrame, value: str, group: str, by: Sequence[str] = (), conf: float = 0.95
 ) -> DataFrame:
@@ -78,15 +81,24 @@ def pair_levels(
     value: str,
     factor: str,
     subject: str,
+    levels: Sequence,
     by: Sequence[str] = (),
-    levels: Sequence | None = None,
+    on_unlisted: str = "error",
 ) -> DataFrame:
-    """One row per subject with its mean at each level of a within factor."""
-    levels = levels_of(df, factor) if levels is None else list(levels)
-    v = clean(df, value)
-    return df.groupBy(*[as_column(b) for b in by], as_column(subject)).agg(
-        *[F.avg(F.when(as_column(factor) == F.lit(x), v)).alias(str(x)) for x in levels]
+    """One row per subject with its mean at each level of a within factor.
+
+    A row at another level (or none) raises, unless left out knowingly with `on_unlisted="drop"`.
+    """
+    if on_unlisted not in ("error", "drop"):
+        raise ValueError(f"on_unlisted={on_unlisted!r}")
+    v, level = clean(df, value), as_column(factor)
+    out = df.groupBy(*[as_column(b) for b in by], as_column(subject)).agg(
+        *[F.avg(F.when(level == F.lit(x), v)).alias(str(x)) for x in levels],
+        F.count(F.when(unlisted(level, levels), 1)).alias("__unlisted"),
     )
+    if on_unlisted == "error":
+        out = fail_when(out, F.col("__unlisted") > 0, f"a level of {factor} is not listed")
+    return out.drop("__unlisted")
 
 
 def pairwise_t(
@@ -94,16 +106,17 @@ def pairwise_t(
     value: str,
     factor: str,
     subject: str,
+    levels: Sequence,
     adjust: str = "holm",
     by: Sequence[str] = (),
-    levels: Sequence | None = None,
+    on_unlisted: str = "error",
 ) -> DataFrame:
     """Paired t-test of every two levels, later minus earlier level.
 
     Values are paired by subject; a pair uses the subjects seen at both levels.
     All pairs are summarised in one aggregation, without a row per pair.
     """
-    levels = levels_of(df, factor) if levels is None else list(levels)
+    levels = list(levels)
     keys = [as_column(b) for b in by]
     pairs = list(combinations(range(len(levels)), 2))
     aggs, rows = [], []
@@ -121,7 +134,7 @@ def pairwise_t(
             )
         )
     tested = (
-        pair_levels(df, value, factor, subject, by, levels)
+        pair_levels(df, value, factor, subject, levels, by, on_unlisted)
         .groupBy(*keys)
         .agg(*aggs)
         .select(*keys, F.inline(F.array(*rows)))
@@ -135,7 +148,10 @@ def pairwise_t(
 def p_adjust(
     df: DataFrame, p: str = "p", adjust: str = "holm", by: Sequence[str] = (), name: str = "p_adj"
 ) -> DataFrame:
-    """Adjust the p-values of one family of comparisons (per `by` group)."""
+    """Adjust the p-values of one family of comparisons (per `by` group).
+
+    A family is the unit: its p-values are ranked in one task, as many as it has comparisons.
+    """
     if adjust not in ADJUSTMENTS:
         raise ValueError(f"adjust={adjust!r}")
     value = as_column(p)

@@ -4,17 +4,16 @@ from __future__ import annotations
 
 KEY = "subject, trial_type, trial_number"
 CELL = "age_group, language, trial_type, trial_number"
-LOOK = "coalesce(sum(CAST(value AS DECIMAL(18,2))) FILTER (WHERE event_type = '{0}'), 0)"
+LOOK = "coalesce(sum(CAST(value AS DECIMAL(18,2))) FILTER (WHERE event_type IN ({0})), 0)"
 MEASURES = ("circle", "distractor", "target")
-EVENT_OF = {"circle": "view", "distractor": "error", "target": "click"}
 
 TRIALS = f"""trials AS (
   SELECT user_id AS subject,
          CASE WHEN day(ts) <= 15 THEN 'Training' ELSE 'Test' END AS trial_type,
          CAST((day(ts) - 1) % 15 + 1 AS INTEGER) AS trial_number,
-         CAST({LOOK.format('view')} AS DOUBLE) AS circle,
-         CAST({LOOK.format('error')} AS DOUBLE) AS distractor,
-         CAST({LOOK.format('click')} AS DOUBLE) AS target
+         CAST({LOOK.format("'view', 'signup'")} AS DOUBLE) AS circle,
+         CAST({LOOK.format("'error'")} AS DOUBLE) AS distractor,
+         CAST({LOOK.format("'click', 'purchase'")} AS DOUBLE) AS target
   FROM events GROUP BY ALL)"""
 
 SCORES = """
@@ -121,7 +120,7 @@ LOOKED = "no_anticipation = 0"
 DAILY = ", ".join(
     f"coalesce(CAST(sum(CAST(value AS DECIMAL(18,2))) FILTER (WHERE event_type = '{e}') AS DOUBLE), 0)"
     f" AS {e}"
-    for e in ("click", "error", "signup", "view")
+    for e in ("click", "error", "purchase", "signup", "view")
 )
 
 TWO_GROUPS = """
@@ -367,8 +366,7 @@ FROM sums"""
 ORACLES: dict[str, str] = {
     "src_scan_null_token": """
 SELECT o_orderkey, o_custkey, nullif(o_orderstatus, 'P') AS o_orderstatus, o_totalprice,
-       nullif(o_orderpriority, 'P') AS o_orderpriority FROM orders""",
-    "src_workbooks": wide(lambda n: True),
+       CAST(o_orderdate AS DATE) AS o_orderdate, nullif(o_orderpriority, 'P') AS o_orderpriority FROM orders""",
     "sink_series_roundtrip": proportion("correct_anticipation", LOOKED),
     "sink_series_csv": proportion("correct_anticipation", LOOKED),
     "header_regex_rename": wide(lambda n: True),
@@ -403,7 +401,7 @@ SELECT {KEY}, circle, distractor, target, num_good_trial AS n, good_baby FROM go
     "subset_by_level": f"""WITH {MERGED}
 SELECT {KEY}, correct_anticipation FROM merged WHERE language = 'HOUSEHOLD'""",
     "complete_subjects": """
-SELECT * EXCLUDE (o_orderdate) FROM orders WHERE o_custkey IN (
+SELECT * REPLACE (CAST(o_orderdate AS DATE) AS o_orderdate) FROM orders WHERE o_custkey IN (
   SELECT o_custkey FROM orders GROUP BY o_custkey
   HAVING count(DISTINCT o_orderstatus) = (SELECT count(DISTINCT o_orderstatus) FROM orders))""",
     "wide_to_long": f"""WITH {TRIALS}, long AS (

@@ -6,8 +6,6 @@ have queries of their own, as SQL cannot produce them.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +23,6 @@ from trialspark.plans import series as se
 from trialspark.plans import trials as tl
 from trialspark.plans import views as vw
 from trialspark.sources import tables as src
-from trialspark.sources import workbooks as wb
 
 QUERIES: dict = {}
 
@@ -70,13 +67,8 @@ def _renamed(spark, sf):
     return co.rename_regex(vw.wide(spark, sf), RULES)
 
 
-def _stored(spark, sf):
-    """Merged trials for the queries that pass over them several times."""
-    return src.store(vw.merged(spark, sf), "merged")
-
-
 def _vocab(spark, sf):
-    return se.median_split(_stored(spark, sf), "total_concept_prod", ["language"])
+    return se.median_split(vw.merged(spark, sf), "total_concept_prod", ["language"])
 
 
 def _blocks(spark, sf, score="correct_anticipation"):
@@ -103,28 +95,18 @@ def _series(spark, sf):
 
 @query
 def src_scan_null_token(spark: SparkSession, sf: str) -> DataFrame:
-    return src.read_table(spark, f"{sf}/orders.parquet", "parquet", null_token="P").drop(
-        "o_orderdate"
-    )
-
-
-@query
-def src_workbooks(spark: SparkSession, sf: str) -> DataFrame:
-    header = ", ".join(["`recording.name` bigint", *[f"`{n}` double" for n in vw.wide_names()]])
-    df = wb.parse_workbooks(vw.workbooks(spark, sf), schema=header)
-    return co.rename_regex(df, RULES)
+    df = src.read_table(spark, f"{sf}/orders.parquet", "parquet", null_token="P")
+    return df.withColumn("o_orderdate", F.to_date("o_orderdate"))
 
 
 @query
 def sink_series_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    return src.store(prop_correct(spark, sf), "series")
+    return src.stored(prop_correct(spark, sf), "series")
 
 
 @query
 def sink_series_csv(spark: SparkSession, sf: str) -> DataFrame:
-    path = f"{src.shared_dir(spark)}/series-{uuid.uuid4().hex}"
-    src.write_series(prop_correct(spark, sf), path, "csv")
-    return src.read_table(spark, path, "csv")
+    return src.stored(prop_correct(spark, sf), "series", "csv")
 
 
 @query
@@ -164,13 +146,13 @@ def _daily(spark, sf):
         .agg(vw.exact_sum(F.col("value")).alias("total"))
     )
     return rs.spread(
-        sums, ["user_id", "day"], "event_type", "total", ["click", "error", "signup", "view"]
+        sums, ["user_id", "day"], "event_type", "total", ["click", "error", "purchase", "signup", "view"]
     )
 
 
 @query
 def fill_null_zero(spark: SparkSession, sf: str) -> DataFrame:
-    return co.fill_measures(_daily(spark, sf), 0.0, ["click", "error", "signup", "view"])
+    return co.fill_measures(_daily(spark, sf), 0.0, ["click", "error", "purchase", "signup", "view"])
 
 
 @query
@@ -251,9 +233,8 @@ def subset_by_level(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def complete_subjects(spark: SparkSession, sf: str) -> DataFrame:
-    return ro.complete_subjects(
-        _orders(spark, sf).drop("o_orderdate"), "o_custkey", "o_orderstatus"
-    )
+    df = _orders(spark, sf).withColumn("o_orderdate", F.to_date("o_orderdate"))
+    return ro.complete_subjects(df, "o_custkey", "o_orderstatus")
 
 
 # ---- reshape ----
@@ -311,7 +292,7 @@ def pair_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def attach_global_ndistinct(spark: SparkSession, sf: str) -> DataFrame:
-    df = _stored(spark, sf).where(YOUNGER).where(OF_BUILDING)
+    df = vw.merged(spark, sf).where(YOUNGER).where(OF_BUILDING)
     total = gr.ndistinct(df, "subject")
     return gr.attach_total(df.select(*KEY), total, "num_participants")
 
@@ -342,7 +323,7 @@ def agg_participants_per_cell(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def agg_median(spark: SparkSession, sf: str) -> DataFrame:
-    df = gr.median_of(_stored(spark, sf), "total_concept_prod", ["language"])
+    df = gr.median_of(vw.merged(spark, sf), "total_concept_prod", ["language"])
     return rounded(df, "median")
 
 
@@ -396,7 +377,7 @@ def win_group_ndistinct(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def win_group_median(spark: SparkSession, sf: str) -> DataFrame:
     df = gr.with_group_median(
-        _stored(spark, sf).select(*KEY, "language", "total_concept_prod"),
+        vw.merged(spark, sf).select(*KEY, "language", "total_concept_prod"),
         "total_concept_prod",
         ["language"],
     )
@@ -406,7 +387,7 @@ def win_group_median(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def win_group_mean(spark: SparkSession, sf: str) -> DataFrame:
     df = gr.with_group_mean(
-        _stored(spark, sf).select(*KEY, "language", "prop_look_correct"),
+        vw.merged(spark, sf).select(*KEY, "language", "prop_look_correct"),
         "prop_look_correct",
         ["language", "trial_type"],
     )
@@ -471,9 +452,7 @@ def factor_levels(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def factor_reverse(spark: SparkSession, sf: str) -> DataFrame:
     df = _orders(spark, sf).select("o_orderkey", "o_orderstatus")
-    known = co.levels_of(df, "o_orderstatus")
-    index = sc.level_index("o_orderstatus", known)
-    return df.withColumn("level", sc.reverse_levels(index, len(known)))
+    return co.level_order(df, "o_orderstatus", name="level", reverse=True)
 
 
 @query
@@ -507,14 +486,14 @@ def median_split(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def median_split_per_subject(spark: SparkSession, sf: str) -> DataFrame:
     df = se.median_split(
-        _stored(spark, sf), "total_concept_prod", ["language"], per_subject="subject"
+        vw.merged(spark, sf), "total_concept_prod", ["language"], per_subject="subject"
     ).select(*KEY, "language", "median_by_group", "vocab_size")
     return rounded(df, "median_by_group")
 
 
 @query
 def median_split_by_block(spark: SparkSession, sf: str) -> DataFrame:
-    rows = se.with_block(_stored(spark, sf).where(OLDER), block_size=BLOCK)
+    rows = se.with_block(vw.merged(spark, sf).where(OLDER), block_size=BLOCK)
     df = se.median_split(
         rows,
         "total_concept_prod",
@@ -535,7 +514,7 @@ def series_ordered(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def trials_from_wide(spark: SparkSession, sf: str) -> DataFrame:
     return tl.to_trials(
-        src.store(vw.wide(spark, sf), "wide"),
+        vw.wide(spark, sf),
         "recording_name",
         RULES,
         first="Test_1_Circle",
@@ -710,7 +689,7 @@ def t_test_p(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def pairwise_t(spark: SparkSession, sf: str) -> DataFrame:
     df = tt.pairwise_t(
-        vw.mixed_means(spark, sf), "score", "block", "subject", "none", by=["language"], levels=STATUS
+        vw.mixed_means(spark, sf), "score", "block", "subject", STATUS, "none", by=["language"]
     )
     return rounded(
         df.select("language", "level_1", "level_2", "n", "mean_diff", "sd_diff", "df", "t"),
@@ -722,8 +701,7 @@ def pairwise_t(spark: SparkSession, sf: str) -> DataFrame:
 def pairwise_t_p(spark: SparkSession, sf: str) -> DataFrame:
     both = [
         tt.pairwise_t(
-            vw.mixed_means(spark, sf), "score", "block", "subject", adjust, by=["language"],
-            levels=STATUS,
+            vw.mixed_means(spark, sf), "score", "block", "subject", STATUS, adjust, by=["language"],
         ).withColumn("adjust", F.lit(adjust))
         for adjust in ("holm", "bonferroni")
     ]
@@ -922,7 +900,7 @@ def trend_lm_band_ci(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def trend_loess(spark: SparkSession, sf: str) -> DataFrame:
     df = tr.trend(
-        src.store(_series(spark, sf), "series"),
+        _series(spark, sf),
         "trial_number",
         "proportion",
         ["language", "trial_type"],

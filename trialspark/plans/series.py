@@ -12,13 +12,11 @@ from trialspark.functions.scalars import (
     block_number,
     high_low,
     interaction,
-    level_index,
-    reverse_levels,
     to_number,
 )
-from trialspark.operators.columns import levels_of
+from trialspark.operators.columns import level_order
 from trialspark.operators.groups import clean, mean_of, ndistinct, with_group_mean
-from trialspark.operators.joins import join_group, settle
+from trialspark.operators.joins import join_group
 from trialspark.operators.quantiles import group_median
 
 
@@ -60,7 +58,7 @@ def median_split(
             as_column(per_subject).alias("__subject"),
             clean(df, value).alias("__value"),
         ).distinct()
-    medians = settle(group_median(rows, "__value", by, median_name))
+    medians = group_median(rows, "__value", by, median_name)
     return join_group(df, medians, by).withColumn(
         name, high_low(clean(df, value), median_name, labels)
     )
@@ -126,15 +124,12 @@ def figure_series(
     whole table, so a facet keeps its place when `only` shows a part.
     """
     levels = dict(levels or {})
-    out = df if only is None else df.where(only)
-    order = {}
     for f in facets:
-        known = levels[f] if f in levels else levels_of(df, f)
-        index = level_index(f, known)
-        order[f"{f}_order"] = reverse_levels(index, len(known)) if f in reverse else index
+        df = level_order(df, f, levels.get(f), f"{f}_order", f in reverse)
+    out = df if only is None else df.where(only)
     return out.select(
         *[as_column(f) for f in facets],
-        *[c.alias(n) for n, c in order.items()],
+        *[f"{f}_order" for f in facets],
         *[as_column(s) for s in series if s not in facets],
         interaction(*series).alias("series"),
         to_number(x).alias("x"),

@@ -20,8 +20,7 @@ from trialspark.functions.scalars import (
     total_looking,
 )
 from trialspark.operators.columns import column_range, rename_regex
-from trialspark.operators.groups import assert_unique
-from trialspark.operators.joins import join_group, merge_subjects
+from trialspark.operators.joins import assert_unique, join_group, merge_subjects
 from trialspark.operators.reshape import separate
 from trialspark.operators.rows import good_trials
 
@@ -60,12 +59,15 @@ def to_trials(
     if first is not None or last is not None:
         kept = set(column_range(df, first or df.columns[0], last or df.columns[-1]))
         names = [c for c in names if c in kept]
+    folded = {m.lower(): m for m in measures}
     cells: dict[tuple[str, str], dict[str, str]] = {}
     for c in names:
         pieces = re.split(r"[\W_]+", c)
         if len(pieces) < 3:
             raise ValueError(f"column {c!r} does not name a phase, a trial and a measure")
-        phase, trial, aoi = pieces[:3]
+        phase, trial, aoi = *pieces[:2], folded.get(pieces[2].lower())
+        if aoi is None:
+            raise ValueError(f"column {c!r} names no measure")
         if aoi in cells.setdefault((phase, trial), {}):
             raise ValueError(f"two columns for {phase} {trial} {aoi}")
         cells[(phase, trial)][aoi] = c
@@ -157,8 +159,9 @@ def attach_subjects(
     on: str = "subject",
     keep: Column | str | None = "keeper = 1",
     trial: str | None = "trial_number",
+    unique: bool = False,
     **clean,
 ) -> DataFrame:
-    """Trials with the attributes of their (kept) subject, types repaired."""
-    merged = merge_subjects(trials, clean_master(master, keep, **clean), on)
+    """Trials with the attributes of their (kept) subject, types repaired; `unique` refuses repeated subjects."""
+    merged = merge_subjects(trials, clean_master(master, keep, **clean), on, unique=unique)
     return merged if trial is None else merged.withColumn(trial, to_number(trial).cast("int"))

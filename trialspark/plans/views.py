@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from xml.sax.saxutils import escape
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialspark.functions.scalars import flag
-from trialspark.operators.reshape import spread
 from trialspark.plans.trials import attach_subjects, quality_filter, score
 
 MEASURES = ("circle", "distractor", "target")
 PHASES = ("Training", "Test")
 TRIALS = 15
-# Which event type plays which area of interest.
-AOI_EVENTS = {"circle": "view", "distractor": "error", "target": "click"}
+# Which event types play which area of interest.
+AOI_EVENTS = {"circle": ("view", "signup"), "distractor": ("error",), "target": ("click", "purchase")}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,9 +40,9 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .agg(
             *[
-                exact_sum(F.when(F.col("event_type") == event, F.col("value")).otherwise(0.0))
+                exact_sum(F.when(F.col("event_type").isin(*events), F.col("value")).otherwise(0.0))
                 .alias(aoi)
-                for aoi, event in AOI_EVENTS.items()
+                for aoi, events in AOI_EVENTS.items()
             ]
         )
     )
@@ -69,22 +63,13 @@ def wide_names() -> list[str]:
 
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per recording, one column per phase, trial and area of interest."""
-    name = F.concat(
-        F.lit("Total Fixation Duration_"),
-        "trial_type",
-        F.col("trial_number").cast("string"),
-        F.lit("_"),
-        F.initcap("aoi"),
-        F.lit("_Sum"),
-    )
-    long = (
-        trials(spark, sf_dir)
-        .unpivot(["subject", "trial_type", "trial_number"], list(MEASURES), "aoi", "looking_time")
-        .select("subject", name.alias("name"), "looking_time")
-    )
-    return spread(long, ["subject"], "name", "looking_time", wide_names()).withColumnRenamed(
-        "subject", "recording.name"
-    )
+    cell = [
+        F.max(F.when((F.col("trial_type") == phase) & (F.col("trial_number") == n), F.col(aoi))).alias(wide_name(aoi, phase, n))
+        for aoi in MEASURES
+        for phase in ("Test", "Training")
+        for n in range(1, TRIALS + 1)
+    ]
+    return trials(spark, sf_dir).groupBy(F.col("subject").alias("recording.name")).agg(*cell)
 
 
 def master(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,48 +131,3 @@ def mixed_means(spark: SparkSession, sf_dir: str, within: bool = True) -> DataFr
         F.when(F.col("c_nationkey") % 2 == 0, "even").otherwise("odd").alias("half"),
         "score",
     )
-
-
-def workbook_bytes(header: list[str], rows: list[list]) -> bytes:
-    """A one-sheet workbook; None becomes the missing token `-`."""
-    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    package = "http://schemas.openxmlformats.org/package/2006/relationships"
-
-    def cell(v) -> str:
-        if isinstance(v, int | float) and v == v:
-            return f"<c><v>{v!r}</v></c>"
-        text = "-" if v is None or v != v else escape(str(v))
-        return f'<c t="inlineStr"><is><t>{text}</t></is></c>'
-
-    body = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in [header, *rows])
-    parts = {
-        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets>'
-        '<sheet name="Data" sheetId="1" r:id="rId1"/></sheets></workbook>',
-        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{package}"><Relationship Id="rId1" '
-        f'Type="{office}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
-        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData>'
-        "</worksheet>",
-    }
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
-        for name, text in parts.items():
-            book.writestr(name, text)
-    return out.getvalue()
-
-
-def workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The wide table as workbooks, one per batch of rows."""
-    df = wide(spark, sf_dir)
-    header = df.columns
-
-    def pack(batches):
-        for pdf in batches:
-            rows = [[v.item() if hasattr(v, "item") else v for v in r] for r in
-                    pdf.astype(object).itertuples(index=False, name=None)]
-            yield pd.DataFrame(
-                {"path": [f"book-{rows[0][0]}"], "content": [workbook_bytes(header, rows)]}
-            ) if rows else pd.DataFrame({"path": [], "content": []})
-
-    # input names without dots or blanks, the header has the real ones
-    return df.toDF(*[f"c{i}" for i in range(len(header))]).mapInPandas(pack, "path string, content binary")

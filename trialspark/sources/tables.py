@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -59,22 +58,9 @@ def write_series(df: DataFrame, path: str, format: str = "parquet") -> None:
     writer.format(format).save(path)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors see: `spark.checkpoint.dir`, a local one in local mode only."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        path = tempfile.mkdtemp(prefix="trialspark-")
-    return path
-
-
-def store(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write a table that several steps read once to the shared folder, and read it back.
-
-    Later steps then scan only the columns they need, with known sizes, and a
-    lost executor costs a re-read instead of the whole lineage.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    write_series(df, path)
-    return df.sparkSession.read.parquet(path)
+def stored(df: DataFrame, name: str, format: str = "parquet") -> DataFrame:
+    """Write a series to a new folder of the warehouse, and read it back."""
+    spark = df.sparkSession
+    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/{name}-{uuid.uuid4().hex}"
+    write_series(df, path, format)
+    return read_table(spark, path, format, null_token=None)
