@@ -127,7 +127,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, vec_id: str = "ve
     centroids = fit_centroids(_matrix(drawn.column("embedding"), d), lists)
 
     copies = Window.partitionBy("embedding").orderBy("vec_id")
-    candidates = good.withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1).select("vec_id", "embedding", F.lit(False).alias("wanted"))
+    candidates = good.distinct().withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1).select("vec_id", "embedding", F.lit(False).alias("wanted"))
     queries = good.where(F.col("vec_id") % every == 0).select("vec_id", "embedding", F.lit(True).alias("wanted"))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
