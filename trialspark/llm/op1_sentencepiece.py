@@ -27,19 +27,19 @@ from pyspark.sql import types as T
 
 from trialspark.llm.common import pieces, table
 
-#: Words a worker remembers; beyond it the memo starts anew.
-MEMO_WORDS = 500_000
+#: Words a worker remembers with their ids, and with their number of tokens; beyond it the memo starts anew.
+MEMO_WORDS, COUNT_WORDS = 500_000, 1_300_000
 _NEVER = float("inf")
 
 
 class _Memo(dict):
-    """word -> what `make` gives, at most MEMO_WORDS of them."""
+    """word -> what `make` gives, at most `most` of them."""
 
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, most: int):
+        self.make, self.most = make, most
 
     def __missing__(self, key):
-        if len(self) >= MEMO_WORDS:
+        if len(self) >= self.most:
             self.clear()
         value = self[key] = self.make(key)
         return value
@@ -75,9 +75,10 @@ class PieceModel:
         self.automaton.make_automaton()
         self.known = {t for t in self.id_of if len(t) == 1}
         self.size = {i: len(t) for i, t in self.piece.items()}
-        self.stable = _Memo(lambda pair: self._is_stable(self.piece[pair >> 32], self.piece[pair & 0xFFFFFFFF]))
-        self.memo = _Memo(self._word)
-        self.spans = _Memo(self._lengths)
+        self.stable = _Memo(lambda pair: self._is_stable(self.piece[pair >> 32], self.piece[pair & 0xFFFFFFFF]), MEMO_WORDS)
+        self.memo = _Memo(self._word, MEMO_WORDS)
+        self.spans = _Memo(self._lengths, MEMO_WORDS)
+        self.counts = _Memo(lambda word: len(self.tokens(word.replace(" ", "▁"))), COUNT_WORDS)
 
     def _merge(self, text: str):
         """The tree of merges that makes a token of its characters; None if merging ends elsewhere."""
@@ -196,7 +197,7 @@ class PieceModel:
         return ids, "".join([x[1] for x in found]).removeprefix(" "), ids.count(",") + 1 if ids else 0
 
     def count(self, text: str) -> int:
-        return self.encoded(text)[2]
+        return sum(map(self.counts.__getitem__, self.split(text)))
 
     def offsets(self, text: str) -> list[tuple[int, int]]:
         """Of each token, its characters [begin, end) in the text. The space put before a text lies at 0."""

@@ -51,8 +51,7 @@ def section_counts(model: PieceModel, text: str, edge: np.ndarray, rule: str) ->
     words = model.split(text)
     if not words:
         return count, crossing
-    memo = model.memo
-    number = np.fromiter((memo[w][0].count(",") + 1 for w in words), np.int64, len(words))
+    number = np.fromiter(map(model.counts.__getitem__, words), np.int64, len(words))
     size = np.fromiter(map(len, words), np.int64, len(words))
     at = np.cumsum(size) - size - 1
     # words inside a section are counted whole; only those on a border need their tokens' spans
