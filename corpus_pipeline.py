@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialspark.llm import op2_minhash, op3_toxicity, op4_substring, op7_packing, op9_exact
-from trialspark.llm.common import save, table
+from trialspark.llm.common import save, small_batches, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic, by a model fitted on the labelled ones among them."""
+    small_batches(spark)
     model = op3_toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return op3_toxicity.judge(docs, model).where("predicted = 0").select(*docs.columns)
 
@@ -26,11 +27,13 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest doc_id, of each group linked by four fifths of their five-word shingles."""
+    small_batches(spark)
     return op2_minhash.near_groups(docs, words=5, least=80).where("kept").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 20-word passages that start earlier. Others are left as they are; n_chars follows the text."""
+    small_batches(spark)
     cut = op4_substring.drop_repeats(docs)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     size = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
@@ -39,6 +42,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place of each document in a batch of its length bucket."""
+    small_batches(spark)
     return op7_packing.pack(save(op7_packing.token_lengths(docs), "pipeline-lengths"))
 
 

@@ -15,7 +15,7 @@ WHITE = np.zeros(256, dtype=bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 #: Text bytes worked on at once inside a task; a longer document is a piece of its own.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 _ODD = np.uint64(0x9E3779B97F4A7C13)
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
@@ -38,6 +38,11 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Texts cross to Python in batches of bounded bytes, so that a task's memory does not follow the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
