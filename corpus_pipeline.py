@@ -43,7 +43,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place of each document in a batch of its length bucket."""
     small_batches(spark)
-    return op7_packing.pack(save(op7_packing.token_lengths(docs), "pipeline-lengths"))
+    return op7_packing.pack(save(op7_packing.token_lengths(docs, keep_words=False), "pipeline-lengths"))
 
 
 STAGES = [

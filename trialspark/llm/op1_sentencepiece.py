@@ -199,6 +199,11 @@ class PieceModel:
     def count(self, text: str) -> int:
         return sum(map(self.counts.__getitem__, self.split(text)))
 
+    def forget(self) -> None:
+        """Free what is remembered of words and pairs."""
+        for memo in (self.stable, self.memo, self.spans, self.counts):
+            memo.clear()
+
     def offsets(self, text: str) -> list[tuple[int, int]]:
         """Of each token, its characters [begin, end) in the text. The space put before a text lies at 0."""
         out, at = [], -1

@@ -30,14 +30,16 @@ EXACT, STEPS = 128, 64
 SLICE = 50_000
 
 
-def token_lengths(docs: DataFrame, model_path: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_tokens) of every row."""
+def token_lengths(docs: DataFrame, model_path: str | None = None, text: str = "text", doc_id: str = "doc_id", keep_words: bool = True) -> DataFrame:
+    """(doc_id, n_tokens) of every row. A worker keeps the words it knows for its next task, or frees them for jobs of other kinds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(model_path or default_model())
         for batch in batches:
             for part in pieces(batch, text):
                 yield pa.RecordBatch.from_arrays([part.column(doc_id), pa.array([model.count(t or "") for t in part.column(text).to_pylist()], pa.int64())], [doc_id, "n_tokens"])
+        if not keep_words:
+            model.forget()
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {kind}, n_tokens long")
