@@ -279,6 +279,26 @@ def test_repeats_odd(odd, none):
     assert op4_substring.drop_repeats(none).count() == 0 and op5_suffix_array.drop_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [256, 1])
+def test_rows_and_texts_of_one_id(spark, crowd, monkeypatch):
+    """A repeated row that holds the first occurrence of a passage keeps it; so do texts of one id that share a place."""
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    rng = random.Random(11)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    p, q, head = words(30), words(30), words(25)
+    rows = [(1, f"{words(25)} {p} {words(25)}"), (2, f"{words(25)} {p} {words(25)}")]
+    rows += [(3, f"{head} {q} {words(25)}"), (3, f"{head} {q} {words(25)}"), (4, f"{words(25)} {q} {words(25)}")]
+    df = spark.createDataFrame(rows + rows[:1] * 2, "doc_id long, text string").repartition(4)
+    # the passage is gone from the later document alone, and every row of an id tells the same
+    got = df.sparkSession.createDataFrame(op4_substring.drop_repeats(df).collect()).groupBy("doc_id").agg(F.collect_set("n_removed"), F.count("*")).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == {1: ([0], 3), 2: ([30], 1), 3: ([0], 2), 4: ([30], 1)}
+    got = {(r["doc_id"], r["text"]): r["n_removed"] for r in op5_suffix_array.drop_repeats(df).collect()}
+    assert all((v == 0) == (i in (1, 3)) for (i, _), v in got.items())
+    once = [rows[0], rows[1], (4, rows[4][1])]
+    want = brute.suffixes(once + [(3, rows[2][1])], 100)
+    assert {i: v for (i, _), v in got.items()} == {i: v[1] for i, v in want.items()}
+
+
 # --- 6
 
 def test_archives(spark, tmp_path):

@@ -11,6 +11,9 @@ start earlier (smaller doc_id, or same document and earlier place). All symbols
    their real symbols by the operator's own method (`judge`).
 3. Spans found in 2 go back to their documents and are united there.
 
+A place is a document and a symbol number: the same symbols at one place, given by repeated rows or by several texts of
+one id, are one occurrence and no repeat of each other.
+
 Load: equal contexts are reduced before each shuffle to one row a batch or group, so a passage with any number of
 copies stays small. A gram with more than CROWD contexts is not judged in one place: its contexts are cut into single
 windows, each keyed by its own content. Rows travel as columns of lists, one row a batch and shard. Shards follow
@@ -96,9 +99,7 @@ def contexts(unit: Unit, symbols: np.ndarray, first: np.ndarray, ids: np.ndarray
     begin, last = windows[change], windows[np.r_[change[1:] - 1, len(windows) - 1]]
     gram = chosen[change]
     text = np.searchsorted(first, begin, side="right") - 1
-    with np.errstate(over="ignore"):
-        ctx = runs.hash(begin, last + unit.window) ^ mix((gram - begin).astype(np.uint64) + np.uint64(77))
-    return Contexts(grams[gram], ctx, ids[text], begin - first[text], last - begin)
+    return Contexts(grams[gram], runs.hash(begin, last + unit.window), ids[text], begin - first[text], last - begin)
 
 
 def settle(c: Contexts) -> tuple[Contexts, np.ndarray, np.ndarray]:
@@ -117,6 +118,24 @@ def settle(c: Contexts) -> tuple[Contexts, np.ndarray, np.ndarray]:
     return s.take(head), np.bincount(number)[number], order[same_ctx & ~again]
 
 
+def _once(c: Contexts) -> np.ndarray:
+    """Indexes of one of each gram, content and place."""
+    order = np.lexsort((c.begin, c.doc, c.ctx, c.key))
+    s = c.take(order)
+    new = (s.key[1:] != s.key[:-1]) | (s.ctx[1:] != s.ctx[:-1]) | (s.doc[1:] != s.doc[:-1]) | (s.begin[1:] != s.begin[:-1])
+    return np.sort(order[np.r_[True, new][: len(order)]])
+
+
+def _later_windows(unit: Unit, contents: list[bytes], c: Contexts) -> Contexts:
+    """The windows of these contexts that also start at an earlier place of one of them."""
+    symbols, first, _, _ = unit.symbols(np.frombuffer(b"".join(contents), np.uint8), np.r_[0, np.cumsum([len(x) for x in contents])])
+    number = c.extra + 1
+    w = ragged(first[:-1], number)
+    none = np.zeros(len(w), np.int64)
+    windows = Contexts(Runs(symbols).hash(w, w + unit.window), none.view(np.uint64), np.repeat(c.doc, number), w - np.repeat(first[:-1] - c.begin, number), none)
+    return windows.take(settle(windows)[2])
+
+
 _LONGS, _INTS = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
 #: kind 0: contexts by shard of their gram; kind 1: spans [begin, begin + extra) by shard of their document;
 #: kind 2: contested contexts, and kind 3: those of a crowded gram, by shard of their document.
@@ -258,9 +277,11 @@ def remove_repeats(docs: DataFrame, unit: Unit, judge: Judge, finish: Callable,
             return made[0]
         got: list[Contexts] = []
         content: list[bytes] = []
+        taken = {k: np.zeros(len(c.key), bool) for k, c in sides}
         for part in shelf(shelves):
             data, at = texts(part.column(text))
             symbols, first, start, end = unit.symbols(data, at)
+            runs = Runs(symbols)
             ids = part.column(doc_id).to_numpy(zero_copy_only=False).astype(np.int64)
             raw = data.tobytes()
             for k, c in sides:
@@ -268,12 +289,17 @@ def remove_repeats(docs: DataFrame, unit: Unit, judge: Judge, finish: Callable,
                 mine = ragged(left, right - left)
                 base, room = np.repeat(first[:-1], right - left), np.repeat(np.diff(first), right - left)
                 h = c.take(mine)
-                fits = np.flatnonzero(h.begin + h.extra + unit.window <= room)  # always, unless an id has several texts
-                h, base = h.take(fits), base[fits]
+                # a context is taken once, from a text that holds it: rows may repeat, and an id have several texts
+                held = np.flatnonzero((h.begin + h.extra + unit.window <= room) & ~taken[k][mine])
+                begin = h.begin[held] + base[held]
+                held = held[runs.hash(begin, begin + h.extra[held] + unit.window) == h.ctx[held]]
+                held = held[np.unique(mine[held], return_index=True)[1]]
+                taken[k][mine[held]] = True
+                h, base = h.take(held), base[held]
                 if k == 3 and len(h.key):
                     number = h.extra + 1
                     w = ragged(h.begin + base, number)
-                    h = Contexts(Runs(symbols).hash(w, w + unit.window), np.zeros(len(w), np.uint64), np.repeat(h.doc, number), w - np.repeat(base, number), np.zeros(len(w), np.int64))
+                    h = Contexts(runs.hash(w, w + unit.window), np.zeros(len(w), np.uint64), np.repeat(h.doc, number), w - np.repeat(base, number), np.zeros(len(w), np.int64))
                     base = np.repeat(base, number)
                 if len(h.key):
                     i = start[h.begin + base]
@@ -292,6 +318,7 @@ def remove_repeats(docs: DataFrame, unit: Unit, judge: Judge, finish: Callable,
             stays = np.ones(len(c.key), bool)
             stays[single[rest]] = False
             index = np.flatnonzero(stays)
+            index = index[_once(c.take(index))]
             c, content = c.take(index), [content[k] for k in index]
         made.append(pa.Table.from_batches([_pack(0, _of_key(c.key, gram_shards), c, content)]))
         return pa.concat_tables(made)
@@ -308,8 +335,21 @@ def remove_repeats(docs: DataFrame, unit: Unit, judge: Judge, finish: Callable,
         c, content = c.take(index), [content[k] for k in order[index]]
         if not content:
             return _empty()
-        which, window = judge(content, c.key, c.doc, c.begin, c.extra)
-        spans = _united(c.doc[which], c.begin[which] + window, c.begin[which] + window + unit.window)
+        number = np.cumsum(np.r_[True, c.key[1:] != c.key[:-1]])
+        met = (number[1:] == number[:-1]) & (c.doc[1:] == c.doc[:-1]) & (c.begin[1:] <= c.begin[:-1] + c.extra[:-1])
+        several = np.isin(number, number[1:][met])  # texts of one id hold windows at one place: judged by window and place
+        doc, begin = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if several.any():
+            index = np.flatnonzero(several)
+            r = _later_windows(unit, [content[k] for k in index], c.take(index))
+            doc, begin = doc + [r.doc], begin + [r.begin]
+        if not several.all():
+            index = np.flatnonzero(~several)
+            h = c.take(index)
+            which, window = judge([content[k] for k in index], h.key, h.doc, h.begin, h.extra)
+            doc, begin = doc + [h.doc[which]], begin + [h.begin[which] + window]
+        doc, begin = np.concatenate(doc), np.concatenate(begin)
+        spans = _united(doc, begin, begin + unit.window)
         return pa.Table.from_batches([_pack(1, _of_doc(spans.doc, shards), spans)])
 
     def close(shelves: pa.Table, found: pa.Table) -> pa.Table:
