@@ -144,6 +144,29 @@ def test_links_between_members_of_a_star(spark, monkeypatch):
     assert {i: c for i, (c,) in got.items()} == {i: c for i, (_, c) in brute.near(rows, 1).items()}
 
 
+@pytest.mark.parametrize("most", [1 << 22, 3000])
+def test_star_without_links_is_cut_on_both_sides(spark, monkeypatch, most):
+    """A template family, similar by 0.7, and some links in it: no task gets more than two fills of a block a side."""
+    monkeypatch.setattr(op2_minhash, "BLOCK", 3)
+    monkeypatch.setattr(op2_minhash, "BLOCK_BYTES", most, raising=False)
+    frame = [f"w{k}" for k in range(100)]
+    rows = [(i, " ".join(frame + [f"x{i}y{k}" for k in range(20 + i % 3)])) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " z" * (i + 1)) for i in (40, 50)]
+    groups, tested = [], op2_minhash._tested
+
+    def watched(left, right, bodies, words, least, only_links):
+        if only_links:
+            size = bodies.groupBy("doc").agg(F.sum(F.octet_length("text")).alias("size"))
+            groups.extend(r for t in (left, right) for r in t.join(size, "doc").groupBy("place", "part").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect())
+        return tested(left, right, bodies, words, least, only_links)
+
+    monkeypatch.setattr(op2_minhash, "_tested", watched)
+    got = by_id(op2_minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 1), "component_id")
+    assert {i: c for i, (c,) in got.items()} == {i: c for i, (_, c) in brute.near(rows, 1).items()}
+    assert groups and max(r["n"] for r in groups) <= 24
+    assert most > 3000 or max(r["bytes"] for r in groups) <= 12_000  # hash dealing fills unevenly
+
+
 def test_near_odd(odd, none):
     rows = op2_minhash.near_groups(odd).collect()
     assert len(rows) == odd.count()

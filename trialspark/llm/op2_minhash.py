@@ -9,12 +9,14 @@ is what links connect.
 3. Stars alone could lose a link between two members. Where the members of a centre are still in several components,
    each member x outside the main one is held against the others, unless they are in its component or its distance
    to the centre rules them out: 1 - similarity is a metric, so x and y cannot be linked if their distances to the centre
-   differ by more than 1 - least / 100. They are tested in blocks, on full sets; only links are returned.
+   differ by more than 1 - least / 100. They are tested in blocks, on full sets; only links are returned. Blocks hold
+   neighbours by distance and set size, and two blocks meet only where those ranges allow a link.
 
 So of all pairs that share a bucket no link is lost, and pairs are not listed but tested inside tasks. A pair at the
 threshold shares no bucket with probability 5e-7 (`sketches`).
 
-Large stars are cut into blocks of about BLOCK documents; equal sets and bucket minima are aggregated
+Large stars are cut into blocks of bounded documents and text bytes, on both sides where members meet members; the pairs
+of blocks of one star still grow with the square of its size. Equal sets and bucket minima are aggregated
 within tasks first; joins that may meet a large key are between stored tables, which adaptive execution splits.
 
 Rows: a document without words is linked with nothing. Rows without an id are their own group, with a null component,
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trialspark.llm.common import pieces, ragged, save, table
@@ -37,6 +39,8 @@ from trialspark.llm.sketches import BANDS, band_keys, set_names, shingle_sets, s
 
 #: Documents of a star that are tested in one place.
 BLOCK = 256
+#: Text bytes of a block, and how many times BLOCK documents one may hold where members meet members.
+BLOCK_BYTES, WIDER = 4 << 20, 4
 #: Ids (8 bytes each) that may be broadcast to pick texts; more are joined by a shuffle.
 FEW_IDS = 2_000_000
 
@@ -55,6 +59,12 @@ def _sketched(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, n long, h long, h2 long, keys array<long>")
 
 
+def _sets(t: pa.Table, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle sets of a table's texts, made a piece at a time."""
+    value, size = zip(*((v, np.diff(at)) for b in t.select(["text"]).to_batches() for part in pieces(b) for v, at in [shingle_sets(part.column("text"), words)]))
+    return np.concatenate(value), np.r_[0, np.cumsum(np.concatenate(size))]
+
+
 def _tested(left: DataFrame, right: DataFrame, bodies: DataFrame, words: int, least: int, only_links: bool) -> DataFrame:
     """Pairs of a left and a right document of one part of a star, by their full sets: a, b, similarity, linked.
 
@@ -67,7 +77,7 @@ def _tested(left: DataFrame, right: DataFrame, bodies: DataFrame, words: int, le
         out: list[tuple] = []
         if x.num_rows and y.num_rows:
             (ids_x, far_x, own_x), (ids_y, far_y, own_y) = (tuple(t.column(c).to_numpy() for c in ("doc", "far", "component")) for t in (x, y))
-            (value_x, at_x), (value_y, at_y) = (shingle_sets(t.column("text"), words) for t in (x, y))
+            (value_x, at_x), (value_y, at_y) = (_sets(t, words) for t in (x, y))
             size_x, size_y = np.diff(at_x), np.diff(at_y)
             for k in np.flatnonzero(size_x > 0):
                 take = (ids_y != ids_x[k]) & (size_y > 0)
@@ -93,13 +103,50 @@ def _tested(left: DataFrame, right: DataFrame, bodies: DataFrame, words: int, le
     return x.groupBy("place", "part").cogroup(y.groupBy("place", "part")).applyInArrow(run, "a long, b long, similarity double, linked boolean")
 
 
-def _in_blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of stars dealt to parts of about BLOCK documents, and the number of parts of the stars that have several."""
-    parts = save(members.groupBy("place").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("place", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "op2-parts")
+def _weighed(members: DataFrame, bodies: DataFrame, most: int) -> DataFrame:
+    """Members with `weight`, the share of a block that a document fills."""
+    weight = F.greatest(F.coalesce(F.sum("bytes"), F.lit(0)) / BLOCK_BYTES, F.lit(1 / most))
+    return members.join(bodies.groupBy("doc").agg(weight.alias("weight")), "doc")
+
+
+def _in_blocks(members: DataFrame, bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of stars dealt to parts of about BLOCK documents or BLOCK_BYTES, and the number of parts of the stars that
+    have several."""
+    number = F.ceil(F.sum("weight") - 1e-6).cast("int")
+    parts = save(_weighed(members, bodies, BLOCK).groupBy("place").agg(number.alias("parts")).where("parts > 1"), "op2-parts")
     dealt = members.join(parts, "place", "left").withColumn("part", F.pmod(F.xxhash64("doc"), F.coalesce("parts", F.lit(1))).cast("int"))
     return dealt, parts
 
 
+def _met_blocks(mixed: DataFrame, sizes: DataFrame, bodies: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Members outside their star's main component, and all members that they may be linked with, by part: a pair of blocks.
+
+    Members are counted in cells by distance and set size. Neighbouring cells fill a block, a cell that overfills
+    one is dealt to several; so a block holds less than about two fills. A star of one block meets itself.
+    """
+    far, size = F.floor(F.col("far") * 50).alias("f"), F.floor(F.log(F.greatest("low", F.lit(1))) * 8).alias("s")
+    rows = _weighed(mixed.join(sizes, "doc"), bodies, WIDER * BLOCK).select("*", (F.col("component") == F.col("main")).alias("inner"), far, size)
+    cell = ["place", "inner", "f", "s"]
+    cells = rows.groupBy(cell).agg(F.sum("weight").alias("w")).withColumn("own", F.col("inner") & (F.sum("w").over(Window.partitionBy("place")) > 1))
+    earlier = Window.partitionBy("place", "own").orderBy("inner", "f", "s").rowsBetween(Window.unboundedPreceding, -1)
+    cells = save(cells.withColumn("step", F.floor(F.coalesce(F.sum("w").over(earlier), F.lit(0.0)))), "op2-cells")
+    large = F.col("w") > 1
+    deal = F.when(large, F.pmod(F.xxhash64("doc"), F.ceil("w"))).otherwise(-1)
+    name = F.concat_ws("/", F.col("own").cast("string"), "step", *(F.when(large, F.col(c)).otherwise(-1) for c in ("f", "s")), deal)
+    dealt = save(rows.join(cells, cell).select("place", "doc", "far", "component", "main", "low", "high", "own", name.alias("block")), "op2-dealt")
+    ends = [F.min("far").alias("near"), F.max("far").alias("far"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("component").alias("c"), F.max("component").alias("d")]
+    blocks = dealt.groupBy("place", "block", "own").agg(*ends)
+    x, y = (blocks.select("place", *(F.col(c).alias(c + side) for c in blocks.columns[1:])) for side in "xy")
+    room = 1 - least / 100 + 1e-9
+    once = F.expr("NOT ownx AND (owny OR blockx <= blocky) AND NOT (cx = dx AND cy = dy AND cx = cy)")
+    close = (F.col("neary") - F.col("farx") <= room) & (F.col("nearx") - F.col("fary") <= room)
+    alike = (100 * F.col("highx") >= least * F.col("lowy")) & (100 * F.col("highy") >= least * F.col("lowx"))
+    pairs = save(x.join(y, "place").where(once & close & alike).select("place", "blockx", "blocky", F.concat_ws("|", "blockx", "blocky").alias("part")), "op2-pairs")
+    left, right = (dealt.join(pairs.select("place", F.col(c).alias("block"), "part"), ["place", "block"]) for c in ("blockx", "blocky"))
+    kept = ["place", "part", "doc", "far", "component"]
+    return left.where("component <> main").select(kept), right.select(kept)
+
+
 def _to_all_parts(rows: DataFrame, parts: DataFrame) -> DataFrame:
     return rows.join(parts, "place", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
 
@@ -116,9 +163,9 @@ def near_groups(docs: DataFrame, words: int = 5, least: int = 80, text: str = "t
 
     needed = save(stars.select("doc").union(stars.select("place")).distinct(), "op2-needed")
     few = needed.count() <= FEW_IDS
-    bodies = save(plain.join(F.broadcast(needed) if few else needed, "doc", "left_semi"), "op2-bodies")
+    bodies = save(plain.join(F.broadcast(needed) if few else needed, "doc", "left_semi").withColumn("bytes", F.octet_length("text")), "op2-bodies")
     unknown = {"far": F.lit(0.0), "component": F.col("doc")}
-    dealt, parts = _in_blocks(stars.withColumns(unknown))
+    dealt, parts = _in_blocks(stars.withColumns(unknown), bodies)
     centres = stars.select("place").distinct().withColumn("doc", F.col("place")).withColumns(unknown)
     tested = _tested(_to_all_parts(centres, parts), dealt, bodies, words, least, False)
     tested = save(tested.groupBy("a", "b").agg(F.max("similarity").alias("similarity"), F.max("linked").alias("linked")), "op2-tested")
@@ -132,8 +179,9 @@ def near_groups(docs: DataFrame, words: int = 5, least: int = 80, text: str = "t
     sizes = placed.groupBy("place", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("place").agg(F.count("*").alias("several"), F.max(F.struct("n", F.negative("component").alias("c"))).alias("m")).where("several > 1")
     mixed = save(placed.join(save(main.select("place", F.negative("m.c").alias("main")), "op2-main"), "place"), "op2-mixed")
-    dealt, parts = _in_blocks(mixed)
-    more = _tested(_to_all_parts(mixed.where("component <> main"), parts), dealt, bodies, words, least, True).select("a", "b")
+    sizes = sketched.groupBy("doc").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    left, right = _met_blocks(mixed, sizes, bodies, least)
+    more = _tested(left, right, bodies, words, least, True).select("a", "b")
     found = components(links.union(save(more, "op2-more")))
 
     named = save(classes.join(found.withColumnRenamed("node", "first"), "first", "left").select("h", "h2", "n", F.coalesce("component", "first").alias("component_id")), "op2-named")
