@@ -16,7 +16,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from trialspark.llm import (  # noqa: E402
-    graph, op1_sentencepiece, op2_minhash, op3_toxicity, op4_substring, op5_suffix_array, op6_warc, op7_packing, op8_token_counts, op9_exact,
+    common, graph, op1_sentencepiece, op2_minhash, op3_toxicity, op4_substring, op5_suffix_array, op6_warc, op7_packing, op8_token_counts, op9_exact,
     op10_neighbours, queries, repeats, sketches,
 )
 
@@ -167,6 +167,59 @@ def test_star_without_links_is_cut_on_both_sides(spark, monkeypatch, most):
     assert most > 3000 or max(r["bytes"] for r in groups) <= 12_000  # hash dealing fills unevenly
 
 
+def thue_morse(letters, a="a", b="b"):
+    """Two different words, each the other's complement: sums of signs times powers cannot tell them apart."""
+    one = "".join(a if bin(k).count("1") % 2 == 0 else b for k in range(letters))
+    return one, one.translate(str.maketrans(a + b, b + a))
+
+
+@pytest.mark.parametrize("letters", [1024, 4096])
+def test_long_words_that_sums_cannot_tell_apart(spark, letters):
+    a, b = thue_morse(letters)
+    rest = " ".join(f"w{k}" for k in range(19))
+    rows = [(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{a} x {a}"), (4, f"{b} x {b}"), (5, f"{a} y"), (6, f"{a} y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(op4_substring.drop_repeats(df, 20, 8), "n_removed", "kept_text")
+    assert {i: (r, k) for i, (_, r, k) in brute.substring(rows, 20).items()} == got and got[2][0] == 0
+    got = by_id(op2_minhash.near_groups(df, 2), "component_id")
+    assert {i: c for i, (c,) in got.items()} == {i: c for i, (_, c) in brute.near(rows, 2).items()}
+    assert got[4] == (4,) and got[6] == (5,)
+    got = by_id(op5_suffix_array.drop_repeats(df), "n_bytes", "n_removed", "n_spans", "kept")
+    assert {i: (x, r, k, bytes(t)) for i, (x, r, k, t) in got.items()} == brute.suffixes(rows, 100)
+
+
+def test_hashes_of_runs():
+    rng = np.random.default_rng(4)
+    symbols = np.r_[rng.integers(0, 2, 400), rng.integers(0, 2, 400)].astype(np.uint64)
+    runs = common.Runs(symbols)
+    begin = rng.integers(0, 780, 4000)
+    end = np.minimum(begin + rng.integers(0, 20, 4000), 800)
+    seen = {}
+    for h, i, j in zip(runs.hash(begin, end).tolist(), begin, end):
+        assert seen.setdefault(h, tuple(symbols[i:j])) == tuple(symbols[i:j])
+    assert len(set(seen.values())) == len(seen)
+    for k in (1, 5, 8, 40):
+        at = np.arange(801 - k)
+        assert (runs.grams(k) == runs.hash(at, at + k)).all()
+    a, b = (np.frombuffer(w.encode(), np.uint8).astype(np.uint64) for w in thue_morse(1 << 12))
+    size = np.array([1 << 12])
+    assert common.Runs(a).hash(size * 0, size) != common.Runs(b).hash(size * 0, size)
+
+
+def test_exact_sets_are_sets_of_words():
+    import pyarrow as pa
+
+    some = ["a b a b a", "", None, "b a", "one", "A B a", "a b c d e f", "a b c d e f g", "  a\tb c d "]
+    for k in (1, 2, 5):
+        value, at = sketches.exact_sets(pa.array(some), k)
+        sets = [set(value[a:b].tolist()) for a, b in zip(at, at[1:])]
+        plain = [brute.shingles(t, k) for t in some]
+        for x, p in zip(sets, plain):
+            assert len(x) == len(p)
+            for y, q in zip(sets, plain):
+                assert len(x & y) == len(p & q)
+
+
 def test_near_odd(odd, none):
     rows = op2_minhash.near_groups(odd).collect()
     assert len(rows) == odd.count()
@@ -209,6 +262,16 @@ def test_components(spark):
 
 # --- 3
 
+def test_segments_take_linear_time():
+    """Sparse weighted words on a falling sum: each opens a segment that begins lower than all before."""
+    import time
+
+    began = time.perf_counter()
+    assert len(op3_toxicity.segments(np.arange(200_000) * 50, np.full(200_000, 1.0), -0.1)) == 200_000
+    assert len(op3_toxicity.segments(np.arange(200_000) * 2, np.full(200_000, 1.0), -0.1)) == 1
+    assert time.perf_counter() - began < 2
+
+
 def test_segments():
     rng = random.Random(4)
     for _ in range(200):

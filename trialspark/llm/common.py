@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -18,7 +19,6 @@ WHITE[[9, 10, 11, 12, 13, 32]] = True
 PIECE_BYTES = 1 << 19
 
 _ODD = np.uint64(0x9E3779B97F4A7C13)
-_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,41 +81,74 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 with np.errstate(over="ignore"):
+    #: Two independent symbols for each byte.
     BYTE_SYMBOLS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+    OTHER_BYTE_SYMBOLS = mix(BYTE_SYMBOLS ^ np.uint64(0xA0761D6478BD642F))
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 2 * PIECE_BYTES)
-        with np.errstate(over="ignore"):
-            for k, base in enumerate((_ODD, _INVERSE)):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0], _powers[1]
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two halves from theirs, neither linear in the first nor the same for both orders."""
+    with np.errstate(over="ignore"):
+        return mix((a ^ (a >> np.uint64(32))) * _ODD + b)
 
 
 class Runs:
-    """64-bit hashes of any runs [i, j) of one symbol sequence, each in a few vector steps."""
+    """64-bit hashes of any runs [i, j) of one symbol sequence.
+
+    The hash of 2w symbols is mixed from those of both halves; a run of another length from those of its first and last
+    w symbols, w the largest power of two within it, and its length. Nothing is summed up, so no content cancels out.
+    """
 
     def __init__(self, symbols: np.ndarray):
-        power, self.inverse = _power_tables(len(symbols) + 1)
-        self.sums = np.zeros(len(symbols) + 1, np.uint64)
+        self.levels = [mix(symbols)]
+
+    def _level(self, k: int) -> np.ndarray:
+        """Hashes of all runs of 2**k symbols. Levels of long sequences are not kept, but made again."""
+        keep = len(self.levels[0]) <= 4 * PIECE_BYTES
+        at, width = (self.levels[min(k, len(self.levels) - 1)], 1 << min(k, len(self.levels) - 1))
+        while width < 1 << k:
+            at = joined(at[: max(len(at) - width, 0)], at[width:])
+            width *= 2
+            if keep:
+                self.levels.append(at)
+        return at
+
+    def _covered(self, first: np.ndarray, last: np.ndarray, size) -> np.ndarray:
         with np.errstate(over="ignore"):
-            np.cumsum(symbols * power[: len(symbols)], dtype=np.uint64, out=self.sums[1:])
+            return joined(joined(first, last), np.asarray(size).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
     def hash(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            inner = (self.sums[end] - self.sums[begin]) * self.inverse[begin]
-            return mix(inner + np.asarray(end - begin).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        size = np.asarray(end - begin)
+        out = np.zeros(len(size), np.uint64)
+        which = np.frexp(np.maximum(size, 1).astype(float))[1] - 1
+        for k in np.unique(which[size > 0]).tolist():
+            some = np.flatnonzero((which == k) & (size > 0))
+            level = self._level(k)
+            out[some] = self._covered(level[begin[some]], level[end[some] - (1 << k)], size[some])
+        return out
 
     def grams(self, k: int) -> np.ndarray:
         """The hash of every run of k symbols."""
-        n = max(len(self.sums) - k, 0)
-        with np.errstate(over="ignore"):
-            return mix((self.sums[k:] - self.sums[:n]) * self.inverse[:n])
+        n = max(len(self.levels[0]) - k + 1, 0)
+        power = k.bit_length() - 1
+        level = self._level(power)
+        off = k - (1 << power)
+        return self._covered(level[:n], level[off : off + n], np.uint64(k))
+
+
+def word_names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Two 64-bit halves of a cryptographic hash of each word (`word_spans`), taken once for each different word."""
+    coded = coded_words(data, start, end)
+    names = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in coded.dictionary.to_pylist())
+    return np.frombuffer(names, np.uint64).reshape(-1, 2)[coded.indices.to_numpy(zero_copy_only=False)]
+
+
+def coded_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.DictionaryArray:
+    """The words of some texts as a dictionary and places in it."""
+    offsets = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(end - start, out=offsets[1:])
+    letters = data[~WHITE[data]]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
 
 
 def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

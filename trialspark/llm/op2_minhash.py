@@ -3,9 +3,11 @@
 Documents whose shingle sets have a similarity (intersection by union) of at least `least` percent are linked; a group
 is what links connect.
 
-1. Equal sets are one class, represented by its smallest document; only representatives go on.
+1. Equal sets are one class, represented by its smallest document; only representatives go on. A set is named by 128
+   bits of a cryptographic hash of its shingles' 64-bit hashes, which are mixed from cryptographic ones of the words.
 2. Each sketch falls into BANDS buckets. A bucket's smallest document is its centre, and the candidate pairs are the
-   star (centre, member): as many as members, whatever the bucket's size. They are confirmed on the full sets.
+   star (centre, member): as many as members, whatever the bucket's size. They are confirmed on the full sets, whose
+   words themselves are compared.
 3. Stars alone could lose a link between two members. Where the members of a centre are still in several components,
    each member x outside the main one is held against the others, unless they are in its component or its distance
    to the centre rules them out: 1 - similarity is a metric, so x and y cannot be linked if their distances to the centre
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 
 from trialspark.llm.common import pieces, ragged, save, table
 from trialspark.llm.graph import components
-from trialspark.llm.sketches import BANDS, band_keys, set_names, shingle_sets, sketch
+from trialspark.llm.sketches import BANDS, band_keys, exact_sets, set_names, shingle_sets, sketch
 
 #: Documents of a star that are tested in one place.
 BLOCK = 256
@@ -59,14 +61,8 @@ def _sketched(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, n long, h long, h2 long, keys array<long>")
 
 
-def _sets(t: pa.Table, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle sets of a table's texts, made a piece at a time."""
-    value, size = zip(*((v, np.diff(at)) for b in t.select(["text"]).to_batches() for part in pieces(b) for v, at in [shingle_sets(part.column("text"), words)]))
-    return np.concatenate(value), np.r_[0, np.cumsum(np.concatenate(size))]
-
-
 def _tested(left: DataFrame, right: DataFrame, bodies: DataFrame, words: int, least: int, only_links: bool) -> DataFrame:
-    """Pairs of a left and a right document of one part of a star, by their full sets: a, b, similarity, linked.
+    """Pairs of a left and a right document of one part of a star, by their full sets, word for word: a, b, similarity, linked.
 
     With `only_links`, pairs of one component or with distances to the centre too far apart are passed over, and
     only linked pairs are returned.
@@ -77,7 +73,8 @@ def _tested(left: DataFrame, right: DataFrame, bodies: DataFrame, words: int, le
         out: list[tuple] = []
         if x.num_rows and y.num_rows:
             (ids_x, far_x, own_x), (ids_y, far_y, own_y) = (tuple(t.column(c).to_numpy() for c in ("doc", "far", "component")) for t in (x, y))
-            (value_x, at_x), (value_y, at_y) = (_sets(t, words) for t in (x, y))
+            value, at = exact_sets(pa.chunked_array(x.column("text").chunks + y.column("text").chunks, x.schema.field("text").type), words)
+            (value_x, at_x), (value_y, at_y) = (value, at[: x.num_rows + 1]), (value, at[x.num_rows :])
             size_x, size_y = np.diff(at_x), np.diff(at_y)
             for k in np.flatnonzero(size_x > 0):
                 take = (ids_y != ids_x[k]) & (size_y > 0)

@@ -6,9 +6,11 @@ start earlier (smaller doc_id, or same document and earlier place). All symbols
 1. Each window is represented by its smallest gram (hash order, leftmost of equals): equal windows have the same
    gram at the same place. Neighbouring windows with one gram form a context, the symbols those windows span; about
    2 in (window - gram + 2) places begin one. This thins the work, no window is left out.
-2. Contexts meet by gram. Of equal contexts the first stays and the others are repeats throughout. A gram with one
+2. Contexts meet by gram. Of equal contexts the first stays and the others are repeats throughout; equal means equal in
+   two independent 64-bit hashes of all symbols (of words: over both halves of a cryptographic hash). A gram with one
    context is settled; one with several is contested: its contexts share some windows, and which ones is decided on
-   their real symbols by the operator's own method (`judge`).
+   their real symbols by the operator's own method (`judge`). So passages that are copied with what surrounds them
+   are settled by hash, and `judge` finds the edges, where copies end.
 3. Spans found in 2 go back to their documents and are united there.
 
 A place is a document and a symbol number: the same symbols at one place, given by repeated rows or by several texts of
@@ -16,7 +18,7 @@ one id, are one occurrence and no repeat of each other.
 
 Load: equal contexts are reduced before each shuffle to one row a batch or group, so a passage with any number of
 copies stays small. A gram with more than CROWD contexts is not judged in one place: its contexts are cut into single
-windows, each keyed by its own content. Rows travel as columns of lists, one row a batch and shard. Shards follow
+windows, each keyed by its own content (by 128 bits again, then `judge`). Rows travel as columns of lists, one row a batch and shard. Shards follow
 `spark.sql.shuffle.partitions`. Nothing is collected, broadcast or sampled, and all is lazy, so a lost executor costs
 what it held.
 """
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trialspark.llm.common import BYTE_SYMBOLS, Runs, mix, partitions, pieces, ragged, texts, word_spans
+from trialspark.llm.common import BYTE_SYMBOLS, OTHER_BYTE_SYMBOLS, Runs, mix, partitions, pieces, ragged, texts, word_names, word_spans
 
 #: Contexts of one gram that are judged together.
 CROWD = 256
@@ -49,19 +51,29 @@ class Unit:
     window: int
     gram: int
 
-    def symbols(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Symbol values, where each text's begin, and begin and end byte of each symbol."""
+    def symbols(self, data: np.ndarray, at: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """Two independent values of each symbol, where each text's begin, and begin and end byte of each symbol."""
         if not self.words:
             place = np.arange(len(data) + 1)
-            return BYTE_SYMBOLS[data], at, place[:-1], place[1:]
+            return (BYTE_SYMBOLS[data], OTHER_BYTE_SYMBOLS[data]), at, place[:-1], place[1:]
         start, end, first = word_spans(data, at)
-        return Runs(BYTE_SYMBOLS[data]).hash(start, end), first, start, end
+        names = word_names(data, start, end)
+        return (names[:, 0], names[:, 1]), first, start, end
+
+    def places(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """`symbols` without values."""
+        if not self.words:
+            place = np.arange(len(data) + 1)
+            return at, place[:-1], place[1:]
+        start, end, first = word_spans(data, at)
+        return first, start, end
 
 
 @dataclass
 class Contexts:
     key: np.ndarray
     ctx: np.ndarray
+    ctx2: np.ndarray  # `ctx` by the other values of symbols
     doc: np.ndarray
     begin: np.ndarray  # first symbol
     extra: np.ndarray  # windows less one
@@ -69,6 +81,10 @@ class Contexts:
     def take(self, index: np.ndarray) -> Contexts:
         return Contexts(*(v[index] for v in vars(self).values()))
 
+    @staticmethod
+    def none() -> Contexts:
+        return Contexts(*(np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint64, np.int64, np.int64, np.int64)))
+
     @staticmethod
     def join(parts: list[Contexts]) -> Contexts:
         return Contexts(*(np.concatenate(v) for v in zip(*(vars(p).values() for p in parts))))
@@ -84,13 +100,13 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
-def contexts(unit: Unit, symbols: np.ndarray, first: np.ndarray, ids: np.ndarray) -> Contexts:
+def contexts(unit: Unit, symbols: tuple[np.ndarray, np.ndarray], first: np.ndarray, ids: np.ndarray) -> Contexts:
     """The contexts of some texts (numbered `ids`; text k has symbols first[k] to first[k + 1])."""
     count = np.maximum(np.diff(first) - unit.window + 1, 0)
     if not count.sum():
-        return Contexts(*(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64)))
+        return Contexts.none()
     windows = ragged(first[:-1], count)
-    runs = Runs(symbols)
+    runs, others = (Runs(s) for s in symbols)
     grams = runs.grams(unit.gram)
     low = np.uint64(0xFFFFFFFF)
     order = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
@@ -99,18 +115,25 @@ def contexts(unit: Unit, symbols: np.ndarray, first: np.ndarray, ids: np.ndarray
     begin, last = windows[change], windows[np.r_[change[1:] - 1, len(windows) - 1]]
     gram = chosen[change]
     text = np.searchsorted(first, begin, side="right") - 1
-    return Contexts(grams[gram], runs.hash(begin, last + unit.window), ids[text], begin - first[text], last - begin)
+    stop = last + unit.window
+    return Contexts(grams[gram], runs.hash(begin, stop), others.hash(begin, stop), ids[text], begin - first[text], last - begin)
+
+
+def windows_of(unit: Unit, symbols: tuple[Runs, Runs], at: np.ndarray, doc: np.ndarray, begin: np.ndarray) -> Contexts:
+    """Single windows, each under a key of its own content."""
+    none = np.zeros(len(at), np.int64)
+    return Contexts(*(runs.hash(at, at + unit.window) for runs in symbols), none.view(np.uint64), doc, begin, none)
 
 
 def settle(c: Contexts) -> tuple[Contexts, np.ndarray, np.ndarray]:
     """First occurrences sorted by gram and content, how many contents their gram has, and the other occurrences
     (indexes of the input). One occurrence given twice counts once."""
-    order = np.lexsort((c.begin, c.doc, c.ctx, c.key))
+    order = np.lexsort((c.begin, c.doc, c.ctx2, c.ctx, c.key))
     s = c.take(order)
     if not len(order):
         return s, np.zeros(0, np.int64), order
     same_key = np.r_[False, s.key[1:] == s.key[:-1]]
-    same_ctx = same_key & np.r_[False, s.ctx[1:] == s.ctx[:-1]]
+    same_ctx = same_key & np.r_[False, (s.ctx[1:] == s.ctx[:-1]) & (s.ctx2[1:] == s.ctx2[:-1])]
     head = np.flatnonzero(~same_ctx)
     own = np.cumsum(~same_ctx) - 1
     again = same_ctx & (s.doc == s.doc[head][own]) & (s.begin == s.begin[head][own])
@@ -120,9 +143,9 @@ def settle(c: Contexts) -> tuple[Contexts, np.ndarray, np.ndarray]:
 
 def _once(c: Contexts) -> np.ndarray:
     """Indexes of one of each gram, content and place."""
-    order = np.lexsort((c.begin, c.doc, c.ctx, c.key))
+    order = np.lexsort((c.begin, c.doc, c.ctx2, c.ctx, c.key))
     s = c.take(order)
-    new = (s.key[1:] != s.key[:-1]) | (s.ctx[1:] != s.ctx[:-1]) | (s.doc[1:] != s.doc[:-1]) | (s.begin[1:] != s.begin[:-1])
+    new = (s.key[1:] != s.key[:-1]) | (s.ctx[1:] != s.ctx[:-1]) | (s.ctx2[1:] != s.ctx2[:-1]) | (s.doc[1:] != s.doc[:-1]) | (s.begin[1:] != s.begin[:-1])
     return np.sort(order[np.r_[True, new][: len(order)]])
 
 
@@ -131,8 +154,7 @@ def _later_windows(unit: Unit, contents: list[bytes], c: Contexts) -> Contexts:
     symbols, first, _, _ = unit.symbols(np.frombuffer(b"".join(contents), np.uint8), np.r_[0, np.cumsum([len(x) for x in contents])])
     number = c.extra + 1
     w = ragged(first[:-1], number)
-    none = np.zeros(len(w), np.int64)
-    windows = Contexts(Runs(symbols).hash(w, w + unit.window), none.view(np.uint64), np.repeat(c.doc, number), w - np.repeat(first[:-1] - c.begin, number), none)
+    windows = windows_of(unit, tuple(Runs(v) for v in symbols), w, np.repeat(c.doc, number), w - np.repeat(first[:-1] - c.begin, number))
     return windows.take(settle(windows)[2])
 
 
@@ -141,12 +163,12 @@ _LONGS, _INTS = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
 #: kind 2: contested contexts, and kind 3: those of a crowded gram, by shard of their document.
 _ROWS = T.StructType(
     [T.StructField("kind", T.IntegerType()), T.StructField("shard", T.IntegerType())]
-    + [T.StructField(n, _LONGS) for n in ("key", "ctx", "doc")]
+    + [T.StructField(n, _LONGS) for n in ("key", "ctx", "ctx2", "doc")]
     + [T.StructField(n, _INTS) for n in ("begin", "extra")]
     + [T.StructField("content", T.ArrayType(T.BinaryType()))]
 )
 _ARROW = pa.schema(
-    [("kind", pa.int32()), ("shard", pa.int32()), *((n, pa.list_(pa.int64())) for n in ("key", "ctx", "doc")), ("begin", pa.list_(pa.int32())), ("extra", pa.list_(pa.int32())), ("content", pa.list_(pa.binary()))]
+    [("kind", pa.int32()), ("shard", pa.int32()), *((n, pa.list_(pa.int64())) for n in ("key", "ctx", "ctx2", "doc")), ("begin", pa.list_(pa.int32())), ("extra", pa.list_(pa.int32())), ("content", pa.list_(pa.binary()))]
 )
 
 
@@ -156,7 +178,7 @@ def _pack(kind: int, shard: np.ndarray, c: Contexts, content: list[bytes] | None
     own, start = np.unique(shard[order], return_index=True)
     at = pa.array(np.r_[start, len(order)], pa.int32())
     c = c.take(order)
-    lists = [pa.ListArray.from_arrays(at, pa.array(np.ascontiguousarray(v).view(np.int64))) for v in (c.key, c.ctx, c.doc)]
+    lists = [pa.ListArray.from_arrays(at, pa.array(np.ascontiguousarray(v).view(np.int64))) for v in (c.key, c.ctx, c.ctx2, c.doc)]
     lists += [pa.ListArray.from_arrays(at, pa.array(v.astype(np.int32))) for v in (c.begin, c.extra)]
     if content is None:
         lists.append(pa.nulls(len(own), _ARROW.field("content").type))
@@ -169,8 +191,8 @@ def _unpack(t: pa.Table) -> Contexts:
     def flat(name, kind):
         return t.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False)
 
-    key, ctx, doc = (flat(n, np.int64) for n in ("key", "ctx", "doc"))
-    return Contexts(key.view(np.uint64), ctx.view(np.uint64), doc, flat("begin", np.int64), flat("extra", np.int64))
+    key, ctx, ctx2, doc = (flat(n, np.int64) for n in ("key", "ctx", "ctx2", "doc"))
+    return Contexts(key.view(np.uint64), ctx.view(np.uint64), ctx2.view(np.uint64), doc, flat("begin", np.int64), flat("extra", np.int64))
 
 
 def _united(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Contexts:
@@ -184,7 +206,7 @@ def _united(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Contexts:
         head = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (begin[1:] > reach[:-1])])
         doc, begin, end = doc[head], begin[head], reach[np.r_[head[1:] - 1, len(reach) - 1]]
     none = np.zeros(len(doc), np.uint64)
-    return Contexts(none, none, doc, begin, end - begin)
+    return Contexts(none, none, none, doc, begin, end - begin)
 
 
 def _of_doc(doc: np.ndarray, shards: int) -> np.ndarray:
@@ -277,11 +299,12 @@ def remove_repeats(docs: DataFrame, unit: Unit, judge: Judge, finish: Callable,
             return made[0]
         got: list[Contexts] = []
         content: list[bytes] = []
+        crowded: list[np.ndarray] = []
         taken = {k: np.zeros(len(c.key), bool) for k, c in sides}
         for part in shelf(shelves):
             data, at = texts(part.column(text))
             symbols, first, start, end = unit.symbols(data, at)
-            runs = Runs(symbols)
+            runs, others = (Runs(v) for v in symbols)
             ids = part.column(doc_id).to_numpy(zero_copy_only=False).astype(np.int64)
             raw = data.tobytes()
             for k, c in sides:
@@ -299,17 +322,18 @@ def remove_repeats(docs: DataFrame, unit: Unit, judge: Judge, finish: Callable,
                 if k == 3 and len(h.key):
                     number = h.extra + 1
                     w = ragged(h.begin + base, number)
-                    h = Contexts(runs.hash(w, w + unit.window), np.zeros(len(w), np.uint64), np.repeat(h.doc, number), w - np.repeat(base, number), np.zeros(len(w), np.int64))
+                    h = windows_of(unit, (runs, others), w, np.repeat(h.doc, number), w - np.repeat(base, number))
                     base = np.repeat(base, number)
                 if len(h.key):
                     i = start[h.begin + base]
                     j = end[h.begin + base + h.extra + unit.window - 1]
                     content += [raw[x:y] for x, y in zip(i.tolist(), j.tolist())]
                     got.append(h)
+                    crowded.append(np.full(len(h.key), k == 3))
         if not got:
             return made[0]
         c = Contexts.join(got)
-        single = np.flatnonzero((c.ctx == 0) & (c.extra == 0))  # windows of crowded grams: again only the first of equals
+        single = np.flatnonzero(np.concatenate(crowded))  # windows of crowded grams: again only the first of equals
         if len(single):
             heads, _, rest = settle(c.take(single))
             r = c.take(single[rest])
@@ -353,7 +377,7 @@ def remove_repeats(docs: DataFrame, unit: Unit, judge: Judge, finish: Callable,
         return pa.Table.from_batches([_pack(1, _of_doc(spans.doc, shards), spans)])
 
     def close(shelves: pa.Table, found: pa.Table) -> pa.Table:
-        c = _unpack(found) if found.num_rows else Contexts(*(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64)))
+        c = _unpack(found) if found.num_rows else Contexts.none()
         spans = _united(c.doc, c.begin, c.begin + c.extra)
         made = []
         for part in shelf(shelves):
@@ -363,7 +387,7 @@ def remove_repeats(docs: DataFrame, unit: Unit, judge: Judge, finish: Callable,
 
     def _finished(part: pa.RecordBatch, spans: Contexts) -> pa.RecordBatch:
         data, at = texts(part.column(text))
-        _, first, start, end = unit.symbols(data, at)
+        first, start, end = unit.places(data, at)
         ids = part.column(doc_id).to_numpy(zero_copy_only=False)
         ids = np.where(np.isnan(ids), -1, ids).astype(np.int64) if ids.dtype.kind == "f" else ids.astype(np.int64)
         left, right = np.searchsorted(spans.doc, ids), np.searchsorted(spans.doc, ids, side="right")

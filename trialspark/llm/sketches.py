@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
-from trialspark.llm.common import BYTE_SYMBOLS, Runs, lower_ascii, mix, ragged, texts, word_spans
+from trialspark.llm.common import Runs, coded_words, lower_ascii, mix, ragged, texts, word_names, word_spans
 
 #: Bands and rows of a band. A pair of similarity 0.8 shares no bucket with probability (1 - 0.8^6)^48 = 5e-7,
 #: one of similarity 0.2 shares one with 0.003.
@@ -23,7 +26,7 @@ def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     data, at = texts(column)
     data = lower_ascii(data)
     start, end, first = word_spans(data, at)
-    runs = Runs(Runs(BYTE_SYMBOLS[data]).hash(start, end))
+    runs = Runs(word_names(data, start, end)[:, 0])
     count = np.diff(first)
     number = np.where(count > 0, np.maximum(count - words + 1, 1), 0)
     begin = ragged(first[:-1], number)
@@ -35,11 +38,33 @@ def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return value[new], np.searchsorted(text[new], np.arange(len(number) + 1))
 
 
+def exact_sets(column: pa.Array | pa.ChunkedArray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """As `shingle_sets`, but shingles are numbered by their words themselves: numbers agree if and only if the words do.
+    The numbers hold for this column alone."""
+    data, at = texts(column)
+    data = lower_ascii(data)
+    start, end, first = word_spans(data, at)
+    word = coded_words(data, start, end).indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    count = np.diff(first)
+    number = np.where(count > 0, np.maximum(count - words + 1, 1), 0)
+    begin = ragged(first[:-1], number)
+    text = np.repeat(np.arange(len(number)), number)
+    stop = first[1:][text]
+    shingle = word[begin]
+    wide = np.int64(word.max(initial=0) + 1)
+    for k in range(1, words):  # 0 stands for no further word
+        more = np.where(begin + k < stop, word[np.minimum(begin + k, max(len(word) - 1, 0))], 0)
+        shingle = pd.factorize(shingle * wide + more)[0]
+    value = np.unique(text << 40 | shingle)
+    return value & ((1 << 40) - 1), np.searchsorted(value >> 40, np.arange(len(number) + 1))
+
+
 def set_names(value: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit sums that name each set."""
-    with np.errstate(over="ignore"):
-        sums = [np.r_[np.uint64(0), np.cumsum(mix(value ^ np.uint64(salt)), dtype=np.uint64)] for salt in (0x51ED270B, 0x2545F491)]
-        return tuple((s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums)
+    """Two halves of a cryptographic hash of each set's sorted values."""
+    raw = memoryview(np.ascontiguousarray(value)).cast("B")
+    names = b"".join(hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist()))
+    pair = np.frombuffer(names, np.int64).reshape(-1, 2)
+    return pair[:, 0].copy(), pair[:, 1].copy()
 
 
 def sketch(value: np.ndarray, at: np.ndarray) -> np.ndarray:
