@@ -14,7 +14,7 @@ logistic curve fitted on the same documents, the document's score.
 
 The model is a few hundred kilobytes at most (KNOWN_WORDS, MOST_UNITS); nothing that grows with the corpus is
 collected. Rows: null and empty texts score as texts without any toxic word. Labels without an id or value are
-ignored; of several for one id the larger counts. Without labelled rows of both kinds all scores are 0. Result columns
+ignored; of several for one id the larger counts, and of several texts of a labelled id the least is fitted. Without labelled rows of both kinds all scores are 0. Result columns
 replace input columns of the same name; others are passed through.
 """
 
@@ -138,27 +138,27 @@ def _found(table_: np.ndarray, values: np.ndarray) -> np.ndarray:
 def segments(places: np.ndarray, weights: np.ndarray, other: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (begin, end, score) of a sequence that scores `other` (negative) but at `places`.
 
-    Each place opens a segment, remembered with the running sum before and behind it. A new one is joined with the
-    nearest earlier one that begins lower, as long as that one's end is no higher than its own: one pass, and every
-    segment is joined once.
+    Each place opens a segment, remembered with the running sum before and behind it and with the nearest earlier one
+    that begins lower. A new one is joined with the nearest that begins lower than itself, as long as that one's end is
+    no higher than its own. The search follows those pointers, past all that begin no lower: linear time.
     """
-    held: list[tuple[int, int, float, float]] = []
+    held: list[tuple[int, int, float, float, int]] = []
     total, last = 0.0, 0
     for at, weight in zip(places.tolist(), weights.tolist()):
         low = total + (at - last) * other
-        total = low + weight
+        total = high = low + weight
         begin, last = at, at + 1
-        low_, high = low, total
+        k = len(held) - 1
         while True:
-            k = len(held) - 1
-            while k >= 0 and held[k][2] >= low_:
-                k -= 1
+            while k >= 0 and held[k][2] >= low:
+                k = held[k][4]
             if k < 0 or held[k][3] >= high:
-                held.append((begin, last, low_, high))
+                held.append((begin, last, low, high, k))
                 break
-            begin, low_ = held[k][0], held[k][2]
+            begin, low, before = held[k][0], held[k][2], held[k][4]
             del held[k:]
-    return [(a, b, high - low) for a, b, low, high in held]
+            k = before
+    return [(a, b, high - low) for a, b, low, high, _ in held]
 
 
 def _log_odds(toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).where(~held_out("doc_id"))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     )
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
     rows = rows.join(F.broadcast(_unlike(rows)), "doc_id").select("text", "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +259,8 @@ def _calibrated(model: Model, rows: DataFrame) -> Model:
     hot, cool = by[True], by[False]
     share = [(r["hits"] + 0.5) / (r["n"] + 1) for r in (hot, cool)]
     model.other = min(math.log((1 - min(share[0], 0.9)) / (1 - min(share[1], 0.9))), -1e-3)
-    clean = scored.where("toxic = 0").select(F.explode("weights").alias("w")).groupBy(F.round("w", 2).alias("w")).count().limit(10_000).collect()
+    # log-odds ratios in steps of a hundredth: some thousand different ones at most
+    clean = scored.where("toxic = 0").select(F.explode("weights").alias("w")).groupBy(F.round("w", 2).alias("w")).count().collect()
     weight, number = np.array([r["w"] for r in clean] or [1.0]), np.array([r["count"] for r in clean] or [0.5], float)
     p, rest = number / (cool["n"] + 1), 1 - number.sum() / (cool["n"] + 1)
     low, high = 1e-6, 50.0
