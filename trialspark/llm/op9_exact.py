@@ -1,14 +1,17 @@
 """Exact dedup by deterministic block naming; DataFrame functions only.
 
 A text, with each run of white space made one space, is cut into blocks of a fixed number of characters. The different
-blocks are sorted and numbered: equal blocks, and only those, share a number. Pairs of neighbouring numbers are then
-sorted and numbered in the same way, level by level, until each document is one number: its identity, free of
-collisions because every number stands for content that was compared itself.
+blocks are dealt out by their content, sorted within each task and numbered there: equal blocks, and only those, share
+a number (naming needs equals side by side, not one order over all tasks, so no block is sampled to the driver). Pairs
+of neighbouring numbers are then sorted and numbered in the same way, level by level, until each document is one
+number: its identity, free of collisions because every number stands for content that was compared itself.
 
 Only texts that share a 64-bit fingerprint with another can be equal; the others are their own group and are not
-named. So what is sorted and moved is the text of possible copies. Blocks and pairs are made distinct before they are
-sorted, within each task first, so a text with any number of copies costs little; numbers reach their rows through
-joins between stored tables, whose large keys adaptive execution splits. Each level is stored in the shared folder.
+named. Rows are first marked by their fingerprint in a bitmap of FILTER_BITS, which is broadcast (4 MB at any size of
+the corpus): a row whose bit is not set is alone, and its text is never shuffled. The others are held against the
+shared fingerprints themselves. Blocks and pairs are made distinct before they are sorted, within each task first, so
+a text with any number of copies costs little; numbers reach their rows through joins between stored tables, whose
+large keys adaptive execution splits. Each level is stored in the shared folder.
 
 Rows: null counts as empty, empty texts are equal. Of equal texts the row with the smallest id stays (rows without an
 id come last; of rows that repeat an id one stays). Other columns are passed through.
@@ -23,6 +26,8 @@ from trialspark.llm.common import save, table
 
 #: Characters of a block.
 BLOCK_CHARS = 4096
+#: Bits of the bitmap of shared fingerprints; a power of two. It costs time if too small, never a result.
+FILTER_BITS = 1 << 25
 
 ORACLE = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
@@ -38,23 +43,37 @@ def one_space(text: str) -> Column:
 
 
 def _named(df: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """Rows with `name`: the number of their values in sorted order of the different ones."""
-    names = save(df.select(*columns).distinct().orderBy(*columns).select(*columns, F.monotonically_increasing_id().alias("name")), label)
+    """Rows with `name`: the number of their values among the different ones, sorted within a task."""
+    ordered = df.select(*columns).distinct().sortWithinPartitions(*columns)
+    names = save(ordered.select(*columns, F.monotonically_increasing_id().alias("name")), label)
     return df.join(names, columns)
 
 
+def _marked(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """Rows with `_maybe`: false for rows whose `_print` is surely none of the shared ones."""
+    place = F.pmod("_print", F.lit(FILTER_BITS))
+    bits = shared.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits"))
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    met = rows.withColumns({"_bucket": F.bitmap_bucket_number(place), "_bit": bit}).join(F.broadcast(bits), "_bucket", "left")
+    return met.withColumn("_maybe", F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) > 0, F.lit(False))).drop("_bucket", "_bit", "_bits")
+
+
 def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK_CHARS) -> DataFrame:
     """Input rows with `keep_id`, `group_size`, `kept` and `text_sha256` (of the text with single spaces)."""
     given = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
-    marked = (
-        docs.select(*given, one_space(text).alias("_one"))
-        .select(*given, "_one", F.xxhash64("_one").alias("_print"), F.sha2("_one", 256).alias("text_sha256"))
-    )
-    shared = save(marked.groupBy("_print").agg(F.count("*").alias("n")).where("n > 1").select("_print"), "op9-prints")
-    alone = marked.join(shared, "_print", "left_anti").select(
-        *given, F.col(doc_id).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
+    printed = docs.select(*given, one_space(text).alias("_one")).withColumn("_print", F.xxhash64("_one"))
+    shared = save(printed.groupBy("_print").agg(F.count("*").alias("n")).where("n > 1").select("_print"), "op9-prints")
+    marked = _marked(printed, shared)
+    met = save(
+        marked.where("_maybe").join(shared.withColumn("_shared", F.lit(True)), "_print", "left")
+        .select(*given, "_one", F.coalesce("_shared", F.lit(False)).alias("_shared"), F.monotonically_increasing_id().alias("_row")),
+        "op9-met",
     )
-    maybe = save(marked.join(shared, "_print", "left_semi").drop("_print").withColumn("_row", F.monotonically_increasing_id()), "op9-maybe")
+    digest = F.sha2("_one", 256).alias("text_sha256")
+    lone = marked.where("NOT _maybe").select(*given, "_one").unionByName(met.where("NOT _shared").select(*given, "_one"))
+    alone = lone.select(*given, F.col(doc_id).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), digest)
+    maybe = met.where("_shared").select(*given, "_one", "_row", digest)
 
     blocks = F.when(F.col("_one") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("_one", F.lit("(?s).{1,%d}" % block), F.lit(0)))
     cut = maybe.select("_row", F.col(doc_id).alias("_id"), blocks.alias("blocks"))
