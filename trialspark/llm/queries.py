@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import corpus_pipeline
 from trialspark.llm import (
-    op1_sentencepiece, op2_minhash, op3_toxicity, op4_substring, op5_suffix_array, op6_warc, op7_packing, op8_token_counts, op9_exact, op10_neighbours,
+    op1_sentencepiece, op2_minhash, op3_toxicity, op4_substring, op5_suffix_array, op6_warc, op7_packing, op8_token_counts, op9_exact, op10_neighbours, op11_quality,
+    op12_trie, op13_merkle,
 )
 
 CORPUS_QUERIES = {
@@ -18,10 +19,15 @@ CORPUS_QUERIES = {
     "op8_token_counts": op8_token_counts.query,
     "op9_exact": op9_exact.query,
     "op10_neighbours": op10_neighbours.query,
+    "op11_quality": op11_quality.query,
+    "op12_trie": op12_trie.query,
+    "op13_merkle": op13_merkle.query,
     "pipeline": corpus_pipeline.run,
 }
 
 CORPUS_ORACLES = {
     "op6_warc": op6_warc.ORACLE,
     "op9_exact": op9_exact.ORACLE,
+    "op12_trie": op12_trie.ORACLE,
+    "op13_merkle": op13_merkle.ORACLE,
 }
