@@ -12,6 +12,7 @@ from trialspark.operators import joins as jo
 from trialspark.operators import quantiles as qu
 from trialspark.operators import reshape as rs
 from trialspark.operators import rows as ro
+from trialspark.plans.series import median_split
 
 SLOW = settings(
     max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
@@ -206,19 +207,43 @@ def test_median_property(spark, pairs):
         assert got[g] == exact_median([float(v) for h, v in pairs if h == g])
 
 
-def test_median_survives_a_poor_sketch(spark, monkeypatch):
-    """Ranks outside the bracket are still found, in hot and in tied groups."""
-    monkeypatch.setattr(qu, "SKETCH_ACCURACY", 3)
-    monkeypatch.setattr(qu, "SPLITTERS", 5)
+@pytest.mark.parametrize("steps", [1, 1 << 16])
+def test_median_survives_poor_buckets(spark, monkeypatch, steps):
+    """Ranks are found whatever a bucket holds, in hot and in tied groups, of either sign and any size."""
+    monkeypatch.setattr(qu, "STEPS", steps)
     df = spark.range(3001).select(
         F.when(F.col("id") < 2000, "hot").otherwise("rest").alias("g"),
         F.when(F.col("id") % 3 == 0, 7.0).otherwise((F.col("id") * 7919 % 1009).cast("double")).alias("v"),
     )
+    odd = [0.0, -0.0, 5e-324, -5e-324, 1e-300, 1.7e308, -1.7e308, float("inf"), float("-inf"), 1.0, 1.0 + 2**-52, -1.0, 2.0**60, 2.0**60 + 256]
+    more = [(f"odd{k}", odd[j]) for k in range(len(odd)) for j in range(len(odd)) if j != k]
+    df = df.union(spark.createDataFrame(more, "g string, v double"))
     want = df.groupBy("g").agg(F.median("v"))
     assert rows(gr.median_of(df, "v", ["g"])) == rows(want)
     assert rows(gr.median_of(df, "v")) == rows(df.agg(F.median("v")))
 
 
+def planned(df):
+    """Numbers of exchanges and scans in the planned tree."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum("Exchange " in line for line in plan.splitlines()), sum("FileScan" in line or "Scan " in line for line in plan.splitlines())
+
+
+def test_median_split_has_a_small_plan(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(1000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7 % 101).cast("double").alias("v")).write.parquet(path)
+    df = median_split(spark.read.parquet(path), "v", ["g"])
+    exchanges, scans = planned(df)
+    assert exchanges <= 8 and scans <= 3
+    assert df.where("vocab_size IS NOT NULL").count() == 1000
+
+
+def test_no_rank_is_null(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", None)], "g string, v double")
+    for k in (0, 3):
+        assert rows(qu.group_kth(df, "v", ["g"], F.lit(k), "k")) == [("a", None), ("b", None)]
+
+
 @SLOW
 @given(st.dictionaries(st.integers(0, 9), st.lists(st.none() | st.integers(0, 5), min_size=3, max_size=3)))
 def test_long_and_wide_are_inverse(spark, table):

@@ -10,7 +10,7 @@ from trialspark.plans.queries import QUERIES
 SF = "/root/testdata/sf0.001"
 REPORTS = {
     "t_test_p", "pairwise_t_p", "anova_oneway_p", "snk_p", "anova_mixed_p",
-    "anova_mixed_five_by_two", "trend_lm_band_ci",
+    "anova_mixed_five_by_two", "trend_lm_band_ci", "trend_loess_band_ci",
 }
 
 

@@ -303,6 +303,58 @@ def test_local_smoother(spark):
         assert r["fit"] == close(r["s"] + r["x"] ** 2 * 0.5, 8)
 
 
+def band_by_hand(points, places, span):
+    """fit, se and df from the operator matrix of single rows."""
+    import numpy as np
+
+    x, y = np.array([p[0] for p in points]), np.array([p[1] for p in points])
+
+    def row(x0):
+        d = np.abs(x - x0)
+        h = np.sort(d)[max(int(len(x) * span + 1e-5), 1) - 1]
+        w = np.clip(1 - np.minimum(d / h, 1) ** 3, 0, None) ** 3
+        a = np.vander(x - x0, 3, increasing=True)
+        return (np.linalg.pinv(a * np.sqrt(w)[:, None]) * np.sqrt(w))[0]
+
+    left = np.eye(len(x)) - np.array([row(v) for v in x])
+    square = left @ left.T
+    variance = ((left @ y) ** 2).sum() / np.trace(square)
+    dof = np.trace(square) ** 2 / np.trace(square @ square)
+    return {x0: (row(x0) @ y, np.sqrt(variance * (row(x0) ** 2).sum()), dof) for x0 in places}
+
+
+def test_band_of_the_local_smoother(spark):
+    """Uneven x with ties, in rows of any order."""
+    points = [(x**1.5, (x * x * 7 % 13) / 10) for x in range(1, 14)] + [(8.0, 0.3), (8.0, 0.9), (1.0, 0.2)]
+    df = spark.createDataFrame(points[::-1], "x double, y double").repartition(3)
+    grid = [1.0, 2.5, 8.0, 20.25, 46.0]
+    got = {r["x"]: r for r in trend(df, "x", "y", method="loess", se=True, grid=grid).collect()}
+    for x0, (fit, se, dof) in band_by_hand(points, grid, 0.75).items():
+        r = got[x0]
+        assert r["fit"] == close(fit, 8) and r["se"] == close(se, 8) and r["df"] == close(dof, 8)
+        assert r["lower"] < r["fit"] < r["upper"] and r["upper"] - r["fit"] == close(r["fit"] - r["lower"], 8)
+
+
+def test_band_of_many_places(spark, monkeypatch):
+    """Traces on merged places come near those of all."""
+    from trialspark.operators import trend as module
+
+    df = spark.range(400).select((F.col("id") / 7.0).alias("x"), (F.sin(F.col("id") / 60.0) + (F.col("id") * 37 % 11) / 10.0).alias("y"), F.lit(None).cast("int").alias("s"))
+    whole = trend(df, "x", "y", by=["s"], method="loess", se=True, n_grid=9).collect()
+    monkeypatch.setattr(module, "BAND_PLACES", 50)
+    for a, b in zip(whole, trend(df, "x", "y", by=["s"], method="loess", se=True, n_grid=9).collect()):
+        assert a["s"] is None and a["fit"] == close(b["fit"], 12)
+        assert abs(a["se"] / b["se"] - 1) < 0.02 and abs(a["df"] / b["df"] - 1) < 0.02
+
+
+def test_local_smoother_moves_little(spark, tmp_path):
+    """At most six exchanges, no row for each pair of point and place."""
+    path = str(tmp_path / "points")
+    spark.range(100).select((F.col("id") % 2).alias("s"), (F.col("id") * 1.0).alias("x"), (F.col("id") * 1.0).alias("y")).write.parquet(path)
+    plan = trend(spark.read.parquet(path), "x", "y", by=["s"], method="loess")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") <= 6 and "Generate" not in plan
+
+
 def test_result_does_not_depend_on_row_order_or_partitions(design):
     want = effects(anova(design, "y", "subject", "block", "grp"))
     shuffled = design.orderBy(F.desc("y")).repartition(5, "block")

@@ -1,11 +1,13 @@
-"""Exact order statistics of groups of any size, in one lazy plan.
+"""Exact order statistics of groups of any size, in one small lazy plan that reads its input twice.
 
-Spark's exact percentile keeps every distinct value of a group in one buffer. Here values are first reduced to their
-distinct ones with weights. Splitters from a bounded sketch cut a group into buckets; the buckets' weights, summed up
-in order, tell which of them holds a wanted rank. That is done twice, the second time inside the bucket, and only the
-distinct values of the last bucket are ordered. The counts are exact, so a poor sketch costs time, not accuracy.
+Spark's exact percentile keeps every distinct value of a group in one buffer. Here a value falls into a bucket that depends
+on nothing but itself: its sign and the logarithm of its size in steps of 1 / STEPS, so buckets are in the order of
+values. First reading: the exact weight of each bucket of a group, and by running sums the bucket that holds a wanted
+rank. Second reading: only the distinct values of that bucket are ordered.
 
-Windows run over buckets (SPLITTERS + 1 a group) and over the last bucket, never over a group's values.
+The bound on buckets does not depend on the number of rows: STEPS * 0.7 for each doubling of size that values span. A
+bucket that holds many distinct values (values that differ only behind their fifth digit) costs time, not accuracy.
+Windows run over the buckets of a group and over the values of the last bucket, never over a group's values.
 """
 
 from __future__ import annotations
@@ -18,15 +20,17 @@ from pyspark.sql import functions as F
 from trialspark.functions.scalars import as_column
 from trialspark.operators.joins import join_group
 
-SPLITTERS = 63
-SKETCH_ACCURACY = 1_000
+#: Buckets of a unit of the natural logarithm.
+STEPS = 1 << 16
+#: Above minus the logarithm of the least double, and above the logarithm of the largest.
+_DEEP, _HIGH = 746.0, 711.0
 
 
 def group_median(df: DataFrame, col: str, by: Sequence[str], name: str) -> DataFrame:
     """Exact median per group; the two middle values are averaged."""
     n = F.col("__n")
     ranks = [F.floor((n + 1) / 2), F.floor((n + 2) / 2)]
-    return _at_ranks(_values(df, col, by, F.lit(1)), by, ranks, name)
+    return _at_ranks(_rows(df, col, by, F.lit(1)), by, ranks, name)
 
 
 def group_kth(
@@ -37,82 +41,49 @@ def group_kth(
     name: str,
     weight: Column | None = None,
 ) -> DataFrame:
-    """Exact k-th least value per group, `rank` a Column of the row count `__n`.
+    """Exact k-th least value per group, `rank` a Column of the row count `__n`; NULL where there is no such rank.
 
     With `weight` each row stands for that many equal rows.
     """
-    return _at_ranks(_values(df, col, by, F.lit(1) if weight is None else weight), by, [rank], name)
+    return _at_ranks(_rows(df, col, by, F.lit(1) if weight is None else weight), by, [rank], name)
 
 
-def _values(df: DataFrame, col: str, by: Sequence[str], weight: Column) -> DataFrame:
-    """Distinct values per group with their weight; a group without values keeps a NULL."""
-    return (
-        df.select(*[as_column(b) for b in by], as_column(col).alias("__v"), weight.cast("bigint").alias("__w"))
-        .groupBy(*[as_column(b) for b in by], "__v")
-        .agg(F.sum("__w").alias("__w"))
-    )
-
-
-def _bucket(splitters: str) -> Column:
-    return F.size(F.filter(splitters, lambda s: s < F.col("__v")))
+def _rows(df: DataFrame, col: str, by: Sequence[str], weight: Column) -> DataFrame:
+    return df.select(*[as_column(b) for b in by], as_column(col).cast("double").alias("__v"), weight.cast("bigint").alias("__w"))
 
 
-def _splitters(values: DataFrame, keys: Sequence[Column]) -> DataFrame:
-    shares = [k / (SPLITTERS + 1) for k in range(1, SPLITTERS + 1)]
-    return values.groupBy(*keys).agg(F.percentile_approx("__v", shares, SKETCH_ACCURACY).alias("__splitters"))
+def _bucket(v: Column) -> Column:
+    """A whole number that never falls as v rises (the logarithm is monotone in floating point too)."""
+    size = F.floor((F.least(F.ln(F.abs(v)), F.lit(_HIGH)) + _DEEP) * STEPS) + 1
+    return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size)
 
 
-def _running(by: Sequence[Column], order: str) -> Column:
-    """Weight of a group's rows before this one."""
-    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum("__w").over(before), F.lit(0))
-
-
-def _at_ranks(values: DataFrame, by: Sequence[str], ranks: Sequence[Column], name: str) -> DataFrame:
-    if not by:  # one group, under a computed key
-        whole = values.withColumn("__all", F.pmod(F.xxhash64("__v"), F.lit(1)))
-        return _at_ranks(whole, ["__all"], ranks, name).agg(F.max(name).alias(name))
+def _at_ranks(rows: DataFrame, by: Sequence[str], ranks: Sequence[Column], name: str) -> DataFrame:
     keys = [as_column(b) for b in by]
-    known = values.where(F.col("__v").isNotNull())
-    totals = values.groupBy(*keys).agg(F.sum(F.when(F.col("__v").isNotNull(), F.col("__w")).otherwise(0)).alias("__n"))
-    wanted = totals.select(
-        *keys, F.posexplode(F.array(*[r.cast("bigint") for r in ranks])).alias("__which", "__rank")
-    )
-
-    # first cut: buckets of the group, once for all ranks
-    cut = join_group(known, _splitters(known, keys), by).withColumn("__bucket", _bucket("__splitters"))
-    place = [*by, "__which"]
-    held = _holding(cut.groupBy(*keys, "__bucket").agg(F.sum("__w").alias("__w")), by, wanted, keys, ["__bucket"])
-    # second cut: inside the bucket of each rank
-    inside = join_group(cut.select(*keys, "__v", "__w", "__bucket"), held, [*by, "__bucket"]).drop("__bucket")
-    split = _splitters(inside, [as_column(p) for p in place])
-    fine = join_group(inside, split, place).withColumn("__bucket", _bucket("__splitters"))
-    buckets = fine.groupBy(*[as_column(p) for p in place], "__bucket").agg(F.sum("__w").alias("__w"), F.max("__rank").alias("__rank"))
-    start = _running([as_column(p) for p in place], "__bucket")
-    chosen = (
-        buckets.withColumn("__start", start)
-        .where((F.col("__start") < F.col("__rank")) & (F.col("__rank") <= F.col("__start") + F.col("__w")))
-        .select(*[as_column(p) for p in place], "__bucket", (F.col("__rank") - F.col("__start")).alias("__left"))
-    )
-    last = join_group(fine.select(*[as_column(p) for p in place], "__v", "__w", "__bucket"), chosen, [*place, "__bucket"])
-    before = _running([as_column(p) for p in place], "__v")
-    found = (
-        last.withColumn("__before", before)
-        .where((F.col("__before") < F.col("__left")) & (F.col("__left") <= F.col("__before") + F.col("__w")))
-        .groupBy(*keys)
-        .agg(*[F.max(F.when(F.col("__which") == k, F.col("__v"))).alias(f"__a{k}") for k in range(len(ranks))])
-    )
-    result = F.col("__a0") if len(ranks) == 1 else (F.col("__a0").cast("double") + F.col("__a1")) / 2
-    return join_group(totals.drop("__n"), found, by, "left").select(*keys, result.cast("double").alias(name))
-
-
-def _holding(
-    buckets: DataFrame, by: Sequence[str], wanted: DataFrame, keys: Sequence[Column], carry: Sequence[str]
-) -> DataFrame:
-    """The bucket of each wanted rank, and what is left of the rank inside it."""
-    counted = buckets.withColumn("__start", _running(keys, "__bucket"))
-    return (
-        join_group(counted, wanted, by)
-        .where((F.col("__start") < F.col("__rank")) & (F.col("__rank") <= F.col("__start") + F.col("__w")))
-        .select(*keys, *carry, "__which", (F.col("__rank") - F.col("__start")).alias("__rank"))
+    rows = rows.withColumn("__bucket", _bucket(F.col("__v")))
+    w, start = F.col("__w"), F.col("__start")
+    known = F.when(F.col("__bucket").isNotNull(), w).otherwise(0)
+    ordered = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("__bucket"))
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    buckets = (
+        rows.groupBy(*keys, "__bucket")
+        .agg(F.sum("__w").alias("__w"))
+        .select(*keys, "__bucket", known.alias("__w"), F.coalesce(F.sum(known).over(before), F.lit(0)).alias("__start"), F.sum(known).over(whole).alias("__n"))
+        .select("*", *[r.cast("bigint").alias(f"__r{k}") for k, r in enumerate(ranks)])
     )
+    wanted = F.col("__n") == 0  # a group without values, or without that rank, keeps one bucket and gets NULL
+    for k in range(len(ranks)):
+        r = F.col(f"__r{k}")
+        wanted = wanted | ((start < r) & (r <= start + w)) | (((r < 1) | (r > F.col("__n"))) & (start == 0))
+    chosen = buckets.where(wanted).drop("__w", "__n")
+    values = rows.groupBy(*keys, "__bucket", "__v").agg(F.sum("__w").alias("__w"))
+    last = join_group(values, chosen, [*by, "__bucket"])
+    inside = Window.partitionBy(*keys, "__bucket").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = last.withColumn("__before", start + F.coalesce(F.sum("__w").over(inside), F.lit(0)))
+    found = placed.groupBy(*keys).agg(*[
+        F.max(F.when((F.col("__before") < F.col(f"__r{k}")) & (F.col(f"__r{k}") <= F.col("__before") + w), F.col("__v"))).alias(f"__a{k}")
+        for k in range(len(ranks))
+    ])
+    result = F.col("__a0") if len(ranks) == 1 else (F.col("__a0") + F.col("__a1")) / 2
+    return found.select(*keys, result.alias(name))

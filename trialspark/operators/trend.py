@@ -1,17 +1,24 @@
-"""Trend line, its confidence band, and a local smoother, per series."""
+"""Trend line and local smoother, each with its confidence band, per series."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trialspark.functions.scalars import as_column
 from trialspark.functions.tails import t_q
 from trialspark.operators.groups import clean
 from trialspark.operators.joins import join_group
-from trialspark.operators.quantiles import group_kth
+from trialspark.operators.ttests import sum_squares
+
+#: Places of a series' range that its x are told apart by, and places at which the smoother's traces are taken.
+RESOLUTION, BAND_PLACES = 1 << 20, 512
 
 
 def trend_lines(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
@@ -65,9 +72,7 @@ def trend(
 ) -> DataFrame:
     """Drawn points of a trend per series: a line, or a local smoother."""
     if method == "loess":
-        if se:
-            raise ValueError("se needs method='lm'")
-        return _local_quadratic(df, x, y, by, span, grid, n_grid)
+        return _local_quadratic(df, x, y, by, span, grid, n_grid, se, conf)
     if method != "lm":
         raise ValueError(f"method={method!r}")
     keys = [as_column(b) for b in by]
@@ -99,65 +104,126 @@ def _local_quadratic(
     span: float,
     grid: Sequence[float] | None,
     n_grid: int,
+    se: bool,
+    conf: float,
 ) -> DataFrame:
-    """Local quadratic fit with tricube weights over the nearest share of points.
+    """Local quadratic fit with tricube weights over the nearest share of points, and its confidence band.
+
+    Rows are first merged by x, then to RESOLUTION places of a series' range, so what one task gets of a series is
+    bounded; x that differ by more than that share of the range are left as they are. A place of the drawn line finds
+    its width by a search to both sides of the sorted x.
 
-    Points are first merged by x, so what meets the fixed number of grid places of a series is its distinct x.
+    The band is that of a linear smoother: fit = sum of l(b) y(b), se = s * |l|, s from the residuals at the data over
+    trace (I - L)(I - L)', with degrees of freedom from that trace and the trace of its square, for all distinct x of a
+    series up to BAND_PLACES; neighbours are merged to as many for these traces where there are more.
     """
     if not 0 < span <= 1:
         raise ValueError(f"span={span!r}")
     keys = [as_column(b) for b in by]
     xs, ys = clean(df, x).cast("double"), clean(df, y).cast("double")
+    n, mean = F.col("__n"), F.col("__y")
     merged = (
         df.select(*keys, xs.alias("__x"), ys.alias("__y"))
-        .where(F.col("__x").isNotNull() & F.col("__y").isNotNull())
+        .where(F.col("__x").isNotNull() & mean.isNotNull())
         .groupBy(*keys, "__x")
-        .agg(F.count(F.lit(1)).alias("__n"), F.avg("__y").alias("__y"))
-    )
-    ranges = merged.groupBy(*keys).agg(F.min("__x").alias("x_min"), F.max("__x").alias("x_max"))
-    near = join_group(merged, ranges, by).select(
-        *keys, "__x", "__n", "__y", _grid(grid, n_grid).alias("x")
-    )
-    near = near.withColumn("__d", F.abs(F.col("__x") - F.col("x")))
-    place = [*by, "x"]
-    width = group_kth(
-        near,
-        "__d",
-        place,
-        rank=F.greatest(F.floor(F.col("__n") * span + 1e-5), F.lit(1)),
-        name="__h",
-        weight=F.col("__n"),
-    )
-    u = F.try_divide(F.col("__x") - F.col("x"), F.col("__h"))
-    ratio = F.least(F.try_divide(F.col("__d"), F.col("__h")), F.lit(1.0))
-    tricube = F.pow(1 - F.pow(ratio, F.lit(3)), F.lit(3))
-    weight = F.when(F.col("__h") > 0, tricube).otherwise((F.col("__d") == 0).cast("double"))
-    local = (
-        join_group(near, width, place)
-        .withColumn("__u", F.coalesce(u, F.lit(0.0)))
-        .withColumn("__w", weight * F.col("__n"))
-        .where(F.col("__w") > 0)
+        .agg(F.count(F.lit(1)).alias("__n"), F.avg("__y").alias("__y"), sum_squares(mean).alias("__ss"))
     )
-    power = [F.lit(1.0), F.col("__u")]
-    while len(power) < 5:
-        power.append(power[-1] * F.col("__u"))
-    w = F.col("__w")
-    sums = local.groupBy(*keys, "x").agg(
-        F.count(F.lit(1)).alias("__points"),
-        *[F.sum(w * power[k]).alias(f"s{k}") for k in range(5)],
-        *[F.sum(w * power[k] * F.col("__y")).alias(f"t{k}") for k in range(3)],
-    )
-    s = [F.col(f"s{k}") for k in range(5)]
-    t = [F.col(f"t{k}") for k in range(3)]
-    minors = (s[2] * s[4] - s[3] * s[3], s[1] * s[4] - s[2] * s[3], s[1] * s[3] - s[2] * s[2])
-    quadratic = F.try_divide(
-        t[0] * minors[0] - t[1] * minors[1] + t[2] * minors[2],
-        s[0] * minors[0] - s[1] * minors[1] + s[2] * minors[2],
-    )
-    line = F.try_divide(t[0] * s[2] - t[1] * s[1], s[0] * s[2] - s[1] * s[1])
-    fit = (
-        F.when(F.col("__points") >= 3, quadratic)
-        .when(F.col("__points") == 2, line)
-        .otherwise(t[0] / s[0])
+    ranges = merged.groupBy(*keys).agg(F.min("__x").alias("__low"), F.max("__x").alias("__high"))
+    step = F.floor(F.coalesce(F.try_divide(F.col("__x") - F.col("__low"), F.col("__high") - F.col("__low")), F.lit(0.0)) * RESOLUTION)
+    one = F.count(F.lit(1)) == 1
+    total = F.sum(n)
+    apart = F.greatest(F.sum(n * mean * mean) - F.sum(n * mean) * F.sum(n * mean) / total, F.lit(0.0))
+    points = (
+        join_group(merged, ranges, by)
+        .groupBy(*keys, step.alias("__step"))
+        .agg(
+            F.when(one, F.max("__x")).otherwise(F.sum(n * F.col("__x")) / total).alias("__x"),
+            F.when(one, F.max("__y")).otherwise(F.sum(n * mean) / total).alias("__y"),
+            F.when(one, F.max("__ss")).otherwise(F.sum("__ss") + apart).alias("__ss"),
+            total.alias("__n"),
+        )
+        .drop("__step")
     )
-    return sums.select(*keys, "x", fit.alias("fit"))
+
+    def draw(series: pa.Table) -> pa.Table:
+        series = series.sort_by("__x")
+        xs_, ys_, ss, ns = (series.column(c).to_numpy().astype(float) for c in ("__x", "__y", "__ss", "__n"))
+        places = np.array(grid, float) if grid is not None else xs_[0] + (xs_[-1] - xs_[0]) * np.arange(n_grid) / (n_grid - 1)
+        rows = [_operator_row(xs_, ns, x0, span) for x0 in places]
+        out = {"x": places, "fit": [float(row @ ys_) for row in rows]}
+        if se:
+            variance, dof = _residual_variance(xs_, ys_, ss, ns, span)
+            out |= {"se": [math.sqrt(variance * float(row @ (row / ns))) for row in rows], "df": np.full(len(places), dof)}
+        first = series.take(pa.array(np.zeros(len(places), np.int64)))
+        columns = {b: first.column(b) for b in by} | {k: pa.array(np.asarray(v, float), from_pandas=True) for k, v in out.items()}
+        return pa.table(columns)
+
+    added = ["x", "fit", "se", "df"] if se else ["x", "fit"]
+    schema = T.StructType([points.schema[b] for b in by] + [T.StructField(c, T.DoubleType()) for c in added])
+    drawn = points.groupBy(*keys).applyInArrow(draw, schema)
+    if not se:
+        return drawn
+    half = F.col("se") * t_q(F.lit(1 - (1 - conf) / 2), F.col("df"))
+    return drawn.select("*", (F.col("fit") - half).alias("lower"), (F.col("fit") + half).alias("upper"))
+
+
+def _width(x: np.ndarray, n: np.ndarray, x0: float, wanted: float) -> float:
+    """Distance within which `wanted` points lie; x is sorted, n are the points at each."""
+    cut = int(np.searchsorted(x, x0))
+    sides = (x0 - x[:cut][::-1], x[cut:] - x0)
+    upto = tuple(np.r_[0.0, np.cumsum(m)] for m in (n[:cut][::-1], n[cut:]))
+    best = math.inf
+    for own in sides:
+        low, high = 0, len(own)
+        while low < high:
+            middle = (low + high) // 2
+            if sum(u[np.searchsorted(d, own[middle], side="right")] for d, u in zip(sides, upto)) >= wanted:
+                high = middle
+            else:
+                low = middle + 1
+        if low < len(own):
+            best = min(best, float(own[low]))
+    return best
+
+
+def _operator_row(x: np.ndarray, n: np.ndarray, x0: float, span: float) -> np.ndarray:
+    """What each mean value counts in the fit at x0."""
+    h = _width(x, n, x0, max(math.floor(n.sum() * span + 1e-5), 1))
+    row = np.zeros(len(x))
+    if h > 0:
+        near = np.flatnonzero(np.abs(x - x0) < h)
+        u = (x[near] - x0) / h
+        w = n[near] * (1 - np.abs(u) ** 3) ** 3
+    else:
+        near = np.flatnonzero(x == x0)
+        u, w = np.zeros(len(near)), n[near]
+    s = [float((w * u**k).sum()) for k in range(5)]
+    if len(near) >= 3:
+        minors = (s[2] * s[4] - s[3] * s[3], s[1] * s[4] - s[2] * s[3], s[1] * s[3] - s[2] * s[2])
+        share, whole = minors[0] - minors[1] * u + minors[2] * u * u, s[0] * minors[0] - s[1] * minors[1] + s[2] * minors[2]
+    elif len(near) == 2:
+        share, whole = s[2] - s[1] * u, s[0] * s[2] - s[1] * s[1]
+    else:
+        share, whole = np.ones(len(near)), s[0]
+    row[near] = w * share / whole if whole else math.nan
+    return row
+
+
+def _residual_variance(x: np.ndarray, y: np.ndarray, ss: np.ndarray, n: np.ndarray, span: float) -> tuple[float, float]:
+    """Residual variance and its degrees of freedom, from the fit at the data."""
+    at, count = x, n
+    if len(x) > BAND_PLACES:
+        part = np.minimum((np.cumsum(n) - n) * BAND_PLACES // n.sum(), BAND_PLACES - 1).astype(int)
+        count = np.bincount(part, n, BAND_PLACES)
+        at, count = (np.bincount(part, n * x, BAND_PLACES)[count > 0] / count[count > 0]), count[count > 0]
+    rows = np.array([_operator_row(at, count, x0, span) for x0 in at])
+    fit = rows @ y if at is x else np.interp(x, at, [float(_operator_row(x, n, x0, span) @ y) for x0 in at])
+    rest = float((ss + n * (y - fit) ** 2).sum())
+    shared = rows / count
+    both = shared + shared.T - shared @ rows.T  # of two rows at these places, but for a row with itself
+    own = np.diag(both)
+    first = float((count * (1 - own)).sum())
+    second = float((np.outer(count, count) * both * both).sum() + (count * (1 - 2 * own)).sum())
+    if not first > 1e-9 or not second > 0:
+        return math.nan, math.nan
+    return rest / first, first * first / second

@@ -363,6 +363,45 @@ SELECT language, trial_type, x,
            / (s0*(s2*s4 - s3*s3) - s1*(s1*s4 - s3*s2) + s2*(s1*s3 - s2*s2)), 6) AS fit
 FROM sums"""
 
+#: The operator row of each place over single rows; traces of (I - L)(I - L)' and its square from it.
+LOESS_BAND = f"""WITH {SERIES},
+pts AS (SELECT language, trial_type, row_number() OVER (ORDER BY language, trial_type, trial_number) AS id,
+        CAST(trial_number AS DOUBLE) AS spot, proportion AS y FROM series WHERE proportion IS NOT NULL),
+places AS (SELECT DISTINCT language, trial_type, CAST(unnest(range(1, 16)) AS DOUBLE) AS x FROM pts
+           UNION SELECT language, trial_type, spot FROM pts),
+near AS (
+  SELECT language, trial_type, x, id, y, spot - x AS gap, abs(spot - x) AS d,
+         row_number() OVER (PARTITION BY language, trial_type, x ORDER BY abs(spot - x)) AS r,
+         count(*) OVER (PARTITION BY language, trial_type, x) AS n
+  FROM pts JOIN places USING (language, trial_type)),
+width AS (SELECT language, trial_type, x, d AS h FROM near
+          WHERE r = greatest(floor(n * 0.75 + 0.00001), 1)),
+local AS (
+  SELECT language, trial_type, x, id, y, gap / h AS u, pow(1 - pow(d / h, 3), 3) AS w
+  FROM near JOIN width USING (language, trial_type, x) WHERE d < h),
+sums AS (
+  SELECT language, trial_type, x, sum(w) AS s0, sum(w*u) AS s1, sum(w*u*u) AS s2,
+         sum(w*u*u*u) AS s3, sum(w*u*u*u*u) AS s4 FROM local GROUP BY ALL),
+op AS (
+  SELECT language, trial_type, x, id, y,
+         w * (s2*s4 - s3*s3 - (s1*s4 - s2*s3) * u + (s1*s3 - s2*s2) * u * u)
+           / (s0*(s2*s4 - s3*s3) - s1*(s1*s4 - s2*s3) + s2*(s1*s3 - s2*s2)) AS l
+  FROM local JOIN sums USING (language, trial_type, x)),
+fitted AS (SELECT language, trial_type, x, sum(l * y) AS fit, sum(l * l) AS norm FROM op GROUP BY ALL),
+rows_ AS (SELECT p.language, p.trial_type, p.id AS i, q.id AS j, coalesce(o.l, 0) AS l
+          FROM pts p JOIN pts q USING (language, trial_type)
+          LEFT JOIN op o ON o.language = p.language AND o.trial_type = p.trial_type AND o.x = p.spot AND o.id = q.id),
+cross_ AS (SELECT a.language, a.trial_type, a.i, b.i AS j, sum(a.l * b.l) AS ll
+           FROM rows_ a JOIN rows_ b ON a.language = b.language AND a.trial_type = b.trial_type AND a.j = b.j GROUP BY ALL),
+resid AS (SELECT c.language, c.trial_type, c.i, c.j, CASE WHEN c.i = c.j THEN 1 ELSE 0 END - a.l - b.l + c.ll AS v
+          FROM cross_ c JOIN rows_ a ON a.i = c.i AND a.j = c.j JOIN rows_ b ON b.i = c.j AND b.j = c.i),
+traces AS (SELECT language, trial_type, sum(v) FILTER (WHERE i = j) AS one, sum(v * v) AS two FROM resid GROUP BY ALL),
+rest AS (SELECT p.language, p.trial_type, sum((y - fit) * (y - fit)) AS rss FROM pts p
+         JOIN fitted f ON f.language = p.language AND f.trial_type = p.trial_type AND f.x = p.spot GROUP BY ALL)
+SELECT language, trial_type, x, round(fit, 6) AS fit, round(sqrt(rss / one * norm), 6) AS se, round(one * one / two, 6) AS df
+FROM fitted JOIN traces USING (language, trial_type) JOIN rest USING (language, trial_type)
+WHERE x IN (SELECT CAST(unnest(range(1, 16)) AS DOUBLE))"""
+
 ORACLES: dict[str, str] = {
     "src_scan_null_token": """
 SELECT o_orderkey, o_custkey, nullif(o_orderstatus, 'P') AS o_orderstatus, o_totalprice,
@@ -644,4 +683,5 @@ SELECT language, trial_type, round(x, 6) AS x, round(intercept + slope * x, 6) A
        round(sqrt((syy - slope * sxy) / (n - 2) * (1.0 / n + (x - xm) * (x - xm) / sxx)), 6) AS se,
        CAST(n - 2 AS DOUBLE) AS df FROM drawn""",
     "trend_loess": LOESS,
+    "trend_loess_band": LOESS_BAND,
 }

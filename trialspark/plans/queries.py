@@ -897,14 +897,29 @@ def trend_lm_band_ci(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query
-def trend_loess(spark: SparkSession, sf: str) -> DataFrame:
-    df = tr.trend(
+def _loess(spark: SparkSession, sf: str, se: bool) -> DataFrame:
+    return tr.trend(
         _series(spark, sf),
         "trial_number",
         "proportion",
         ["language", "trial_type"],
+        se=se,
         method="loess",
         grid=[float(n) for n in range(1, vw.TRIALS + 1)],
     )
-    return rounded(df, "fit")
+
+
+@query
+def trend_loess(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_loess(spark, sf, False), "fit")
+
+
+@query
+def trend_loess_band(spark: SparkSession, sf: str) -> DataFrame:
+    df = _loess(spark, sf, True).select("language", "trial_type", "x", "fit", "se", "df")
+    return rounded(df, "fit", "se", "df")
+
+
+@query
+def trend_loess_band_ci(spark: SparkSession, sf: str) -> DataFrame:
+    return _loess(spark, sf, True)
