@@ -244,6 +244,35 @@ def test_no_rank_is_null(spark):
         assert rows(qu.group_kth(df, "v", ["g"], F.lit(k), "k")) == [("a", None), ("b", None)]
 
 
+def test_many_levels_are_numbered_over_tasks(spark):
+    df = spark.range(200_000).select(F.format_string("l%06d", (F.col("id") * 7919) % 200_000).alias("f"), "id").union(spark.createDataFrame([(None, -1)], "f string, id long"))
+    for reverse in (False, True):
+        out = co.level_order(df, "f", reverse=reverse)
+        assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+        number = F.substring("f", 2, 6).cast("int")
+        want = F.when(F.col("f").isNotNull(), 200_000 - number if reverse else number + 1)
+        assert out.where(~F.col("f_level").eqNullSafe(want)).count() == 0 and out.count() == 200_001
+
+
+def test_figures_of_one_pass(spark, tmp_path):
+    from trialspark.plans.series import Figure, stacked_figures
+    from trialspark.sources.tables import read_figure, write_figures
+
+    df = spark.createDataFrame([("a", 1, 2.0, 0), ("a", 1, 4.0, 1), ("b", 2, NAN, 0), (None, 2, 1.0, 0)], "g string, t int, v double, k int")
+    figures = [Figure("all", "t", "v", ["g"]), Figure("some", "t", "v", ["g"], ["k"], "k = 0"), Figure("flat", "k", "t")]
+    out = stacked_figures(df, figures)
+    assert rows(out.where("figure = 'all'").drop("figure")) == [(None, "a", 1.0, 3.0, 2), (None, "b", 2.0, None, 0), (None, None, 2.0, 1.0, 1)]
+    assert rows(out.where("figure = 'some'").drop("figure")) == [("0", "a", 1.0, 2.0, 1), ("0", "b", 2.0, None, 0), ("0", None, 2.0, 1.0, 1)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    path = str(tmp_path / "figures")
+    write_figures(out, path)
+    write_figures(stacked_figures(df, [Figure("flat", "t", "k")]), path)  # the others stay
+    assert rows(read_figure(spark, path, "flat").select("x", "y")) == [(1.0, 0.5), (2.0, 0.0)]
+    assert read_figure(spark, path, "all").count() == 3
+    with pytest.raises(ValueError, match="repeated"):
+        stacked_figures(df, [figures[0], figures[0]])
+
+
 @SLOW
 @given(st.dictionaries(st.integers(0, 9), st.lists(st.none() | st.integers(0, 5), min_size=3, max_size=3)))
 def test_long_and_wide_are_inverse(spark, table):

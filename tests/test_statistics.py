@@ -363,6 +363,101 @@ def test_result_does_not_depend_on_row_order_or_partitions(design):
         assert got[name]["ss_n"] == close(r["ss_n"], 12) and got[name]["ss_d"] == close(r["ss_d"], 12)
 
 
+def many_levels(spark, b, groups):
+    import numpy as np
+
+    rng = np.random.default_rng(b)
+    y = {(g, i): rng.normal(size=b) + 0.02 * np.arange(b) * (1 + k) + rng.normal() for k, (g, n) in enumerate(groups.items()) for i in range(n)}
+    rows = [(f"{g}{i}", g, k, float(v)) for (g, i), ys in y.items() for k, v in enumerate(ys)]
+    return y, spark.createDataFrame(rows, "subject string, grp string, block int, y double").repartition(4)
+
+
+@pytest.mark.parametrize("levels", [9, 60])
+def test_anova_with_many_within_levels(spark, levels):
+    """Against sums over the table of subjects by levels; groups of different size."""
+    import numpy as np
+
+    sizes = {"a": 70, "b": 80}
+    y, df = many_levels(spark, levels, sizes)
+    df = df.union(spark.createDataFrame([("half", "a", 0, 1.0)], df.schema))
+    got = effects(anova(df, "y", "subject", "block", "grp", within_levels=list(range(levels))))
+    part = {g: np.array([v for (h, _), v in y.items() if h == g]) for g in sizes}
+    centred = {g: x - x.mean(1, keepdims=True) for g, x in part.items()}
+    error = sum(((x - x.mean(0)) ** 2).sum() for x in centred.values())
+    between = sum(levels * ((x.mean(1) - x.mean()) ** 2).sum() for x in part.values())
+    gaps = np.array([x.mean(0) for x in centred.values()])
+    harmonic = len(sizes) ** 2 / sum(1 / n for n in sizes.values())
+    within = harmonic * (gaps.mean(0) ** 2).sum()  # unweighted means, type III
+    weights = np.array(list(sizes.values()))[:, None]
+    both = (weights * (gaps - (weights * gaps).sum(0) / weights.sum()) ** 2).sum()
+    e = sum(sizes.values()) - 2
+    row = got["block"]
+    assert row["ss_d"] == close(error, 8) and row["ss_n"] == close(within, 8) and row["df_d"] == e * (levels - 1)
+    assert got["grp:block"]["ss_n"] == close(both, 8) and got["grp"]["ss_d"] == close(between, 8)
+    assert row["n_dropped"] == 1 and row["n_subjects"] == 150
+    cov = sum((x - x.mean(0)).T @ (x - x.mean(0)) for x in centred.values())
+    assert row["gg_eps"] == close(np.trace(cov) ** 2 / ((levels - 1) * (cov**2).sum()), 8)
+    eigen = np.linalg.eigvalsh(cov)[1:]
+    assert row["w"] == pytest.approx(np.exp(np.log(eigen / eigen.mean()).sum()), rel=1e-6)
+
+
+def test_long_contrasts_agree_with_columns(spark, design, monkeypatch):
+    from trialspark.operators import anova as module
+
+    for between in ([], ["grp"]):
+        for type_ in (2, 3):
+            want = effects(anova(design, "y", "subject", "block", between, type=type_, within_levels=[1, 2, 3]))
+            monkeypatch.setattr(module, "WIDE", 2)
+            got = effects(anova(design, "y", "subject", "block", between, type=type_, within_levels=[1, 2, 3]))
+            monkeypatch.undo()
+            assert got.keys() == want.keys()
+            for name, r in want.items():
+                assert all(got[name][c] == close(v, 8) if isinstance(v, float) else got[name][c] == v for c, v in r.asDict().items())
+
+
+def test_plan_does_not_grow_with_levels(spark):
+    def size(b):
+        df = spark.range(1).selectExpr("id AS subject", "cast(id AS int) AS block", "1.0D AS y")
+        return len(anova(df, "y", "subject", "block", within_levels=list(range(b)))._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+    assert size(20) == size(200)
+
+
+def test_long_design_refuses_unlisted_levels_and_two_groups(spark):
+    y, df = many_levels(spark, 9, {"a": 3, "b": 3})
+    with pytest.raises(Exception, match="is not listed"):
+        anova(df, "y", "subject", "block", "grp", within_levels=list(range(1, 10))).collect()
+    with pytest.raises(Exception, match="differs within one"):
+        anova(df.withColumn("grp", F.when(F.col("block") == 1, "z").otherwise(F.col("grp"))), "y", "subject", "block", "grp", within_levels=list(range(9))).collect()
+    with pytest.raises(Exception, match="lacks a level"):
+        anova(df, "y", "subject", "block", "grp", within_levels=list(range(10)), incomplete="error").collect()
+
+
+def test_a_million_p_values(spark):
+    """One family, many ties, a few nulls: the plain step-down formula, and no task that holds it."""
+    import numpy as np
+
+    df = spark.range(1_000_000).select("id", F.when(F.col("id") % 1000 == 7, None).otherwise(F.pow((F.xxhash64("id") % 30011 + 30011) / 60022.0, F.lit(6))).alias("p"))
+    out = p_adjust(df, adjust="holm")
+    for line in out._jdf.queryExecution().executedPlan().toString().splitlines():
+        assert "Window [" not in line or "__share" in line
+    got = out.toPandas()
+    known = got[got["p"].notna()].sort_values("p")
+    plain = np.minimum(1, np.maximum.accumulate((len(known) - np.arange(len(known))) * known["p"].to_numpy()))
+    # rows of one value share the largest step of theirs
+    plain = np.maximum.reduceat(plain, np.flatnonzero(np.r_[True, np.diff(known["p"]) > 0]))[np.cumsum(np.r_[False, np.diff(known["p"]) > 0])]
+    assert len(got) == 1_000_000 and got["p_adj"].isna().sum() == 1000
+    assert np.allclose(known["p_adj"], plain, rtol=1e-12)
+
+
+def test_snk_reads_its_cells_once(spark, tmp_path):
+    path = str(tmp_path / "values")
+    spark.range(100).selectExpr("id % 4 AS g", "id % 2 AS b", "cast(id * id % 17 AS double) AS v").write.parquet(path)
+    for by in ([], ["b"]):
+        plan = snk(spark.read.parquet(path), "v", "g", by=by)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "xxhash64" not in plan and "Join" not in plan
+
+
 def test_holm_never_exceeds_bonferroni(spark):
     ps = [0.5, 0.001, 0.02, 0.02, 0.9, 0.049]
     df = spark.createDataFrame([(p, g) for p in ps for g in "ab"], "p double, g string")

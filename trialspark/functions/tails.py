@@ -7,7 +7,6 @@ or grid point, never data rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -239,15 +238,19 @@ def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
     return _column(chi2_upper(x, df))
 
 
+def _once(value, *columns: pd.Series) -> pd.Series:
+    """A function of several columns, computed for different arguments only."""
+    key = pd.concat([c.astype("float64").rename(str(k)) for k, c in enumerate(columns)], axis=1)
+    one = key.drop_duplicates()
+    found = one.assign(value=value(*(one[c] for c in one.columns)))
+    return _column(key.merge(found, on=list(key.columns), how="left")["value"])
+
+
 @F.pandas_udf(T.DoubleType())
 def range_p(q: pd.Series, r: pd.Series, df: pd.Series) -> pd.Series:
-    return _column(range_upper(q, r, df))
+    return _once(range_upper, q, r, df)
 
 
 @F.pandas_udf(T.DoubleType())
-def range_q(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for prob, r, df in parts:
-        key = pd.DataFrame({"p": prob, "r": r, "df": df}, dtype="float64")
-        one = key.drop_duplicates()
-        value = pd.Series(range_quantile(one["p"], one["r"], one["df"]), index=one.index)
-        yield _column(key.merge(one.assign(v=value), on=["p", "r", "df"], how="left")["v"])
+def range_q(prob: pd.Series, r: pd.Series, df: pd.Series) -> pd.Series:
+    return _once(range_quantile, prob, r, df)

@@ -4,9 +4,9 @@ Three reductions, each one aggregation: rows to one row per subject (its mean
 at each within level), subjects to orthonormal contrast moments per between
 cell, cells to effects. The contrast moments are centred sums, so nothing is
 lost to cancellation and any subject or cell may be as large as it likes.
-With up to one between factor the last step is column arithmetic; with more,
-the type II / III comparisons of cell-mean models are solved per `by` group
-from its cell rows.
+With up to one between factor the last step is column arithmetic; with more, or
+with more than WIDE within levels, the type II / III comparisons of cell-mean
+models are solved per `by` group from its cell rows.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from trialspark.operators.joins import join_group
 from trialspark.operators.ttests import fail_when, sum_squares, unlisted
 
 EFFECT = "effect"
+#: Within levels up to which a level has columns of its own; beyond, contrasts are an array and their pairs rows.
+WIDE = 8
 
 
 def helmert(b: int) -> list[list[float]]:
@@ -120,6 +122,68 @@ def cell_table(subjects: DataFrame, between: Sequence[str], by: Sequence[str], p
     return subjects.groupBy(*[as_column(b) for b in [*by, *between]]).agg(*aggs)
 
 
+def long_subject_table(
+    df: DataFrame,
+    dv: str,
+    wid: str,
+    within: str,
+    between: Sequence[str],
+    by: Sequence[str],
+    levels: Sequence,
+    incomplete: str,
+) -> DataFrame:
+    """As `subject_table`, with the contrasts as one array `c`: its plan does not grow with the number of levels."""
+    v, b = clean(df, dv), len(levels)
+    place = F.array_position(F.lit(list(levels)).cast(T.ArrayType(df.schema[within].dataType)), as_column(within))
+    unit, factors = [as_column(c) for c in [*by, wid]], [as_column(f) for f in between]
+    guards = [F.struct(*[g(f).alias(f"f{i}") for i, f in enumerate(factors)] or [F.lit(0).alias("f")]).alias(n) for n, g in (("__least", F.min), ("__most", F.max))]
+    none = F.lit(False)
+    for f in factors:
+        none = none | f.isNull()
+    cells = df.groupBy(*unit, place.alias("__place")).agg(F.avg(v).alias("__y"), F.count(F.when(none, 1)).alias("__none"), *guards)
+    cells = fail_when(cells, F.coalesce(F.col("__place"), F.lit(0)) == 0, f"a level of {within} is not listed")
+    found = F.array_sort(F.collect_list(F.when(F.col("__y").isNotNull(), F.struct("__place", "__y"))))
+    sides = [F.min(F.col("__least")[f"f{i}"]).alias(f"__least{i}") for i in range(len(factors))]
+    sides += [F.max(F.col("__most")[f"f{i}"]).alias(f"__most{i}") for i in range(len(factors))]
+    subjects = cells.groupBy(*unit).agg(found.alias("__found"), F.sum("__none").alias("__none"), *sides)
+    two = F.lit(False)
+    for i in range(len(factors)):
+        two = two | F.coalesce(F.col(f"__least{i}") != F.col(f"__most{i}"), F.lit(False))
+    if between:
+        subjects = fail_when(subjects, as_column(wid).isNotNull() & two, f"{' or '.join(between)} differs within one {wid}")
+    missing = as_column(wid).isNull() | (F.col("__none") > 0)
+    subjects = subjects.withColumns({f: F.when(~missing, F.col(f"__most{i}")) for i, f in enumerate(between)})
+    missing = missing | (F.size("__found") < b)
+    if incomplete == "error":
+        subjects = fail_when(subjects, missing, f"a {wid} lacks a level of {within}")
+    y = F.transform("__found", lambda r: r["__y"])
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
+    helmert_ = F.transform(
+        F.sequence(F.lit(1), F.lit(b - 1)), lambda k: (total(F.slice("__all", F.lit(1), k)) - k * F.get("__all", k)) / F.sqrt(k * (k + 1))
+    )
+    subjects = subjects.withColumn("__all", F.when(~missing, y))
+    return subjects.select(
+        *[as_column(k) for k in by], *factors, F.when(~missing, total(F.col("__all")) / math.sqrt(b)).alias("m"), F.when(~missing, helmert_).alias("c")
+    )
+
+
+def long_cell_table(subjects: DataFrame, between: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """As `cell_table`, with the means of the contrasts as an array `c`, and their centred cross-products as `s` (row by
+    row of the lower triangle). Each pair of contrasts is a row, aggregated within tasks first."""
+    keys = [as_column(k) for k in [*by, *between]]
+    n = F.count("m")
+    plain = subjects.groupBy(*keys).agg(n.alias("n"), (F.count(F.lit(1)) - n).alias("dropped"), F.avg("m").alias("m"), sum_squares(F.col("m")).alias("ss_m"))
+    rows = subjects.select(*keys, "c", F.posexplode("c").alias("__j", "__a"))
+    rows = rows.select(*keys, "__j", "__a", F.posexplode(F.slice("c", F.lit(1), F.col("__j") + 1)).alias("__k", "__b"))
+    cross = F.coalesce(F.covar_samp("__a", "__b") * (F.count(F.lit(1)) - 1), F.lit(0.0))
+    pairs = rows.groupBy(*keys, "__j", "__k").agg(cross.alias("s"), F.avg("__a").alias("c"))
+    ordered = F.array_sort(F.collect_list(F.struct("__j", "__k", "s", "c")))
+    packed = pairs.groupBy(*keys).agg(ordered.alias("__p"))
+    diagonal = F.filter("__p", lambda r: r["__j"] == r["__k"])
+    packed = packed.select(*keys, F.transform(diagonal, lambda r: r["c"]).alias("c"), F.transform("__p", lambda r: r["s"]).alias("s"))
+    return join_group(plain, packed, [*by, *between], "left")
+
+
 def _s(j: int, k: int) -> str:
     return f"s{min(j, k)}_{max(j, k)}"
 
@@ -236,6 +300,12 @@ def _sum_to_zero(level: np.ndarray) -> np.ndarray:
     return code
 
 
+def _scaled_determinant(s: np.ndarray, trace: float) -> float:
+    """Determinant of s over its mean diagonal value: no power of a scale that could leave the range of numbers."""
+    p = len(s)
+    return float(np.linalg.det(s * (p / trace))) if trace > 0 else math.nan
+
+
 def _factorial_effects(
     cells: pd.DataFrame, within: str | None, between: Sequence[str], p: int, type: int
 ) -> list[dict]:
@@ -279,9 +349,14 @@ def _factorial_effects(
         return residual(rest, y) - residual([*rest, term], y)
 
     e = float(cells["n"].sum() - len(cells))
-    s = np.array([
-        [cells[_s(j, k)].sum() for k in range(1, p + 1)] for j in range(1, p + 1)
-    ]).reshape(p, p)
+    if "s" in cells:
+        s = np.zeros((p, p))
+        s[np.tril_indices(p)] = np.sum(cells["s"].tolist(), axis=0)
+        s = s + np.tril(s, -1).T
+    else:
+        s = np.array([
+            [cells[_s(j, k)].sum() for k in range(1, p + 1)] for j in range(1, p + 1)
+        ]).reshape(p, p)
     ss_m, trace = float(cells["ss_m"].sum()), float(np.trace(s))
     shared = {
         "n_subjects": int(cells["n"].sum()),
@@ -290,11 +365,11 @@ def _factorial_effects(
         "e": e,
         "trace": trace,
         "squares": float((s**2).sum()),
-        "det": float(np.linalg.det(s)) if p > 1 else None,
+        "det": _scaled_determinant(s, trace) if p > 1 else None,
     }
     parts = [(False, cells[["m"]].to_numpy(dtype=float), 1, ss_m)]
     if within is not None:
-        y = cells[[f"c{k}" for k in range(1, p + 1)]].to_numpy(dtype=float)
+        y = np.array(cells["c"].tolist(), float) if "c" in cells else cells[[f"c{k}" for k in range(1, p + 1)]].to_numpy(dtype=float)
         parts.append((True, y, p, trace))
     rows = []
     for inside, y, width, ss_d in parts:
@@ -336,13 +411,13 @@ def _effects_by_model(
     return cells.groupBy(*[as_column(b) for b in by]).applyInPandas(solve, fields)
 
 
-def sphericity_columns(df: DataFrame, p: int) -> DataFrame:
-    """Mauchly W and the epsilon corrections of the within effects (p > 1)."""
+def sphericity_columns(df: DataFrame, p: int, scaled: bool = False) -> DataFrame:
+    """Mauchly W and the epsilon corrections of the within effects (p > 1). `scaled`: `det` is over the mean variance."""
     inside = F.col("is_within") & F.lit(p > 1)
     e, tr = F.col("e"), F.col("trace")
     gg = F.try_divide(tr * tr, p * F.col("squares"))
     hf = F.try_divide((e + 1) * p * gg - 2, p * (e - p * gg))
-    w = F.try_divide(F.col("det"), F.pow(tr / p, F.lit(p)))
+    w = F.nanvl("det", F.lit(None).cast("double")) if scaled else F.try_divide(F.col("det"), F.pow(tr / p, F.lit(p)))
     return df.select(
         "*",
         F.when(inside, w).alias("w"),
@@ -396,10 +471,15 @@ def anova(
             raise ValueError("within needs within_levels, the levels in their order")
         levels = list(within_levels)
     p = len(levels) - 1
-    subjects = subject_table(df, dv, wid, within, between, by, levels, incomplete)
-    cells = cell_table(subjects, between, by, p)
-    solve = _effects_by_columns if len(between) <= 1 else _effects_by_model
-    effects = sphericity_columns(solve(cells, within, between, by, p, type), p)
+    if len(levels) > WIDE:
+        subjects = long_subject_table(df, dv, wid, within, between, by, levels, incomplete)
+        cells = long_cell_table(subjects, between, by)
+    else:
+        subjects = subject_table(df, dv, wid, within, between, by, levels, incomplete)
+        cells = cell_table(subjects, between, by, p)
+    by_columns = len(levels) <= WIDE and len(between) <= 1
+    solve = _effects_by_columns if by_columns else _effects_by_model
+    effects = sphericity_columns(solve(cells, within, between, by, p, type), p, scaled=not by_columns)
     effects = effects.withColumn(
         "f",
         F.try_divide(F.col("ss_n") * F.col("df_d"), F.col("ss_d") * F.col("df_n")),

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialspark.functions.scalars import as_column, level_index, quoted
+from trialspark.operators.numbering import carried, in_shares, within
 
 
 def rename_regex(df: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
@@ -79,13 +80,16 @@ def level_order(
 ) -> DataFrame:
     """Attach the 1-based level index of a factor.
 
-    Without `levels` they are the sorted distinct values: ranked among themselves and joined back, any number of them.
+    Without `levels` they are the sorted distinct values, any number of them: numbered over many tasks (which stores
+    them) and joined back.
     """
     name = name or f"{col}_level"
     if levels is not None:
         return df.withColumn(name, level_index(col, list(levels)[::-1] if reverse else list(levels)))
     level = F.col("__level")
     known = df.select(as_column(col).alias("__level")).where(level.isNotNull()).distinct()
-    order = Window.orderBy(level.desc() if reverse else level.asc())
-    ranked = known.select("__level", F.row_number().over(order).alias(name))
+    shares = in_shares(known, [level.desc() if reverse else level.asc()], "levels")
+    own = F.coalesce(F.count(F.lit(1)).over(within([])), F.lit(0))
+    placed = carried(shares, [], rows=F.count(F.lit(1)))
+    ranked = placed.select("__level", (F.coalesce("rows", F.lit(0)) + own + 1).cast("int").alias(name))
     return df.join(ranked, as_column(col) == level, "left").drop("__level")

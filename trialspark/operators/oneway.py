@@ -90,43 +90,31 @@ def snk(
 ) -> DataFrame:
     """Studentized-range test of all pairs of level means.
 
-    Levels are ordered by mean; a pair that spans r ordered means is judged
-    against the range of r means. Unequal counts use the mean of 1/n. The rank of a level is the number of
-    levels at or below it, found with the pairs themselves.
+    Levels are ordered by mean (and name, where means are equal); a pair that spans r ordered means is judged
+    against the range of r means. Unequal counts use the mean of 1/n. The cells of a group, one a level, are made once
+    and sorted as one array; its pairs are drawn from positions in that array, row by row.
     """
     keys = [as_column(b) for b in by]
-    cells = cell_summary(df, value, group, by).select(*keys, "level", "n", "mean", "ss")
-    fields = ["level", "n", "mean"]
-    low = cells.select(*keys, *[F.col(c).alias(f"{c}_1") for c in fields])
-    high = cells.select(*[as_column(b).alias(f"__by_{i}") for i, b in enumerate(by)], *[F.col(c).alias(f"{c}_2") for c in fields])
-    # without groups all cells meet through one value of a computed key
-    low, high = (t.withColumn(k, F.pmod(F.xxhash64(level), F.lit(1))) for t, k, level in ((low, "__one_1", "level_1"), (high, "__one_2", "level_2")))
-    same = F.col("__one_1") == F.col("__one_2")
-    for i, b in enumerate(by):
-        same = same & as_column(b).eqNullSafe(F.col(f"__by_{i}"))
-    tie = (F.col("mean_1") == F.col("mean_2")) & (F.col("level_1") < F.col("level_2"))
-    pairs = low.join(high, same & ((F.col("mean_1") < F.col("mean_2")) | tie))
-    # of n levels, the lowest is below n - 1 others: its pairs count them
-    place = pairs.groupBy(*keys, "level_1").agg(F.count(F.lit(1)).alias("__above"))
-    totals = _totals(cells, by).select(
-        *keys, (F.col("__rows") - F.col("__cells")).cast("double").alias("df"), F.col("__inside").alias("__ss_d")
-    )
-    ranked = join_group(pairs.drop("__one_1", "__one_2", *[f"__by_{i}" for i in range(len(by))]), place, [*by, "level_1"])
-    upper = place.withColumnsRenamed({"level_1": "level_2", "__above": "__above_2"})
-    ranked = join_group(ranked, upper, [*by, "level_2"], "left")
-    out = (
-        join_group(ranked, totals, by)
-        .select(
-            *keys,
-            "level_1",
-            "level_2",
-            (F.col("mean_2") - F.col("mean_1")).alias("mean_diff"),
-            (F.col("__above") - F.coalesce("__above_2", F.lit(0)) + 1).cast("double").alias("span"),
-            "df",
-            F.sqrt(F.try_divide("__ss_d", "df") / 2 * (1 / F.col("n_1") + 1 / F.col("n_2"))).alias("se"),
-        )
-        .withColumn("q", F.try_divide("mean_diff", "se"))
+    cell = F.struct("mean", "level", "n", "ss")
+    groups = cell_summary(df, value, group, by).groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("__cells"))
+    cells = F.col("__cells")
+    rows = F.aggregate(cells, F.lit(0).cast("bigint"), lambda acc, c: acc + c["n"])
+    inside = F.aggregate(cells, F.lit(0.0), lambda acc, c: acc + c["ss"])
+    low, high = F.col("__low"), F.col("__high")
+    pairs = (
+        groups.withColumns({"df": (rows - F.size(cells)).cast("double"), "__ss_d": inside})
+        .select(*keys, "df", "__ss_d", "__cells", F.posexplode("__cells").alias("__place", "__low"))
+        .select(*keys, "df", "__ss_d", "__low", F.posexplode(F.slice("__cells", F.col("__place") + 2, F.size("__cells"))).alias("__gap", "__high"))
     )
+    out = pairs.select(
+        *keys,
+        low["level"].alias("level_1"),
+        high["level"].alias("level_2"),
+        (high["mean"] - low["mean"]).alias("mean_diff"),
+        (F.col("__gap") + 2).cast("double").alias("span"),
+        "df",
+        F.sqrt(F.try_divide("__ss_d", "df") / 2 * (1 / low["n"] + 1 / high["n"])).alias("se"),
+    ).withColumn("q", F.try_divide("mean_diff", "se"))
     half = F.col("se") * range_q(F.lit(1 - alpha), F.col("span"), F.col("df"))
     return out.select(
         "*",

@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialspark.functions.scalars import as_column
 from trialspark.functions.tails import t_p, t_q
 from trialspark.operators.groups import clean
+from trialspark.operators.joins import join_group
+from trialspark.operators.numbering import carried, in_shares, within
 
 ADJUSTMENTS = ("holm", "bonferroni", "none")
 
@@ -142,32 +144,53 @@ def pairwise_t(
         .withColumn("t", F.try_divide("mean_diff", F.col("sd_diff") / F.sqrt("n")))
         .withColumn("p", t_p("t", "df"))
     )
-    return p_adjust(tested, "p", adjust, by)
+    if adjust not in ADJUSTMENTS:
+        raise ValueError(f"adjust={adjust!r}")
+    return _adjusted_pairs(tested, adjust, by)
 
 
 def p_adjust(
     df: DataFrame, p: str = "p", adjust: str = "holm", by: Sequence[str] = (), name: str = "p_adj"
 ) -> DataFrame:
-    """Adjust the p-values of one family of comparisons (per `by` group).
+    """Adjust the p-values of a family of comparisons (per `by` group) of any size.
 
-    A family is the unit: its p-values are ranked in one task, as many as it has comparisons.
+    Equal p-values of a family are adjusted alike, so the step-down runs over its different ones with their counts:
+    ordered over many tasks (which stores them), with counts and the running maximum carried from share to share.
     """
     if adjust not in ADJUSTMENTS:
         raise ValueError(f"adjust={adjust!r}")
-    value = as_column(p)
+    value, keys = as_column(p), [as_column(b) for b in by]
     if adjust == "none":
         return df.withColumn(name, value)
-    family = Window.partitionBy(*([as_column(b) for b in by] or [F.lit(0)]))
-    m = F.count(value).over(family)
+    m = F.count(value)
     if adjust == "bonferroni":
-        return df.withColumn(name, F.when(value.isNotNull(), F.least(F.lit(1.0), value * m)))
-    ranked = family.orderBy(value.asc_nulls_last())
-    step = (m - F.row_number().over(ranked) + 1) * value
-    upto = F.max("__step").over(
-        ranked.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        df.withColumn("__step", step)
-        .withColumn(name, F.when(value.isNotNull(), F.least(F.lit(1.0), upto)))
-        .drop("__step")
-    )
+        sized = join_group(df, df.groupBy(*keys).agg(m.alias("__m")), by)
+        return sized.withColumn(name, F.when(value.isNotNull(), F.least(F.lit(1.0), value * F.col("__m")))).drop("__m")
+    family = {b: f"__by_{i}" for i, b in enumerate(by)}
+    renamed = df.where(value.isNotNull()).select(*[as_column(b).alias(k) for b, k in family.items()], value.alias("__p"))
+    groups = list(family.values())
+    values = renamed.groupBy(*groups, "__p").agg(F.count(F.lit(1)).alias("__same"))
+    shares = in_shares(values, [*[F.asc_nulls_first(g) for g in groups], F.asc("__p")], "p-values")
+    sizes = shares.groupBy(*groups).agg(F.sum("__same").alias("__m"))
+    before = F.coalesce("rows", F.lit(0)) + F.coalesce(F.sum("__same").over(within(groups)), F.lit(0))
+    steps = join_group(carried(shares, groups, rows=F.sum("__same")), sizes, groups)
+    steps = steps.select(*groups, "__p", "__share", "__at", ((F.col("__m") - before) * F.col("__p")).alias("__step"))
+    upto = F.greatest("__step", F.coalesce(F.max("__step").over(within(groups)), F.lit(0.0)), F.coalesce("max_step", F.lit(0.0)))
+    adjusted = carried(steps, groups, max_step=F.max("__step")).select(*groups, "__p", F.least(F.lit(1.0), upto).alias(name))
+    same = value == F.col("__p")
+    for b, k in family.items():
+        same = same & as_column(b).eqNullSafe(F.col(k))
+    return df.join(adjusted, same, "left").drop("__p", *groups)
+
+
+def _adjusted_pairs(df: DataFrame, adjust: str, by: Sequence[str]) -> DataFrame:
+    """`p_adjust` of a family of few comparisons, as many as the listed levels have pairs: ranked side by side."""
+    value, keys = as_column("p"), [as_column(b) for b in by]
+    if adjust != "holm":
+        return p_adjust(df, "p", adjust, by)
+    pairs = F.col("__pairs")
+    rows = df.groupBy(*keys).agg(F.collect_list(F.struct(*[as_column(c) for c in df.columns if c not in by])).alias("__pairs"))
+    family = F.filter(F.transform(pairs, lambda r: r["p"]), lambda v: v.isNotNull())
+    step = lambda v: F.size(F.filter(family, lambda o: o >= v)) * v
+    upto = lambda r: F.least(F.lit(1.0), F.array_max(F.transform(F.filter(family, lambda o: o <= r["p"]), step)))
+    return rows.select(*keys, F.inline(F.transform(pairs, lambda r: r.withField("p_adj", F.when(r["p"].isNotNull(), upto(r))))))

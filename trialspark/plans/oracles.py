@@ -402,7 +402,24 @@ SELECT language, trial_type, x, round(fit, 6) AS fit, round(sqrt(rss / one * nor
 FROM fitted JOIN traces USING (language, trial_type) JOIN rest USING (language, trial_type)
 WHERE x IN (SELECT CAST(unnest(range(1, 16)) AS DOUBLE))"""
 
+def figure(name: str, x: str, y: str, series: str = "NULL", facet: str = "NULL", only: str = "TRUE") -> str:
+    return f"""SELECT '{name}' AS figure, CAST({facet} AS VARCHAR) AS facet, CAST({series} AS VARCHAR) AS series,
+CAST({x} AS DOUBLE) AS x, round(avg({y}), 6) AS y, count({y}) AS n FROM merged WHERE {only} GROUP BY ALL"""
+
+
+PANELS = "age_group || '.' || trial_type"
+FIGURES = f"WITH {MERGED} " + " UNION ALL ".join([
+    figure("correct", "trial_number", "correct_anticipation", "language", PANELS, LOOKED),
+    figure("incorrect", "trial_number", "incorrect_anticipation", "language", PANELS, LOOKED),
+    figure("none", "trial_number", "no_anticipation", "language", PANELS),
+    figure("all_by_age", "trial_number", "all_anticipation", "age_group", "trial_type"),
+    figure("older", "trial_number", "correct_anticipation", "language || '.' || trial_type", only=f"{LOOKED} AND age_group = '20 months'"),
+    figure("vocabulary", "total_concept_prod", "prop_look_correct", "language", "age_group"),
+    figure("whole", "trial_number", "prop_look_correct"),
+])
+
 ORACLES: dict[str, str] = {
+    "sink_many_figures": FIGURES,
     "src_scan_null_token": """
 SELECT o_orderkey, o_custkey, nullif(o_orderstatus, 'P') AS o_orderstatus, o_totalprice,
        CAST(o_orderdate AS DATE) AS o_orderdate, nullif(o_orderpriority, 'P') AS o_orderpriority FROM orders""",

@@ -6,6 +6,9 @@ have queries of their own, as SQL cannot produce them.
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +39,16 @@ OF_BUILDING = "language = 'BUILDING'"
 BLOCK = 5
 STATUS = ("F", "O", "P")
 RULES = (*tl.EXPORT_RULES, (r"\.", "_"))
+BOTH = ("age_group", "trial_type")
+FIGURES = (
+    se.Figure("correct", "trial_number", "correct_anticipation", ["language"], BOTH, LOOKED),
+    se.Figure("incorrect", "trial_number", "incorrect_anticipation", ["language"], BOTH, LOOKED),
+    se.Figure("none", "trial_number", "no_anticipation", ["language"], BOTH),
+    se.Figure("all_by_age", "trial_number", "all_anticipation", ["age_group"], ["trial_type"]),
+    se.Figure("older", "trial_number", "correct_anticipation", ["language", "trial_type"], (), f"{LOOKED} AND {OLDER}"),
+    se.Figure("vocabulary", "total_concept_prod", "prop_look_correct", ["language"], ["age_group"]),
+    se.Figure("whole", "trial_number", "prop_look_correct"),
+)
 
 
 def query(fn):
@@ -109,6 +122,15 @@ def sink_series_csv(spark: SparkSession, sf: str) -> DataFrame:
     return src.stored(prop_correct(spark, sf), "series", "csv")
 
 
+@query
+def sink_many_figures(spark: SparkSession, sf: str) -> DataFrame:
+    """Seven figures of the study written in one pass over its merged table, and read back one by one."""
+    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/figures-{uuid.uuid4().hex}"
+    src.write_figures(se.stacked_figures(vw.merged(spark, sf), FIGURES), path)
+    back = [src.read_figure(spark, path, f.name).select("figure", "facet", "series", "x", "y", "n") for f in FIGURES]
+    return rounded(reduce(DataFrame.unionByName, back), "y")
+
+
 @query
 def header_regex_rename(spark: SparkSession, sf: str) -> DataFrame:
     return _renamed(spark, sf)

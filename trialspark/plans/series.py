@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -137,6 +138,38 @@ def figure_series(
     )
 
 
+@dataclass(frozen=True)
+class Figure:
+    """One figure of a study: mean `y` over `x`, a line for each `series` and a panel for each `facets`, of rows `only`."""
+
+    name: str
+    x: str
+    y: str
+    series: Sequence[str] = ()
+    facets: Sequence[str] = ()
+    only: Column | str | None = None
+
+
+def stacked_figures(df: DataFrame, figures: Sequence[Figure]) -> DataFrame:
+    """The series of many figures from one reading of the table: `figure`, `facet`, `series`, `x`, `y` (mean) and `n`.
+
+    A row enters every figure that shows it, and all figures are summed up by one aggregation, within tasks first.
+    """
+    if len({f.name for f in figures}) < len(figures):
+        raise ValueError("repeated figure name")
+    label = lambda names: interaction(*names) if names else F.lit(None).cast("string")
+    entries = []
+    for f in figures:
+        shown = F.lit(True) if f.only is None else F.expr(f.only) if isinstance(f.only, str) else f.only
+        entry = F.struct(
+            F.lit(f.name).alias("figure"), label(f.facets).alias("facet"), label(f.series).alias("series"),
+            to_number(f.x).alias("x"), clean(df, f.y).cast("double").alias("y"),
+        )
+        entries.append(F.when(shown, entry))
+    rows = df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")).select("e.*")
+    return rows.groupBy("figure", "facet", "series", "x").agg(F.avg("y").alias("y"), F.count("y").alias("n"))
+
+
 def order_series(df: DataFrame, *keys: str) -> DataFrame:
     """Sort by the keys; meant for a sink, pairing elsewhere is by key."""
     return df.orderBy(*[F.asc_nulls_last(k) for k in keys])

@@ -64,3 +64,29 @@ def stored(df: DataFrame, name: str, format: str = "parquet") -> DataFrame:
     path = f"{spark.conf.get('spark.sql.warehouse.dir')}/{name}-{uuid.uuid4().hex}"
     write_series(df, path, format)
     return read_table(spark, path, format, null_token=None)
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that is read several times to the folder all executors see, and read it back.
+
+    The folder is `spark.checkpoint.dir`, or one in the warehouse where that is unset.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/shared"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def write_figures(stacked: DataFrame, path: str, format: str = "parquet") -> None:
+    """Write the series of many figures in one pass, each to `figure=<name>`; other figures in the folder stay."""
+    writer = stacked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    if format == "csv":
+        writer = writer.option("header", True)
+    writer.partitionBy("figure").format(format).save(path)
+
+
+def read_figure(spark: SparkSession, path: str, figure: str, format: str = "parquet") -> DataFrame:
+    """One figure's series; only its folder is read."""
+    reader = spark.read.option("header", True).option("inferSchema", True) if format == "csv" else spark.read
+    return reader.format(format).load(path).where(F.col("figure").cast("string") == figure)
