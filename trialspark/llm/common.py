@@ -136,21 +136,48 @@ class Runs:
         return self._covered(level[:n], level[off : off + n], np.uint64(k))
 
 
-def word_names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def rolling(symbols: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every run of k symbols by a rolling sum: cheap, to deal out rows by. Runs that share one need not be equal."""
+    n = len(symbols)
+    if len(_powers[0]) < n + 1:
+        with np.errstate(over="ignore"):
+            for j, base in enumerate((_ODD, _INVERSE)):
+                steps = np.full(max(n + 1, 2 * PIECE_BYTES), base, np.uint64)
+                steps[0] = 1
+                _powers[j] = np.cumprod(steps, dtype=np.uint64)
+    sums = np.zeros(n + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(symbols * _powers[0][:n], dtype=np.uint64, out=sums[1:])
+        m = max(n - k + 1, 0)
+        return mix((sums[k:] - sums[:m]) * _powers[1][:m])
+
+
+def word_names(data: np.ndarray, start: np.ndarray, end: np.ndarray, inside: np.ndarray | None = None) -> np.ndarray:
     """Two 64-bit halves of a cryptographic hash of each word (`word_spans`), taken once for each different word."""
-    coded = coded_words(data, start, end)
+    coded = coded_words(data, start, end, inside)
     names = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in coded.dictionary.to_pylist())
     return np.frombuffer(names, np.uint64).reshape(-1, 2)[coded.indices.to_numpy(zero_copy_only=False)]
 
 
-def coded_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.DictionaryArray:
-    """The words of some texts as a dictionary and places in it."""
+def coded_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, inside: np.ndarray | None = None) -> pa.DictionaryArray:
+    """The words of some texts as a dictionary and places in it; `inside` marks their bytes, if not all but white ones."""
     offsets = np.zeros(len(start) + 1, np.int64)
     np.cumsum(end - start, out=offsets[1:])
-    letters = data[~WHITE[data]]
+    letters = data[~WHITE[data] if inside is None else inside]
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
 
 
+def content_names(content: memoryview, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves of a cryptographic hash of each slice of some bytes."""
+    names = b"".join([hashlib.blake2b(content[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), end.tolist())])
+    pair = np.frombuffer(names, np.uint64).reshape(-1, 2)
+    return pair[:, 0].copy(), pair[:, 1].copy()
+
+
 def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin and end of each word in the bytes, and where each text's words begin in that list."""
     if not len(data):

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trialspark.llm.common import BYTE_SYMBOLS, Runs, lower_ascii, mix, pieces, table, texts
+from trialspark.llm.common import lower_ascii, mix, pieces, table, texts, word_names
 from trialspark.llm.sketches import shingle_sets
 
 SAMPLE = 20_000
@@ -66,11 +66,13 @@ def _units(column: pa.Array) -> tuple[np.ndarray, ...]:
     start = np.flatnonzero(inside & ~np.r_[False, inside[:-1]])
     end = np.flatnonzero(inside & ~np.r_[inside[1:], False]) + 1
     first = np.searchsorted(start, at)
-    runs = Runs(BYTE_SYMBOLS[spread])
-    words = runs.hash(start, end)
-    grams = runs.grams(GRAM)
+    words = word_names(spread, start, end, inside)[:, 0]
+    n = max(len(spread) - GRAM + 1, 0)
+    grams = np.zeros(n, np.uint64)  # the bytes themselves
+    for k in range(GRAM):
+        grams = grams << np.uint64(8) | spread[k : k + n]
+    grams = mix(grams)
     borders = np.r_[0, np.cumsum(~inside)]
-    n = len(grams)
     inner = (borders[GRAM - 1 : GRAM - 1 + n] - borders[1 : 1 + n]) == 0 if n else np.zeros(0, bool)  # no border but at the ends
     return first, words, grams, inner, start
 

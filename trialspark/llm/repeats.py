@@ -7,7 +7,7 @@ start earlier (smaller doc_id, or same document and earlier place). All symbols
    gram at the same place. Neighbouring windows with one gram form a context, the symbols those windows span; about
    2 in (window - gram + 2) places begin one. This thins the work, no window is left out.
 2. Contexts meet by gram. Of equal contexts the first stays and the others are repeats throughout; equal means equal in
-   two independent 64-bit hashes of all symbols (of words: over both halves of a cryptographic hash). A gram with one
+   128 bits of a cryptographic hash of the bytes (of words: of 128-bit cryptographic hashes of the words). A gram with one
    context is settled; one with several is contested: its contexts share some windows, and which ones is decided on
    their real symbols by the operator's own method (`judge`). So passages that are copied with what surrounds them
    are settled by hash, and `judge` finds the edges, where copies end.
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trialspark.llm.common import BYTE_SYMBOLS, OTHER_BYTE_SYMBOLS, Runs, mix, partitions, pieces, ragged, texts, word_names, word_spans
+from trialspark.llm.common import BYTE_SYMBOLS, OTHER_BYTE_SYMBOLS, Runs, content_names, mix, partitions, pieces, ragged, rolling, texts, word_names, word_spans
 
 #: Contexts of one gram that are judged together.
 CROWD = 256
@@ -43,6 +43,31 @@ CROWD = 256
 GRAM_SHARDS, DOC_SHARDS = 2, 1
 
 
+class Symbols:
+    """A sequence of bytes, or of words by their 128-bit names."""
+
+    def __init__(self, data: np.ndarray | None, names: np.ndarray | None):
+        self.data, self.names = data, names
+        self.width = 1 if names is None else 16
+        self.raw = np.ascontiguousarray(data if names is None else names).reshape(-1).view(np.uint8).data
+        self._runs: tuple[Runs, Runs] | None = None
+
+    def grams(self, k: int) -> np.ndarray:
+        """What contexts are dealt out by: those that share one are compared themselves."""
+        return rolling(BYTE_SYMBOLS[self.data] if self.names is None else self.names[:, 0], k)
+
+    def named(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits for the content of each run."""
+        return content_names(self.raw, begin * self.width, end * self.width)
+
+    def windows(self, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits for each of many overlapping runs of one width."""
+        if self._runs is None:
+            lanes = (BYTE_SYMBOLS[self.data], OTHER_BYTE_SYMBOLS[self.data]) if self.names is None else (self.names[:, 0], self.names[:, 1])
+            self._runs = tuple(Runs(s) for s in lanes)
+        return tuple(runs.hash(at, at + width) for runs in self._runs)
+
+
 @dataclass(frozen=True)
 class Unit:
     """What a symbol is, how long a window is, and how long the grams that represent it are."""
@@ -51,14 +76,13 @@ class Unit:
     window: int
     gram: int
 
-    def symbols(self, data: np.ndarray, at: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-        """Two independent values of each symbol, where each text's begin, and begin and end byte of each symbol."""
+    def symbols(self, data: np.ndarray, at: np.ndarray) -> tuple[Symbols, np.ndarray, np.ndarray, np.ndarray]:
+        """The symbols, where each text's begin, and begin and end byte of each symbol."""
         if not self.words:
             place = np.arange(len(data) + 1)
-            return (BYTE_SYMBOLS[data], OTHER_BYTE_SYMBOLS[data]), at, place[:-1], place[1:]
+            return Symbols(data, None), at, place[:-1], place[1:]
         start, end, first = word_spans(data, at)
-        names = word_names(data, start, end)
-        return (names[:, 0], names[:, 1]), first, start, end
+        return Symbols(None, word_names(data, start, end)), first, start, end
 
     def places(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """`symbols` without values."""
@@ -73,7 +97,7 @@ class Unit:
 class Contexts:
     key: np.ndarray
     ctx: np.ndarray
-    ctx2: np.ndarray  # `ctx` by the other values of symbols
+    ctx2: np.ndarray  # the other half of the content's hash
     doc: np.ndarray
     begin: np.ndarray  # first symbol
     extra: np.ndarray  # windows less one
@@ -100,14 +124,13 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
-def contexts(unit: Unit, symbols: tuple[np.ndarray, np.ndarray], first: np.ndarray, ids: np.ndarray) -> Contexts:
+def contexts(unit: Unit, symbols: Symbols, first: np.ndarray, ids: np.ndarray) -> Contexts:
     """The contexts of some texts (numbered `ids`; text k has symbols first[k] to first[k + 1])."""
     count = np.maximum(np.diff(first) - unit.window + 1, 0)
     if not count.sum():
         return Contexts.none()
     windows = ragged(first[:-1], count)
-    runs, others = (Runs(s) for s in symbols)
-    grams = runs.grams(unit.gram)
+    grams = symbols.grams(unit.gram)
     low = np.uint64(0xFFFFFFFF)
     order = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
     chosen = (_least(order, unit.window - unit.gram + 1)[windows] & low).astype(np.int64)
@@ -116,13 +139,13 @@ def contexts(unit: Unit, symbols: tuple[np.ndarray, np.ndarray], first: np.ndarr
     gram = chosen[change]
     text = np.searchsorted(first, begin, side="right") - 1
     stop = last + unit.window
-    return Contexts(grams[gram], runs.hash(begin, stop), others.hash(begin, stop), ids[text], begin - first[text], last - begin)
+    return Contexts(grams[gram], *symbols.named(begin, stop), ids[text], begin - first[text], last - begin)
 
 
-def windows_of(unit: Unit, symbols: tuple[Runs, Runs], at: np.ndarray, doc: np.ndarray, begin: np.ndarray) -> Contexts:
+def windows_of(unit: Unit, symbols: Symbols, at: np.ndarray, doc: np.ndarray, begin: np.ndarray) -> Contexts:
     """Single windows, each under a key of its own content."""
     none = np.zeros(len(at), np.int64)
-    return Contexts(*(runs.hash(at, at + unit.window) for runs in symbols), none.view(np.uint64), doc, begin, none)
+    return Contexts(*symbols.windows(at, unit.window), none.view(np.uint64), doc, begin, none)
 
 
 def settle(c: Contexts) -> tuple[Contexts, np.ndarray, np.ndarray]:
@@ -154,7 +177,7 @@ def _later_windows(unit: Unit, contents: list[bytes], c: Contexts) -> Contexts:
     symbols, first, _, _ = unit.symbols(np.frombuffer(b"".join(contents), np.uint8), np.r_[0, np.cumsum([len(x) for x in contents])])
     number = c.extra + 1
     w = ragged(first[:-1], number)
-    windows = windows_of(unit, tuple(Runs(v) for v in symbols), w, np.repeat(c.doc, number), w - np.repeat(first[:-1] - c.begin, number))
+    windows = windows_of(unit, symbols, w, np.repeat(c.doc, number), w - np.repeat(first[:-1] - c.begin, number))
     return windows.take(settle(windows)[2])
 
 
@@ -304,7 +327,6 @@ def remove_repeats(docs: DataFrame, unit: Unit, judge: Judge, finish: Callable,
         for part in shelf(shelves):
             data, at = texts(part.column(text))
             symbols, first, start, end = unit.symbols(data, at)
-            runs, others = (Runs(v) for v in symbols)
             ids = part.column(doc_id).to_numpy(zero_copy_only=False).astype(np.int64)
             raw = data.tobytes()
             for k, c in sides:
@@ -315,14 +337,15 @@ def remove_repeats(docs: DataFrame, unit: Unit, judge: Judge, finish: Callable,
                 # a context is taken once, from a text that holds it: rows may repeat, and an id have several texts
                 held = np.flatnonzero((h.begin + h.extra + unit.window <= room) & ~taken[k][mine])
                 begin = h.begin[held] + base[held]
-                held = held[runs.hash(begin, begin + h.extra[held] + unit.window) == h.ctx[held]]
+                one, two = symbols.named(begin, begin + h.extra[held] + unit.window)
+                held = held[(one == h.ctx[held]) & (two == h.ctx2[held])]
                 held = held[np.unique(mine[held], return_index=True)[1]]
                 taken[k][mine[held]] = True
                 h, base = h.take(held), base[held]
                 if k == 3 and len(h.key):
                     number = h.extra + 1
                     w = ragged(h.begin + base, number)
-                    h = windows_of(unit, (runs, others), w, np.repeat(h.doc, number), w - np.repeat(base, number))
+                    h = windows_of(unit, symbols, w, np.repeat(h.doc, number), w - np.repeat(base, number))
                     base = np.repeat(base, number)
                 if len(h.key):
                     i = start[h.begin + base]

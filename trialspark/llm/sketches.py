@@ -61,7 +61,7 @@ def exact_sets(column: pa.Array | pa.ChunkedArray, words: int) -> tuple[np.ndarr
 
 def set_names(value: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two halves of a cryptographic hash of each set's sorted values."""
-    raw = memoryview(np.ascontiguousarray(value)).cast("B")
+    raw = np.ascontiguousarray(value).view(np.uint8).data
     names = b"".join(hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist()))
     pair = np.frombuffer(names, np.int64).reshape(-1, 2)
     return pair[:, 0].copy(), pair[:, 1].copy()
