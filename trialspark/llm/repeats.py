@@ -18,9 +18,9 @@ one id, are one occurrence and no repeat of each other.
 
 Load: equal contexts are reduced before each shuffle to one row a batch or group, so a passage with any number of
 copies stays small. A gram with more than CROWD contexts is not judged in one place: its contexts are cut into single
-windows, each keyed by its own content (by 128 bits again, then `judge`). Rows travel as columns of lists, one row a batch and shard. Shards follow
-`spark.sql.shuffle.partitions`. Nothing is collected, broadcast or sampled, and all is lazy, so a lost executor costs
-what it held.
+windows, each keyed by its own content (by 128 bits again, then `judge`). Rows travel as columns of lists, one row a
+batch and shard. There is a shard for each SHARD_BYTES of text, so what a task holds at once does not grow with the
+table, whatever the number of partitions. Nothing is collected, broadcast or sampled; a lost executor costs what it held.
 """
 
 from __future__ import annotations
@@ -35,12 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trialspark.llm.common import BYTE_SYMBOLS, OTHER_BYTE_SYMBOLS, Runs, content_names, mix, partitions, pieces, ragged, rolling, texts, word_names, word_spans
+from trialspark.llm.common import BYTE_SYMBOLS, OTHER_BYTE_SYMBOLS, Runs, content_names, mix, pieces, ragged, rolling, texts, word_names, word_spans
 
 #: Contexts of one gram that are judged together.
 CROWD = 256
-#: Shards of a shuffle partition, by gram and by document. A group writes at most one row for each shard it meets.
-GRAM_SHARDS, DOC_SHARDS = 2, 1
+#: Text bytes of a shard of documents, gram shards for one of them, and the least number. A group writes at most one row
+#: for each shard it meets, and never more than it has contexts.
+SHARD_BYTES, GRAM_SHARDS, LEAST_SHARDS = 16 << 20, 2, 8
 
 
 class Symbols:
@@ -255,8 +256,9 @@ def remove_repeats(docs: DataFrame, unit: Unit, judge: Judge, finish: Callable,
     finish(unit, batch, covered) gets rows, and for each symbol of their texts whether a repeat covers it; it returns
     arrays for the columns `added`, which replace input columns of the same name.
     """
-    spark = docs.sparkSession
-    gram_shards, shards = GRAM_SHARDS * partitions(spark), DOC_SHARDS * partitions(spark)
+    held = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    shards = max(LEAST_SHARDS, -(-held // SHARD_BYTES))
+    gram_shards = GRAM_SHARDS * shards
     names = [f.name for f in docs.schema.fields if f.name not in added.names]
     out = T.StructType([f for f in docs.schema.fields if f.name in names] + added.fields)
 
