@@ -16,6 +16,7 @@ rows without an id. Output columns replace input columns of the same name; all o
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import groupby
@@ -27,21 +28,29 @@ from pyspark.sql import types as T
 
 from trialspark.llm.common import pieces, table
 
-#: Words a worker remembers with their ids, and with their number of tokens; beyond it the memo starts anew.
+#: Words a worker remembers with their ids, and with their number of tokens; beyond it the memo starts anew, and also
+#: beyond so many characters of them. Words longer than LONG_WORD are encoded each time.
 MEMO_WORDS, COUNT_WORDS = 500_000, 1_300_000
+MEMO_CHARS, LONG_WORD = 16_000_000, 128
 _NEVER = float("inf")
 
 
 class _Memo(dict):
-    """word -> what `make` gives, at most `most` of them."""
+    """key -> what `make` gives; bounded in keys and, where they are words, in characters."""
 
     def __init__(self, make, most: int):
-        self.make, self.most = make, most
+        self.make, self.most, self.held = make, most, 0
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        value = self.make(key)
+        size = len(key) if isinstance(key, str) else 0
+        if size > LONG_WORD:
+            return value
+        self.held += size
+        if len(self) >= self.most or self.held > MEMO_CHARS:
             self.clear()
-        value = self[key] = self.make(key)
+            self.held = size
+        self[key] = value
         return value
 
 
@@ -78,6 +87,7 @@ class PieceModel:
         self.stable = _Memo(lambda pair: self._is_stable(self.piece[pair >> 32], self.piece[pair & 0xFFFFFFFF]), MEMO_WORDS)
         self.memo = _Memo(self._word, MEMO_WORDS)
         self.spans = _Memo(self._lengths, MEMO_WORDS)
+        self.packed = _Memo(self._packed, MEMO_WORDS)
         self.counts = _Memo(lambda word: len(self.tokens(word.replace(" ", "▁"))), COUNT_WORDS)
 
     def _merge(self, text: str):
@@ -180,6 +190,11 @@ class PieceModel:
                 at += k
         return tuple(out)
 
+    def _packed(self, word: str) -> tuple[int, bytes]:
+        """Number of tokens of a word, and `_lengths` as pairs of 32-bit integers."""
+        spans = self._lengths(word)
+        return len(spans), array("i", [x for span in spans for x in span]).tobytes()
+
     def split(self, text: str) -> list[str]:
         """A text's words as they are looked up: with the space that is put before a text."""
         return self.words.findall(" " + text.replace("▁", " ")) if text else []
@@ -201,7 +216,7 @@ class PieceModel:
 
     def forget(self) -> None:
         """Free what is remembered of words and pairs."""
-        for memo in (self.stable, self.memo, self.spans, self.counts):
+        for memo in (self.stable, self.memo, self.spans, self.packed, self.counts):
             memo.clear()
 
     def offsets(self, text: str) -> list[tuple[int, int]]:

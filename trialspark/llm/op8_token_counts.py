@@ -1,7 +1,7 @@
 """Token counts of a document's sections by offset-mapped attribution.
 
-A whole document is encoded once; each token has its character span there. The spans are interval-joined with the
-sections: both are sorted and sections tile the text, so a token's first and last section come from a binary search.
+A whole document is encoded once; every token has its character span there. The spans are interval-joined with the
+sections: both are sorted and sections tile the text, so a token's first and last section come from binary searches.
 A token that crosses a border goes by a rule: to the section of its first character ("start"), of its last ("end"), to
 the one with most of its characters, the earlier of equals ("most"), or to each by its share of them ("share").
 
@@ -51,23 +51,22 @@ def section_counts(model: PieceModel, text: str, edge: np.ndarray, rule: str) ->
     words = model.split(text)
     if not words:
         return count, crossing
-    number = np.fromiter(map(model.counts.__getitem__, words), np.int64, len(words))
+    number, packed = zip(*map(model.packed.__getitem__, words))
     size = np.fromiter(map(len, words), np.int64, len(words))
-    at = np.cumsum(size) - size - 1
-    # words inside a section are counted whole; only those on a border need their tokens' spans
-    first = np.searchsorted(edge, np.maximum(at, 0), side="right") - 1
-    last = np.searchsorted(edge, np.maximum(at + size - 1, 0), side="right") - 1
-    first, last = np.minimum(first, sections - 1), np.minimum(last, sections - 1)
-    inside = first == last
-    count += np.bincount(first[inside], number[inside], sections)
-    for k in np.flatnonzero(~inside):
-        for a, b in model.spans[words[k]]:
-            a, b = max(a + int(at[k]), 0), max(b + int(at[k]), 1)
-            i = min(int(np.searchsorted(edge, a, side="right")) - 1, sections - 1)
-            j = min(int(np.searchsorted(edge, b - 1, side="right")) - 1, sections - 1)
-            crossing[i] += i != j
-            for s, share in _shares(a, b, edge, i, j, rule):
-                count[s] += share
+    at = np.repeat(np.cumsum(size) - size - 1, number)
+    span = np.frombuffer(b"".join(packed), np.int32).reshape(-1, 2)
+    begin, end = np.maximum(span[:, 0] + at, 0), np.maximum(span[:, 1] + at, 1)
+    # the interval join: both sides are in order, so a token's first and last section come from two searches
+    first = np.minimum(np.searchsorted(edge, begin, side="right") - 1, sections - 1)
+    last = np.minimum(np.searchsorted(edge, end - 1, side="right") - 1, sections - 1)
+    across = first != last
+    crossing += np.bincount(first[across], minlength=sections)
+    if rule in ("start", "end"):
+        return count + np.bincount(first if rule == "start" else last, minlength=sections), crossing
+    count += np.bincount(first[~across], minlength=sections)
+    for k in np.flatnonzero(across).tolist():
+        for s, share in _shares(int(begin[k]), int(end[k]), edge, int(first[k]), int(last[k]), rule):
+            count[s] += share
     return count, crossing
 
 
