@@ -1,13 +1,14 @@
 """Packing: length buckets that are optimal for the corpus, and batches of a token budget inside each.
 
-Lengths in tokens are counted once and stored. Their histogram over the whole corpus has a few hundred bins (each
-length up to EXACT, then STEPS bins an octave: at most a few thousand whatever the corpus), and dynamic programming
-over it chooses the bucket lengths with the least padding: the best k buckets over the first j bins extend the best
-k - 1 over some i. A bucket's length is the largest that occurs in it.
+Lengths in tokens are counted once and stored. Dynamic programming over their whole histogram, each length with its
+count, chooses the bucket lengths with the least padding of all choices: the best k buckets over the first j lengths
+extend the best k - 1 over some i, found for all j in one pass over a convex hull of lines. The histogram is what the
+driver holds: different lengths add up to no more than all tokens T, so there are at most sqrt(2 T) of them (a few
+million for any corpus there is).
 
 A batch of a bucket holds budget // length documents (one, if a document is longer than the budget). Documents are
-numbered inside their bucket through slices of about SLICE rows with the counts of earlier slices added, so a bucket
-may hold any share of the rows.
+numbered inside their bucket by id, over many tasks (`ranks`), so a bucket, and rows that share an id or have none, may
+be any share of the rows.
 
 Rows: every input row gets one output row. A null or empty text has no tokens: bucket length 0, no batch. Rows without
 an id are placed like others. Rows that repeat an id are placed one by one.
@@ -19,15 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialspark.llm.common import pieces, save, table
 from trialspark.llm.op1_sentencepiece import default_model, piece_model
+from trialspark.llm.ranks import numbered
 
 BUCKETS, BUDGET = 16, 16_384
-EXACT, STEPS = 128, 64
-SLICE = 50_000
 
 
 def token_lengths(docs: DataFrame, model_path: str | None = None, text: str = "text", doc_id: str = "doc_id", keep_words: bool = True) -> DataFrame:
@@ -46,23 +46,44 @@ def token_lengths(docs: DataFrame, model_path: str | None = None, text: str = "t
 
 
 def best_lengths(top: np.ndarray, count: np.ndarray, buckets: int) -> list[int]:
-    """Bucket lengths with the least padding for bins with these largest lengths (rising) and counts."""
-    n = len(top)
-    before = np.r_[0, np.cumsum(count)]
-    cost = np.full(n + 1, np.inf)
-    cost[0] = 0
+    """Bucket lengths with the least padding for these different lengths (rising) and their counts.
+
+    cost[j], the least padded size of the first j lengths, is the least over i of cost'[i] + (before[j] - before[i]) *
+    top[j - 1]: the lowest of lines with slopes -before[i] at a place that only rises.
+    """
+    tops, n = [int(t) for t in top], len(top)
+    before = [0]
+    for c in count:
+        before.append(before[-1] + int(c))
+    cost: list[int | None] = [0] + [None] * n
     cuts = []
     for _ in range(min(buckets, n)):
-        # cost of the first j bins, the last bucket holding bins i to j - 1
-        whole = cost[:n, None] + (before[None, 1:] - before[:n, None]) * top[None, :].astype(float)
-        whole[np.tril_indices(n, -1)] = np.inf
-        came = whole.argmin(0)
-        cost = np.r_[np.inf, whole[came, np.arange(n)]]
+        new: list[int | None] = [None] * (n + 1)
+        came = np.zeros(n + 1, np.int64)
+        hull: list[int] = []
+        low = 0
+        for j in range(1, n + 1):
+            i = j - 1
+            if cost[i] is not None:
+                while len(hull) - low >= 2:
+                    a, b = hull[-2], hull[-1]  # b is nowhere lowest if the new line passes a before b does
+                    if (cost[i] - cost[a]) * (before[b] - before[a]) <= (cost[b] - cost[a]) * (before[i] - before[a]):
+                        hull.pop()
+                    else:
+                        break
+                hull.append(i)
+            x = tops[i]
+            while len(hull) - low >= 2 and cost[hull[low + 1]] - before[hull[low + 1]] * x <= cost[hull[low]] - before[hull[low]] * x:
+                low += 1
+            if len(hull) > low:
+                k = hull[low]
+                new[j], came[j] = cost[k] + (before[j] - before[k]) * x, k
+        cost = new
         cuts.append(came)
     lengths, j = [], n
     for came in reversed(cuts):
-        lengths.append(int(top[j - 1]))
-        j = int(came[j - 1])
+        lengths.append(tops[j - 1])
+        j = int(came[j])
         if not j:
             break
     return lengths[::-1]
@@ -71,27 +92,15 @@ def best_lengths(top: np.ndarray, count: np.ndarray, buckets: int) -> list[int]:
 def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens, bucket_length, batch, place): rows of one bucket_length and batch form a batch, ordered by place."""
     n = F.col("n_tokens")
-    octave = F.pow(F.lit(2.0), F.floor(F.log2(n)) - int(np.log2(STEPS)))
-    grid = F.when(n <= EXACT, n).otherwise(F.ceil(n / octave) * octave).cast("long")
-    bins = lengths.where("n_tokens > 0").groupBy(grid.alias("bin")).agg(F.count("*").alias("count"), F.max("n_tokens").alias("top")).orderBy("bin").toPandas()
-    if not len(bins):
-        return lengths.select(doc_id, "n_tokens", F.lit(0).cast("long").alias("bucket_length"), F.lit(None).cast("long").alias("batch"), F.lit(None).cast("int").alias("place"))
-    chosen = best_lengths(bins["top"].to_numpy(), bins["count"].to_numpy(), buckets)
-    held = [int(bins["count"][(bins["top"] <= b) & (bins["top"] > a)].sum()) for a, b in zip([0, *chosen], chosen)]
-    which = F.size(F.filter(F.lit(chosen), lambda b: b < n))
-    slices = F.lit([max(1, -(-h // SLICE)) for h in held])
-    rows = lengths.where("n_tokens > 0").withColumn("bucket", which).withColumn("slice", F.pmod(F.xxhash64(doc_id, "n_tokens"), slices[F.col("bucket")]).cast("int"))
-    earlier = Window.partitionBy("bucket").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("bucket", "slice").agg(F.count("*").alias("m")).select("bucket", "slice", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("offset"))
-    offsets = save(offsets, "op7-offsets")
-    own = Window.partitionBy("bucket", "slice").orderBy(F.col(doc_id), "n_tokens")
-    number = F.col("offset") + F.row_number().over(own) - 1
-    length = F.lit(chosen)[F.col("bucket")].cast("long")
-    room = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / length).cast("long"))
-    placed = rows.join(offsets, ["bucket", "slice"]).withColumn("number", number).select(
-        doc_id, "n_tokens", length.alias("bucket_length"), F.floor(F.col("number") / room).cast("long").alias("batch"), (F.col("number") % room).cast("int").alias("place")
-    )
     none = lengths.where("n_tokens = 0").select(doc_id, "n_tokens", F.lit(0).cast("long").alias("bucket_length"), F.lit(None).cast("long").alias("batch"), F.lit(None).cast("int").alias("place"))
+    counts = lengths.where("n_tokens > 0").groupBy("n_tokens").agg(F.count("*").alias("count")).toArrow().sort_by("n_tokens")
+    if not counts.num_rows:
+        return none
+    chosen = best_lengths(counts.column("n_tokens").to_numpy(), counts.column("count").to_numpy(), buckets)
+    length = F.lit(chosen)[F.size(F.filter(F.lit(chosen), lambda b: b < n))].cast("long")
+    rows = numbered(lengths.where("n_tokens > 0").select(doc_id, "n_tokens", length.alias("bucket_length")), ["bucket_length"], [doc_id, "n_tokens"], "number", "held", "op7-numbered")
+    room = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.col("bucket_length")).cast("long"))
+    placed = rows.select(doc_id, "n_tokens", "bucket_length", F.floor(F.col("number") / room).cast("long").alias("batch"), (F.col("number") % room).cast("int").alias("place"))
     return placed.unionByName(none)
 
 
