@@ -10,7 +10,12 @@ are measured on the original vectors in double precision, ties go to the smaller
 Centroids are fitted on at most SAMPLE vectors (chosen by hash of the id) and number at most MOST_LISTS, so what is
 broadcast is bounded; every vector is indexed. Equal vectors are one candidate with its k + 1 smallest ids, found
 before any shuffle as far as a task sees them: more can be in no answer. A list is cut into blocks of about BLOCK
-vectors, each scanned in a task of its own, so a list may be of any size. Each scan returns at most k rows a query.
+vectors, its queries into blocks of about ASKED, and each pair of blocks is scanned in a task of its own, so a list may
+have any number of both. Each scan returns at most k rows a query. What is shuffled grows with the table as queries *
+probed lists (a share of sqrt(rows)), and with queries / ASKED copies of a list's vectors.
+
+With probed = 1 every list is probed: exact but for what the axes' test abandons, and exact altogether with `spread`
+infinite. Vectors keep the precision they are given in (float or double); all measuring is done in doubles.
 
 Rows: vectors that are null, zero, hold null or non-finite components, have no id, or have another length than most
 vectors take no part, as query or candidate. Rows that repeat an id are the same vector's copies and never answer to
@@ -26,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trialspark.llm.common import save, table
 
@@ -34,13 +40,11 @@ MOST_LISTS = 4096
 #: Share of the lists that a query probes, and their least number. High, as embeddings may have hardly any clusters: on
 #: random directions in 64 dimensions a tenth finds six in ten neighbours, half finds over nine in ten.
 PROBED, LEAST_PROBED = 0.5, 32
-BLOCK = 4096
+BLOCK, ASKED = 4096, 1024
 #: Columns of a block, and the spread of a partial distance that the test allows.
 COLUMNS, SPREAD = 16, 2.1
 _ROUNDS, _SEED = 12, 20
 
-_LISTS = "list int, vec_id long, embedding array<float>, wanted boolean"
-
 
 def _rotation(d: int) -> np.ndarray:
     """A random orthogonal matrix, always the same for a dimension."""
@@ -70,7 +74,7 @@ def fit_centroids(x: np.ndarray, lists: int) -> np.ndarray:
     return centroids
 
 
-def scan(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def scan(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, spread: float = SPREAD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each query the k nearest of x: query id, id, distance."""
     d = x.shape[1]
     turn = _rotation(d)
@@ -78,22 +82,24 @@ def scan(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndar
     columns = [np.ascontiguousarray(rx[:, a : a + COLUMNS]) for a in range(0, d, COLUMNS)]
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     lead = min(len(x), max(4 * k, 64))
+    largest = float((rx**2).sum(1).max(initial=0.0))
     for q, turned, own in zip(queries, rq, query_ids):
         first = ((rx[:lead] - turned) ** 2).sum(1)
         first[ids[:lead] == own] = np.inf
         worst = np.partition(first, k - 1)[k - 1] if lead >= k else np.inf
+        slack = 1e-14 * math.sqrt(largest + turned @ turned)  # rounding of the rotation
         alive, part, seen = np.arange(len(x)), np.zeros(len(x)), 0
         for c in columns:
             part = part + ((c[alive] - turned[seen : seen + c.shape[1]]) ** 2).sum(1)
             seen += c.shape[1]
             if np.isfinite(worst):
-                bound = worst * (1 + 1e-9) * ((1 + SPREAD / math.sqrt(seen)) ** 2 * seen / d if seen < d else 1) + 1e-12
+                bound = (math.sqrt(worst) * (1 + 1e-9) + slack) ** 2 * ((1 + spread / math.sqrt(seen)) ** 2 * seen / d if seen < d else 1)
                 stay = part <= bound
                 alive, part = alive[stay], part[stay]
         alive = alive[ids[alive] != own]
         if len(alive) > k:  # of what is left, those that can be among the k after exact measuring
             part = ((rx[alive] - turned) ** 2).sum(1)
-            alive = alive[part <= np.partition(part, k - 1)[k - 1] * (1 + 1e-9) + 1e-12]
+            alive = alive[part <= (math.sqrt(np.partition(part, k - 1)[k - 1]) * (1 + 1e-9) + slack) ** 2]
         exact = np.sqrt(((x[alive] - q) ** 2).sum(1))
         best = np.lexsort((ids[alive], exact))[:k]
         out.append((np.full(len(best), own), ids[alive][best], exact[best]))
@@ -109,10 +115,11 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     """Vectors that take part, whatever their length."""
     bad = F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists(embedding, lambda x: x != 0)
-    return vectors.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>").alias("embedding")).where(~bad & some)
+    kind = "float" if isinstance(vectors.schema[embedding].dataType.elementType, T.FloatType) else "double"
+    return vectors.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(f"array<{kind}>").alias("embedding")).where(~bad & some)
 
 
-def nearest(vectors: DataFrame, k: int = 10, every: int = 100, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, every: int = 100, vec_id: str = "vec_id", embedding: str = "embedding", probed: float = PROBED, spread: float = SPREAD) -> DataFrame:
     """Of each vector whose id is divisible by `every` the k nearest others: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     good = usable(vectors, vec_id, embedding)
@@ -123,7 +130,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, vec_id: str = "ve
     good = good.where(F.size("embedding") == d)
     drawn = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
     lists = max(1, min(MOST_LISTS, round(2 * math.sqrt(most["count"])), drawn.num_rows // 8))
-    probed = min(lists, max(LEAST_PROBED, math.ceil(PROBED * lists)))
+    probes = min(lists, max(LEAST_PROBED, math.ceil(probed * lists)))
     centroids = fit_centroids(_matrix(drawn.column("embedding"), d), lists)
 
     copies = Window.partitionBy("embedding").orderBy("vec_id")
@@ -134,27 +141,29 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, vec_id: str = "ve
         for batch in batches:
             wanted = batch.column("wanted").to_numpy(zero_copy_only=False).astype(bool)
             x = _matrix(pa.chunked_array([batch.column("embedding")]), d)
-            rows, near = [np.flatnonzero(~wanted), np.repeat(np.flatnonzero(wanted), probed)], []
-            for which, n in ((~wanted, 1), (wanted, probed)):
+            rows, near = [np.flatnonzero(~wanted), np.repeat(np.flatnonzero(wanted), probes)], []
+            for which, n in ((~wanted, 1), (wanted, probes)):
                 near.append(_nearest(x[which], centroids, n).ravel() if which.any() else np.zeros(0, np.int64))
             index = pa.array(np.concatenate(rows))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(near), pa.int32()), *(batch.column(c).take(index) for c in ("vec_id", "embedding", "wanted"))], ["list", "vec_id", "embedding", "wanted"])
 
-    placed = save(candidates.union(queries).mapInArrow(assign, _LISTS), "op10-lists")
-    sizes = placed.where(~F.col("wanted")).groupBy("list").count().collect()  # one row a list, MOST_LISTS at most
-    blocks = np.ones(lists, np.int64)
+    placed = save(candidates.union(queries).mapInArrow(assign, f"list int, vec_id long, embedding {good.schema['embedding'].dataType.simpleString()}, wanted boolean"), "op10-lists")
+    sizes = placed.groupBy("list", "wanted").count().collect()  # two rows a list, MOST_LISTS at most
+    blocks, parts = np.ones(lists, np.int64), np.ones(lists, np.int64)
     for r in sizes:
-        blocks[r["list"]] = -(-r["count"] // BLOCK)
-    number = F.lit(blocks.tolist())[F.col("list")]
-    mine = placed.where(~F.col("wanted")).withColumn("block", F.pmod(F.xxhash64("vec_id"), number).cast("int"))
-    asked = placed.where("wanted").withColumn("block", F.explode(F.sequence(F.lit(0), (number - 1).cast("int"))))
+        (parts if r["wanted"] else blocks)[r["list"]] = -(-r["count"] // (ASKED if r["wanted"] else BLOCK))
+    blocks_, parts_ = (F.lit(n.tolist())[F.col("list")] for n in (blocks, parts))
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
+    to_all = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
+    mine = placed.where(~F.col("wanted")).withColumn("block", dealt(blocks_)).withColumn("part", to_all(parts_))
+    asked = placed.where("wanted").withColumn("part", dealt(parts_)).withColumn("block", to_all(blocks_))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = not left.num_rows or not right.num_rows
-        parts = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)] if empty else scan(_matrix(right.column("embedding"), d), right.column("vec_id").to_numpy(), _matrix(left.column("embedding"), d), left.column("vec_id").to_numpy(), k)
+        parts = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)] if empty else scan(_matrix(right.column("embedding"), d), right.column("vec_id").to_numpy(), _matrix(left.column("embedding"), d), left.column("vec_id").to_numpy(), k, spread)
         return pa.table({"query_id": pa.array(parts[0], pa.int64()), "vec_id": pa.array(parts[1], pa.int64()), "score": pa.array(parts[2], pa.float64())})
 
-    found = mine.groupBy("list", "block").cogroup(asked.groupBy("list", "block")).applyInArrow(compare, "query_id long, vec_id long, score double")
+    found = mine.groupBy("list", "block", "part").cogroup(asked.groupBy("list", "block", "part")).applyInArrow(compare, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
