@@ -17,7 +17,7 @@ from pyspark.sql import functions as F  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from trialspark.llm import (  # noqa: E402
     common, graph, op1_sentencepiece, op2_minhash, op3_toxicity, op4_substring, op5_suffix_array, op6_warc, op7_packing, op8_token_counts, op9_exact,
-    op10_neighbours, queries, repeats, sketches,
+    op10_neighbours, op11_quality, op12_trie, op13_merkle, queries, ranks, repeats, sketches,
 )
 
 SF = "/root/testdata/sf0.001"
@@ -434,8 +434,25 @@ def test_bucket_lengths_are_optimal():
     assert op7_packing.best_lengths(np.array([5]), np.array([2]), 4) == [5]
 
 
-def test_packing(spark, docs, odd, none, monkeypatch):
-    monkeypatch.setattr(op7_packing, "SLICE", 7)
+def test_many_lengths_are_cut_best():
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        n, buckets = int(rng.integers(1, 14)), int(rng.integers(1, 6))
+        lengths = rng.choice(np.r_[np.arange(1, 40), 1000, 1001, 5000], n).tolist()
+        top, count = np.unique(lengths, return_counts=True)
+        chosen = op7_packing.best_lengths(top, count, buckets)
+        assert sum(min(b for b in chosen if b >= x) for x in lengths) == brute.least_padding(lengths, buckets)
+    top = np.arange(1, 20_001)
+    chosen = op7_packing.best_lengths(top, np.ones(20_000, np.int64), 4)
+    assert chosen == [5000, 10_000, 15_000, 20_000]
+
+
+def test_padding_of_the_query_is_the_least(spark, docs):
+    rows = op7_packing.pack(op7_packing.token_lengths(docs.where("doc_id < 25")), 3, 512).where("n_tokens > 0").collect()
+    assert sum(r["bucket_length"] for r in rows) == brute.least_padding([r["n_tokens"] for r in rows], 3)
+
+
+def test_packing(spark, docs, odd, none):
     lengths = op7_packing.token_lengths(docs)
     rows = op7_packing.pack(lengths, 4, 512).collect()
     want = dict(map(tuple, lengths.collect()))
@@ -557,6 +574,157 @@ def test_neighbours_odd(spark):
     assert op10_neighbours.nearest(df.where("vec_id in (1, 2, 100)")).count() == 2
 
 
+@pytest.mark.parametrize("block", [4096, 7])
+def test_neighbours_in_double_precision(spark, monkeypatch, block):
+    """Distances of 1e-9 between doubles; lists and their queries in blocks; all lists probed."""
+    monkeypatch.setattr(op10_neighbours, "BLOCK", block)
+    monkeypatch.setattr(op10_neighbours, "ASKED", 3)
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((4, 24))
+    rows = [(i, (base[i % 4] + rng.standard_normal(24) * 1e-9).tolist()) for i in range(200)]
+    want = brute.nearest(rows, 10, 10)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in op10_neighbours.nearest(df, 10, 10, probed=1.0, spread=float("inf")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert {q: [(v, s) for _, v, s in sorted(g)] for q, g in got.items()} == want
+
+
+# --- 11
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_quality_on_held_out_labels(spark, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    got = op11_quality.query(spark, sf).join(labels, "doc_id").where("held_out").toPandas()
+    good = got["quality"] > 0
+    rank = got["score"].rank()
+    auc = (rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
+    assert auc > 0.97 and ((got["predicted"] > 0) == good).mean() > 0.96 and (got["predicted"][good] > 0).mean() > 0.97
+    assert ((got["score"] >= 0.7) == (got["predicted"] > 0)).all() and got["score"].between(0, 1).all()
+
+
+def test_quality_does_not_see_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    other = labels.withColumn("quality", F.when(op11_quality.held_out("doc_id"), 1 - F.col("quality")).otherwise(F.col("quality")))
+    one, two = (by_id(op11_quality.judge(docs, op11_quality.fit(docs, x)), "score") for x in (labels, other))
+    assert one == two
+
+
+def test_quality_odd(spark, odd, none):
+    labels = spark.createDataFrame([(1, 0), (2, 0), (4, 1), (5, 1), (5, 0), (6, 1), (7, 1), (None, 1), (8, None)], "doc_id long, quality int")
+    for rows in (labels, labels.where("quality = 1"), labels.limit(0)):
+        out = op11_quality.judge(odd, op11_quality.fit(odd, rows)).collect()
+        assert len(out) == odd.count() and all(0 <= r["score"] <= 1 for r in out)
+        empty = {r["score"] for r in out if not r["text"]}
+        assert len(empty) == 1
+    assert {r["predicted"] for r in out} == {0}
+    assert op11_quality.judge(none, op11_quality.fit(none, labels.limit(0))).count() == 0
+
+
+def test_dual_descent_finds_the_hinge_minimum():
+    """Against the primal: no small step lowers the loss."""
+    rng = np.random.default_rng(1)
+    x, y = rng.standard_normal((60, 5)), np.where(rng.standard_normal(60) > 0, 1.0, -1.0)
+    x[:, 0] += y
+    rows, c = [np.arange(5)] * 60, np.full(60, 0.7)
+    op11 = op11_quality
+    passes, enough = op11.PASSES, op11.ENOUGH
+    op11.PASSES, op11.ENOUGH = 4000, 1e-10
+    try:
+        w = op11.dual_descent(rows, list(x), y, 5, c)
+    finally:
+        op11.PASSES, op11.ENOUGH = passes, enough
+
+    def loss(v):
+        return 0.5 * v @ v + (c * np.maximum(0, 1 - y * (x @ v))).sum()
+
+    assert all(loss(w) <= loss(w + d) + 1e-9 for d in rng.standard_normal((500, 5)) * 0.01)
+
+
+def test_units_are_indicators_of_ngrams():
+    import pyarrow as pa
+
+    def units(text):
+        rows, bucket = op11_quality.units(pa.array([text]))
+        return set(bucket.tolist())
+
+    assert len(units("a b c")) == 3 + 2 + len({1, 2, 3}) + 2  # words, pairs, runs of one form, reached lengths
+    assert units("") == set() and units(None) == set()
+    assert units("x x x") != units("x y z")
+
+
+# --- 12
+
+def conversations(seed=3, n=60):
+    rng = random.Random(seed)
+    rows = []
+    for c in range(n):
+        for t in range(rng.randint(0, 7)):
+            rows.append((c, t if rng.random() > 0.1 else None, rng.choice(["user", "assistant", None]), rng.choice(["a", "bb", "é", "", None, "hello there"])))
+    rows += [(c, t, "user", "same") for c in range(200, 240) for t in range(3)] + [(300, t, "user", f"t{t}") for t in range(40)] + [(301, t, "user", f"t{t}") for t in range(45)]
+    rows += [(None, 0, "user", "nobody"), rows[0], rows[0], (-7, 1, "user", "below"), (-7, 1, "user", "below")]
+    return rows
+
+
+@pytest.mark.parametrize("limit, block, queue, chunk", [(4096, 256, 65_536, 4096), (3, 4, 2, 2), (2, 1, 1, 1)])
+def test_trie(spark, limit, block, queue, chunk):
+    """Small shards, blocks, queues and chunks give the same nodes."""
+    rows = conversations()
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("depth", F.lit("x")).repartition(5)
+    made = op12_trie.turns(df)
+    got = op12_trie.prefix_trie(*op12_trie.regrafted(made), limit=limit, block=block, queue=queue, chunk=chunk)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(brute.trie(brute.rebuilt(rows)), key=str)
+
+
+def test_trie_of_plain_and_empty_conversations(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (3, 0, "user", "bye")]
+    df = spark.createDataFrame(rows, "c long, turn long, role string, text string")
+    got = sorted(tuple(r)[:7] for r in op12_trie.trie(df, conv_id="c").collect())
+    assert got == [(1, 0, None, 3, 2, 2, 2), (1, 1, 1, 2, 1, 1, 2), (1, 2, 1, 1, 0, 1, 0), (3, 1, 1, 1, 0, 1, 0)]
+    none = spark.createDataFrame([(None, 0, "user", "x")], "c long, turn long, role string, text string")
+    assert op12_trie.trie(none, conv_id="c").count() == 0 and op12_trie.trie(none.limit(0), conv_id="c").count() == 0
+
+
+def test_spilling_queue():
+    rng = random.Random(4)
+    sent = [(-rng.randint(0, 5), rng.randint(0, 3), 0, rng.randint(0, 9), 1) for _ in range(300)]
+    queue = op12_trie.SpillingQueue(7)
+    for m in sent:
+        queue.push(m)
+    for place in sorted({m[:3] for m in sent}):
+        assert sorted(queue.taken(place)) == sorted(m[3:] for m in sent if m[:3] == place)
+
+
+# --- 13
+
+def test_merkle_manifest(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, f"Text {i} É" if i % 7 else None, rng.choice(["en", None]), rng.choice(["a", "b", "é", None, ""] + ["hot"] * 5), i % 11 or None) for i in range(700)]
+    rows += [(5000, "alone", "en", "single", 5), (None, "No Id", "en", "a", 1), (None, None, None, None, None), rows[3], rows[3], rows[4]] + [(6000 + i, "X", "en", f"s{i}", 1) for i in range(40)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("leaf", F.lit("x")).repartition(6)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    for levels in (2, 1):
+        monkeypatch.setattr(op13_merkle, "LEVELS", levels)
+        out = op13_merkle.manifest(df, tampered, op13_merkle.lower_ascii_letters("text"))
+        got = [(r["doc_id"], r["leaf"], r["subroot"], r["root"], r["proof_sha256"], r["folded_root"], r["verified"]) for r in out.collect()]
+        assert sorted(got, key=str) == brute.merkle(rows)
+
+
+def test_merkle_of_little(spark, none):
+    assert op13_merkle.manifest(none).count() == 0
+    one = spark.createDataFrame([(1, "a", "en", None, 1)], DOCS)
+    r = op13_merkle.manifest(one).first()
+    assert r["leaf"] == r["subroot"] == r["root"] == r["folded_root"] and r["verified"] and r["proof_sha256"] == brute.sha("") and r["source"] is None
+
+
+def test_places_in_groups_of_any_size(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise((F.col("id") % 10).cast("string")).alias("g"), (F.col("id") * 7 % 5).alias("k"), "id").repartition(7)
+    out = ranks.numbered(df, ["g"], ["k"], "place", "total", "test").toPandas()
+    for _, part in out.groupby("g"):
+        assert sorted(part["place"]) == list(range(len(part))) and set(part["total"]) == {len(part)}
+        assert part.sort_values("place")["k"].is_monotonic_increasing
+
+
 # --- queries and pipeline
 
 @pytest.mark.parametrize("name", sorted(queries.CORPUS_ORACLES))
