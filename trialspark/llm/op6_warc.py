@@ -3,9 +3,10 @@
 A capture is three records: the request, the response (or the revisit of another response with the same payload),
 and metadata. Request and metadata name the capture in WARC-Concurrent-To; `captures` joins the three through it.
 
-Archives are WARC 1.1 files, compressed as whole files, written by Spark's text sink (its line end is the blank
-lines that end a record) into the shared folder, and read as binary files, parsed record by record as they unpack.
-A file holds what one task reads, so its size follows the input split.
+Archives are WARC 1.1 files of one gzip member a record, written by Spark's text sink into the shared folder, and read
+as binary files, parsed record by record as they unpack. The sink's rows are runs of members of about MEMBER_RUN bytes,
+whose last byte, always zero, the sink adds as its line end; a file has FILE_RUNS rows, and a larger record counts as
+several, so a file holds no more than that and one record.
 
 Rows: a null payload is empty. Of equal payloads the capture with the largest page_id is the response, others revisit
 it; a row without a page_id is always a response and nothing refers to it. Rows that repeat page_id, url and payload
@@ -42,6 +43,10 @@ FROM p JOIN g ON p.html = g.html
 VERSION = "WARC/1.1"
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LINE = "\r\n"
+#: Bytes of a row of the sink, and rows of a file.
+MEMBER_RUN, FILE_RUNS = 1 << 20, 64
+#: A member of no bytes. It ends, as every member of under 16 MB does, with a zero.
+NOTHING = gzip.compress(b"", mtime=0)
 #: All records carry this date: pages have none.
 DATE = "2024-01-01T00:00:00Z"
 
@@ -99,7 +104,27 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
     )
     metadata = _record("metadata", _record_id(F.col("page"), F.col("salt"), "metadata"), F.when(F.col("page").isNull(), "").otherwise(F.concat(F.lit("page-id: "), F.col("page").cast("string"), F.lit(LINE))), "application/warc-fields", ("WARC-Target-URI", target), ("WARC-Concurrent-To", capture))
     records = rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    records.write.option("lineSep", LINE + LINE).option("compression", "gzip").option("maxRecordsPerFile", 50_000).text(path)
+    records.mapInArrow(_members, "value string").write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_RUNS).text(path)
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of gzip members without their last zero byte, as strings that are no text."""
+
+    def rows(runs: list[bytes]) -> pa.RecordBatch:
+        column = pa.array(runs, pa.binary())
+        return pa.RecordBatch.from_arrays([pa.StringArray.from_buffers(len(column), *column.buffers()[1:])], ["value"])
+
+    run = bytearray()
+    for batch in batches:
+        for record in batch.column("value"):
+            member = gzip.compress((record.as_buffer() or pa.py_buffer(b"")).to_pybytes() + 2 * LINE.encode(), mtime=0)
+            run += member if not member[-1] else member + NOTHING
+            if len(run) >= MEMBER_RUN:
+                more = min(len(run) // MEMBER_RUN, FILE_RUNS) - 1
+                yield rows([bytes(run[:-1])] + [NOTHING[:-1]] * more)
+                run.clear()
+    if run:
+        yield rows([bytes(run[:-1])])
 
 
 def _parse(stream: io.BufferedReader) -> Iterator[tuple[dict[str, str], bytes]]:
