@@ -16,7 +16,7 @@ Scores use every word of every text. What the driver holds is bounded by SAMPLE,
 
 Rows: null and empty texts score as texts without units. Labels without an id or value are ignored; of several for
 one id the larger counts, and of several texts of a labelled id the least is fitted. With labels of one kind only all
-scores are that kind, without labels 0. Result columns replace input columns of the same name; others are passed through.
+scores are that kind, without labels 0, and without any frequent unit the share of class 1. Result columns replace input columns of the same name; others are passed through.
 """
 
 from __future__ import annotations
@@ -165,8 +165,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
 
     counts = save(rows.select("y", "text").mapInArrow(count, "unit long, good long, bad long").groupBy("unit").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "op11-units")
     kinds = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    none = Model(np.full(BUCKETS, -1, np.int32), np.zeros(0), np.zeros(0), shift=50.0 if kinds.get(True) and not kinds.get(False) else -50.0)
-    if not kinds.get(True) or not kinds.get(False):
+    good, bad = kinds.get(True, 0), kinds.get(False, 0)
+    none = Model(np.full(BUCKETS, -1, np.int32), np.zeros(0), np.zeros(0), shift=float(np.log(good / bad)) if good and bad else 50.0 if good else -50.0)
+    if not good or not bad:
         return none
     sums = counts.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.count("*").alias("n")).first()
     odds = F.log((F.col("good") + 1) / (sums["good"] + sums["n"])) - F.log((F.col("bad") + 1) / (sums["bad"] + sums["n"]))
