@@ -42,7 +42,7 @@ from trialspark.llm.ranks import numbered
 from trialspark.llm.sql import crc32
 
 BLOCK = 256
-LIMIT = 4096
+LIMIT = 512
 #: Messages a queue holds in memory, and conversations of a chunk of a list.
 QUEUE, CHUNK = 65_536, 4096
 #: Of the query: conversations that share a first part, and the most turns of it.
