@@ -407,6 +407,32 @@ def test_archives(spark, tmp_path):
     assert op6_warc.captures(op6_warc.read_archive(spark, str(tmp_path / "none"))).count() == 0
 
 
+def test_archives_are_members_of_bounded_files(spark, tmp_path, monkeypatch):
+    """One gzip member a record, files of bounded bytes, records of more than a run alone in theirs."""
+    import glob
+    import zlib
+
+    monkeypatch.setattr(op6_warc, "FILE_RUNS", 4)
+    rng = random.Random(1)
+    noise = "".join(chr(rng.randrange(33, 127)) for _ in range(1 << 20))
+    rows = [(i, f"http://h/{i}", noise[: 200_000 + i] if i < 40 else noise * (1 + i % 3) + "é") for i in range(48)]
+    path = str(tmp_path / "archive")
+    op6_warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path)
+    files, records = glob.glob(f"{path}/part-*"), 0
+    for name in files:
+        left = open(name, "rb").read()
+        assert len(left) < (4 << 20) + (5 << 20)
+        while left:
+            member = zlib.decompressobj(31)
+            content = member.decompress(left)
+            left = member.unused_data
+            assert member.eof and (not content or (content.startswith(b"WARC/1.1\r\n") and content.endswith(b"\r\n\r\n") and content.count(b"WARC-Record-ID: ") == 1))
+            records += bool(content)
+    assert records == 3 * len(rows) and len(files) > 4
+    got = op6_warc.captures(op6_warc.read_archive(spark, path)).collect()
+    assert sorted(bytes(r["response"]["payload"]) for r in got) == sorted(h.encode() for _, _, h in rows)
+
+
 @pytest.mark.parametrize("html", ["", "x"])
 def test_op6_copies(spark, tmp_path, html):
     sf = str(tmp_path / "sf")
