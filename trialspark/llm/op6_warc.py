@@ -114,17 +114,21 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column = pa.array(runs, pa.binary())
         return pa.RecordBatch.from_arrays([pa.StringArray.from_buffers(len(column), *column.buffers()[1:])], ["value"])
 
+    def held(run: bytearray) -> pa.RecordBatch:
+        more = min(-(-len(run) // MEMBER_RUN), FILE_RUNS) - 1
+        return rows([bytes(run[:-1])] + [NOTHING[:-1]] * more)
+
     run = bytearray()
     for batch in batches:
         for record in batch.column("value"):
-            member = gzip.compress((record.as_buffer() or pa.py_buffer(b"")).to_pybytes() + 2 * LINE.encode(), mtime=0)
-            run += member if not member[-1] else member + NOTHING
-            if len(run) >= MEMBER_RUN:
-                more = min(len(run) // MEMBER_RUN, FILE_RUNS) - 1
-                yield rows([bytes(run[:-1])] + [NOTHING[:-1]] * more)
+            member = gzip.compress(record.as_buffer().to_pybytes() + 2 * LINE.encode(), mtime=0)
+            member = member if not member[-1] else member + NOTHING
+            if run and len(run) + len(member) > MEMBER_RUN:
+                yield held(run)
                 run.clear()
+            run += member
     if run:
-        yield rows([bytes(run[:-1])])
+        yield held(run)
 
 
 def _parse(stream: io.BufferedReader) -> Iterator[tuple[dict[str, str], bytes]]:
