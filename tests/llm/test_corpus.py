@@ -415,7 +415,7 @@ def test_archives_are_members_of_bounded_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(op6_warc, "FILE_RUNS", 4)
     rng = random.Random(1)
     noise = "".join(chr(rng.randrange(33, 127)) for _ in range(1 << 20))
-    rows = [(i, f"http://h/{i}", noise[: 200_000 + i] if i < 40 else noise * (1 + i % 3) + "é") for i in range(48)]
+    rows = [(i, f"http://h/{i}", noise[: 200_000 + i] if i < 40 else noise * (1 + i % 3) + f"é{i}") for i in range(48)]
     path = str(tmp_path / "archive")
     op6_warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path)
     files, records = glob.glob(f"{path}/part-*"), 0
