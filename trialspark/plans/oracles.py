@@ -546,6 +546,9 @@ SELECT c_custkey AS subject, CASE WHEN c_acctbal < 9000 THEN c_acctbal END AS to
     "factor_levels": """
 SELECT c_custkey, c_mktsegment, CAST(dense_rank() OVER (ORDER BY c_mktsegment) AS INTEGER) AS level
 FROM customer""",
+    "factor_many_levels": """
+SELECT o_orderkey, o_totalprice, CAST(dense_rank() OVER (ORDER BY o_totalprice DESC) AS INTEGER) AS level
+FROM orders""",
     "factor_reverse": """
 SELECT o_orderkey, o_orderstatus,
        CAST(dense_rank() OVER (ORDER BY o_orderstatus DESC) AS INTEGER) AS level FROM orders""",
@@ -656,6 +659,11 @@ SELECT n_regionkey, n_nationkey, round(p, 9) AS p,
        round(least(1.0, max((m - i + 1) * p) OVER (PARTITION BY n_regionkey ORDER BY i)), 9) AS p_holm,
        round(least(1.0, m * p), 9) AS p_bonferroni
 FROM ranked""",
+    "p_adjust_one_family": """WITH x AS (SELECT o_orderkey, (CAST(floor(o_totalprice * 100) AS BIGINT) % 997 + 1) / CAST(998 AS DOUBLE) AS x FROM orders),
+p AS (SELECT o_orderkey, x * x * x * x AS p FROM x),
+steps AS (SELECT p, ((SELECT count(*) FROM p) - coalesce(sum(count(*)) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * p AS step FROM p GROUP BY p)
+SELECT o_orderkey, round(p.p, 9) AS p, round(least(1.0, a.upto), 9) AS p_holm
+FROM p JOIN (SELECT p, max(step) OVER (ORDER BY p) AS upto FROM steps) a ON a.p = p.p""",
     "anova_oneway": f"WITH {MIXED}, "
     + ONE_WAY.format(level="language", v="score", source="mixed")
     + """
@@ -672,6 +680,16 @@ SELECT block, a.level AS level_1, b.level AS level_2, round(b.m - a.m, 4) AS mea
        round(sqrt(ss_d / df_d / 2 * (1.0 / a.n + 1.0 / b.n)), 4) AS se,
        round((b.m - a.m) / sqrt(ss_d / df_d / 2 * (1.0 / a.n + 1.0 / b.n)), 6) AS q
 FROM ranked a JOIN ranked b USING (block) JOIN sums USING (block) WHERE a.r < b.r""",
+    "snk_ungrouped": """WITH cells AS (
+  SELECT c_nationkey AS level, count(*) AS n, avg(c_acctbal) AS m, var_samp(c_acctbal) * (count(*) - 1) AS ss
+  FROM customer GROUP BY ALL),
+sums AS (SELECT sum(n) - count(*) AS df_d, coalesce(sum(ss), 0) AS ss_d FROM cells),
+ranked AS (SELECT *, row_number() OVER (ORDER BY m, level) AS r FROM cells)
+SELECT a.level AS level_1, b.level AS level_2, round(b.m - a.m, 4) AS mean_diff,
+       CAST(b.r - a.r + 1 AS DOUBLE) AS span, CAST(df_d AS DOUBLE) AS df,
+       round(sqrt(ss_d / df_d / 2 * (1.0 / a.n + 1.0 / b.n)), 4) AS se,
+       round((b.m - a.m) / sqrt(ss_d / df_d / 2 * (1.0 / a.n + 1.0 / b.n)), 6) AS q
+FROM ranked a JOIN ranked b ON a.r < b.r CROSS JOIN sums""",
     "levene": f"""WITH {MIXED}, away AS (
   SELECT block, language || '.' || half AS cell,
          abs(score - avg(score) OVER (PARTITION BY block, language, half)) AS d FROM mixed), """
@@ -701,4 +719,25 @@ SELECT language, trial_type, round(x, 6) AS x, round(intercept + slope * x, 6) A
        CAST(n - 2 AS DOUBLE) AS df FROM drawn""",
     "trend_loess": LOESS,
     "trend_loess_band": LOESS_BAND,
+    "anova_many_levels": """WITH y AS (
+  SELECT l_suppkey AS s, CAST(l_quantity AS INTEGER) AS k, CASE WHEN l_suppkey % 3 = 0 THEN 'third' ELSE 'rest' END AS g, avg(l_extendedprice) AS y
+  FROM lineitem GROUP BY ALL),
+whole AS (SELECT s, g, avg(y) AS m FROM y GROUP BY ALL HAVING count(*) = 50),
+own AS (SELECT g, count(*) AS n, avg(m) AS mg, sum(m) AS t, var_samp(m) * (count(*) - 1) AS ss FROM whole GROUP BY g),
+top AS (SELECT count(*) AS a, sum(n) AS n, sum(1.0 / n) AS inv, avg(mg) AS u, sum(t) / sum(n) AS grand, sum(ss) AS ss FROM own),
+c AS (SELECT y.s, y.g, k, y - m AS c FROM y JOIN whole USING (s)),
+cell AS (SELECT g, k, avg(c) AS c, count(*) AS n FROM c GROUP BY ALL),
+level AS (SELECT k, avg(c) AS u, sum(n * c) / sum(n) AS w FROM cell GROUP BY k),
+r AS (SELECT s, c.g, c.k, c.c - cell.c AS r FROM c JOIN cell ON cell.g = c.g AND cell.k = c.k),
+cov AS (SELECT a.k AS j, b.k AS k, sum(a.r * b.r) AS v FROM r a JOIN r b ON a.s = b.s GROUP BY ALL),
+sph AS (SELECT pow(sum(v) FILTER (WHERE j = k), 2) / (49 * sum(v * v)) AS gg, sum(v) FILTER (WHERE j = k) AS error FROM cov),
+rows_ AS (
+  SELECT '(Intercept)' AS effect, 1 AS df_n, n - a AS df_d, 50 * u * u * a * a / inv AS ss_n, 50 * ss AS ss_d, NULL AS gg FROM top
+  UNION ALL SELECT 'half', a - 1, n - a, 50 * (SELECT sum(o.n * pow(o.mg - top.grand, 2)) FROM own o), 50 * ss, NULL FROM top
+  UNION ALL SELECT 'quantity', 49, 49 * (n - a), (SELECT sum(l.u * l.u) FROM level l) * a * a / inv, error, gg FROM top, sph
+  UNION ALL SELECT 'half:quantity', 49 * (a - 1), 49 * (n - a), (SELECT sum(cell.n * pow(cell.c - level.w, 2)) FROM cell JOIN level USING (k)), error, gg FROM top, sph)
+SELECT effect, CAST(df_n AS DOUBLE) AS df_n, CAST(df_d AS DOUBLE) AS df_d, round(ss_n / 1e6, 2) AS ss_n, round(ss_d / 1e6, 2) AS ss_d,
+       round(ss_n * df_d / (ss_d * df_n), 5) AS f, round(ss_n / (ss_n + 50 * ss + error), 5) AS ges, round(rows_.gg, 5) AS gg_eps,
+       CAST(n AS BIGINT) AS n_subjects, (SELECT count(DISTINCT s) FROM y) - CAST(n AS BIGINT) AS n_dropped
+FROM rows_, top, sph""",
 }

@@ -666,6 +666,13 @@ def vocab_trial_series(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(df, "proportion_looking")
 
 
+@query
+def factor_many_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """A factor with nearly as many levels as rows."""
+    df = _orders(spark, sf).select("o_orderkey", "o_totalprice")
+    return co.level_order(df, "o_totalprice", name="level", reverse=True)
+
+
 @query
 def figure_series(spark: SparkSession, sf: str) -> DataFrame:
     df = se.figure_series(
@@ -750,6 +757,14 @@ def p_adjust(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(df, "p", "p_holm", "p_bonferroni", digits=9)
 
 
+@query
+def p_adjust_one_family(spark: SparkSession, sf: str) -> DataFrame:
+    """All orders as one family of comparisons, with many equal values."""
+    x = ((F.col("o_totalprice") * 100).cast("bigint") % 997 + 1) / F.lit(998.0)
+    df = _orders(spark, sf).select("o_orderkey", (x * x * x * x).alias("p"))
+    return rounded(tt.p_adjust(df, "p", "holm", name="p_holm"), "p", "p_holm", digits=9)
+
+
 @query
 def anova_oneway(spark: SparkSession, sf: str) -> DataFrame:
     df = ow.anova_oneway(vw.mixed(spark, sf), "score", "language", by=["block"])
@@ -779,6 +794,16 @@ def snk_p(spark: SparkSession, sf: str) -> DataFrame:
     return ow.snk(vw.mixed(spark, sf), "score", "language", by=["block"])
 
 
+@query
+def snk_ungrouped(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs of nations, without groups."""
+    df = ow.snk(_customer(spark, sf), "c_acctbal", "c_nationkey")
+    return df.select(
+        "level_1", "level_2", F.round("mean_diff", 4).alias("mean_diff"), "span", "df",
+        F.round("se", 4).alias("se"), r6("q").alias("q"),
+    )
+
+
 @query
 def levene(spark: SparkSession, sf: str) -> DataFrame:
     df = ow.levene(vw.mixed(spark, sf), "score", ["language", "half"], by=["block"])
@@ -945,3 +970,19 @@ def trend_loess_band(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def trend_loess_band_ci(spark: SparkSession, sf: str) -> DataFrame:
     return _loess(spark, sf, True)
+
+
+@query
+def anova_many_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Fifty within levels: a supplier's mean price at each quantity, between halves of the suppliers."""
+    lines, suppliers = vw.table(spark, sf, "lineitem"), vw.table(spark, sf, "supplier")
+    means = lines.groupBy("l_suppkey", F.col("l_quantity").cast("int").alias("quantity")).agg(F.avg("l_extendedprice").alias("price"))
+    half = F.when(F.col("s_suppkey") % 3 == 0, "third").otherwise("rest").alias("half")
+    df = means.join(suppliers.select("s_suppkey", half), F.col("l_suppkey") == F.col("s_suppkey"))
+    out = an.anova(df, "price", "s_suppkey", "quantity", "half", within_levels=list(range(1, 51)))
+    return out.select(
+        "effect", "df_n", "df_d",
+        *[F.round(F.col(c) / 1e6, 2).alias(c) for c in ("ss_n", "ss_d")],
+        *[F.round(c, 5).alias(c) for c in ("f", "ges", "gg_eps")],
+        "n_subjects", "n_dropped",
+    )
