@@ -39,8 +39,10 @@ def save(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, most: str = "8m") -> None:
-    """Texts cross to Python in batches of bounded bytes, so that a task's memory does not follow the length of texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+    """Texts cross to Python in batches of bounded bytes, so that a task's memory does not follow the length of texts.
+    A bound that the session's owner has set is left as it is."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
 def partitions(spark: SparkSession) -> int:
