@@ -238,6 +238,14 @@ def test_median_split_has_a_small_plan(spark, tmp_path):
     assert df.where("vocab_size IS NOT NULL").count() == 1000
 
 
+@SLOW
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.none() | st.integers(-3, 3)), min_size=1, max_size=20))
+def test_median_skips_missing_values(spark, pairs):
+    df = spark.createDataFrame([(g, None if v is None else float(v)) for g, v in pairs], "g string, v double").repartition(3)
+    assert rows(gr.median_of(df, "v", ["g"])) == rows(df.groupBy("g").agg(F.median("v")))
+    assert rows(gr.median_of(df, "v")) == rows(df.agg(F.median("v")))
+
+
 def test_no_rank_is_null(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", None)], "g string, v double")
     for k in (0, 3):

@@ -450,6 +450,22 @@ def test_a_million_p_values(spark):
     assert np.allclose(known["p_adj"], plain, rtol=1e-12)
 
 
+def test_families_of_any_number_and_size(spark):
+    """Many small families and a hot one, a NULL family among them."""
+    import pandas as pd
+
+    rows = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, -1).when(F.col("id") < 12, None).otherwise(F.col("id") % 5000).cast("int").alias("g"), (F.pmod(F.xxhash64("id"), F.lit(997)) / 99_700.0).alias("p")
+    )
+    got = p_adjust(rows, adjust="holm", by=["g"]).toPandas()
+    assert len(got) == 30_000
+    for _, part in got.groupby("g", dropna=False):
+        part = part.sort_values("p", kind="stable").reset_index(drop=True)
+        upto = ((len(part) - pd.Series(range(len(part)))) * part["p"]).cummax().clip(upper=1)
+        want = upto.groupby(part["p"]).transform("max")
+        assert (abs(part["p_adj"] - want) < 1e-12).all()
+
+
 def test_snk_reads_its_cells_once(spark, tmp_path):
     path = str(tmp_path / "values")
     spark.range(100).selectExpr("id % 4 AS g", "id % 2 AS b", "cast(id * id % 17 AS double) AS v").write.parquet(path)

@@ -37,6 +37,9 @@ def carried(shares: DataFrame, by: Sequence[str], **totals: Column) -> DataFrame
     keys = [as_column(b) for b in by]
     each = shares.groupBy(*keys, "__share").agg(*[t.alias(n) for n, t in totals.items()])
     join = {n: F.max(n) if n.startswith("max") else F.sum(n) for n in totals}
-    later = each.select(*keys, *totals, F.explode(F.sequence(F.col("__share") + 1, F.greatest(F.lit(SHARES), F.col("__share") + 1))).alias("__share"))
+    # a group's totals go to its own later shares; most groups of many have one share alone
+    last = F.max("__share").over(Window.partitionBy(*keys)) if by else F.lit(SHARES - 1)
+    later = each.withColumn("__last", last).where(F.col("__share") < F.col("__last"))
+    later = later.select(*keys, *totals, F.explode(F.sequence(F.col("__share") + 1, F.col("__last"))).alias("__share"))
     before = later.groupBy(*keys, "__share").agg(*[j.alias(n) for n, j in join.items()])
     return join_group(shares, before, [*by, "__share"], "left")

@@ -53,9 +53,9 @@ def _rows(df: DataFrame, col: str, by: Sequence[str], weight: Column) -> DataFra
 
 
 def _bucket(v: Column) -> Column:
-    """A whole number that never falls as v rises (the logarithm is monotone in floating point too)."""
+    """A whole number that never falls as v rises (the logarithm is monotone in floating point too); NULL for NULL."""
     size = F.floor((F.least(F.ln(F.abs(v)), F.lit(_HIGH)) + _DEEP) * STEPS) + 1
-    return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size)
+    return F.when(v == 0, F.lit(0)).when(v > 0, size).when(v < 0, -size)
 
 
 def _at_ranks(rows: DataFrame, by: Sequence[str], ranks: Sequence[Column], name: str) -> DataFrame:

@@ -148,7 +148,7 @@ def _local_quadratic(
     def draw(series: pa.Table) -> pa.Table:
         series = series.sort_by("__x")
         xs_, ys_, ss, ns = (series.column(c).to_numpy().astype(float) for c in ("__x", "__y", "__ss", "__n"))
-        places = np.array(grid, float) if grid is not None else xs_[0] + (xs_[-1] - xs_[0]) * np.arange(n_grid) / (n_grid - 1)
+        places = np.array(grid, float) if grid is not None else xs_[0] + (xs_[-1] - xs_[0]) * np.arange(n_grid) / max(n_grid - 1, 1)
         rows = [_operator_row(xs_, ns, x0, span) for x0 in places]
         out = {"x": places, "fit": [float(row @ ys_) for row in rows]}
         if se:
