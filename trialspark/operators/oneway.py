@@ -15,8 +15,12 @@ from trialspark.functions.scalars import as_column, interaction
 from trialspark.functions.tails import f_p, range_p, range_q
 from trialspark.operators.groups import attach_group, clean
 from trialspark.operators.joins import join_group
+from trialspark.operators.numbering import carried, in_shares
 from trialspark.operators.ttests import sum_squares
 
+#: Places of ordered levels that meet a lower one in one place.
+BLOCK = 256
+
 
 def cell_summary(
     df: DataFrame, value: str, group: str | Sequence[str], by: Sequence[str] = ()
@@ -91,27 +95,31 @@ def snk(
     """Studentized-range test of all pairs of level means.
 
     Levels are ordered by mean (and name, where means are equal); a pair that spans r ordered means is judged
-    against the range of r means. Unequal counts use the mean of 1/n. The cells of a group, one a level, are made once
-    and sorted as one array; its pairs are drawn from positions in that array, row by row.
+    against the range of r means. Unequal counts use the mean of 1/n. The cells, one a level, are made and stored
+    once, in that order over many tasks; a cell meets those of higher place block by block of BLOCK places.
     """
     keys = [as_column(b) for b in by]
-    cell = F.struct("mean", "level", "n", "ss")
-    groups = cell_summary(df, value, group, by).groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("__cells"))
-    cells = F.col("__cells")
-    rows = F.aggregate(cells, F.lit(0).cast("bigint"), lambda acc, c: acc + c["n"])
-    inside = F.aggregate(cells, F.lit(0.0), lambda acc, c: acc + c["ss"])
+    order = [*[F.asc_nulls_first(k) for k in keys], F.asc("mean"), F.asc("level")]
+    cells = in_shares(cell_summary(df, value, group, by), order, "snk-cells")
+    first = cells.groupBy(*keys, "__share").agg(F.min("__at").alias("__first"))
+    placed = join_group(carried(cells, by, rows=F.count(F.lit(1))), first, [*by, "__share"])
+    place = F.coalesce("rows", F.lit(0)) + F.col("__at") - F.col("__first")
+    ranked = join_group(placed.withColumn("__place", place), _totals(cells, by), by)
+    block = lambda c: F.floor(c / BLOCK).cast("bigint")
+    low = ranked.select(
+        *keys, F.struct("level", "n", "mean").alias("__low"), F.col("__place").alias("__from"),
+        (F.col("__rows") - F.col("__cells")).cast("double").alias("df"), F.col("__inside").alias("__ss_d"),
+        F.explode(F.sequence(block(F.col("__place")), block(F.col("__cells") - 1))).alias("__block"),
+    )
+    high = ranked.select(*keys, F.struct("level", "n", "mean").alias("__high"), F.col("__place").alias("__to"), block(F.col("__place")).alias("__block"))
+    pairs = join_group(low, high, [*by, "__block"]).where(F.col("__from") < F.col("__to"))
     low, high = F.col("__low"), F.col("__high")
-    pairs = (
-        groups.withColumns({"df": (rows - F.size(cells)).cast("double"), "__ss_d": inside})
-        .select(*keys, "df", "__ss_d", "__cells", F.posexplode("__cells").alias("__place", "__low"))
-        .select(*keys, "df", "__ss_d", "__low", F.posexplode(F.slice("__cells", F.col("__place") + 2, F.size("__cells"))).alias("__gap", "__high"))
-    )
     out = pairs.select(
         *keys,
         low["level"].alias("level_1"),
         high["level"].alias("level_2"),
         (high["mean"] - low["mean"]).alias("mean_diff"),
-        (F.col("__gap") + 2).cast("double").alias("span"),
+        (F.col("__to") - F.col("__from") + 1).cast("double").alias("span"),
         "df",
         F.sqrt(F.try_divide("__ss_d", "df") / 2 * (1 / low["n"] + 1 / high["n"])).alias("se"),
     ).withColumn("q", F.try_divide("mean_diff", "se"))
