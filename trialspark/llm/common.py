@@ -63,7 +63,8 @@ def texts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of whole rows with about `most` bytes of text each."""
+    """Slices of whole rows with about `most` bytes of text each. Behind the last, Arrow's pool gives back what it holds free:
+    workers live on between stages, and several share an executor's memory."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     if not len(size):
         return
@@ -71,6 +72,7 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE_BYTES)
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(size)]
     for a, b in zip(cuts, cuts[1:]):
         yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -41,7 +41,7 @@ from trialspark.llm.common import BYTE_SYMBOLS, OTHER_BYTE_SYMBOLS, Runs, conten
 CROWD = 256
 #: Text bytes of a shard of documents, gram shards for one of them, and the least number. A group writes at most one row
 #: for each shard it meets, and never more than it has contexts.
-SHARD_BYTES, GRAM_SHARDS, LEAST_SHARDS = 16 << 20, 2, 8
+SHARD_BYTES, GRAM_SHARDS, LEAST_SHARDS = 8 << 20, 2, 8
 
 
 class Symbols:
@@ -399,6 +399,7 @@ def remove_repeats(docs: DataFrame, unit: Unit, judge: Judge, finish: Callable,
             doc, begin = doc + [h.doc[which]], begin + [h.begin[which] + window]
         doc, begin = np.concatenate(doc), np.concatenate(begin)
         spans = _united(doc, begin, begin + unit.window)
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_batches([_pack(1, _of_doc(spans.doc, shards), spans)])
 
     def close(shelves: pa.Table, found: pa.Table) -> pa.Table:
